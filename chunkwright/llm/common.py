@@ -124,3 +124,39 @@ def occurrences(values: np.ndarray) -> np.ndarray:
     out = np.empty(len(values), dtype=np.uint64)
     out[order] = (at - first).astype(np.uint64)
     return out
+
+
+def local_prefix(df: DataFrame, order: list[str], weight: str | None, group: str | None = None) -> DataFrame:
+    """df dealt out in ranges of `order`, with what stands before each row in its partition.
+
+    Adds __pid (partitions are numbered in the order of their ranges), __row (rows before, from 0)
+    and __before (sum of weight before; rows where weight is None). With group, which must lead the
+    order, both counts start anew at each of its values. Ties are split by the later order columns,
+    so one value never fills a partition on its own. The result is materialised.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([*df.schema.fields, T.StructField("__pid", T.LongType()), T.StructField("__row", T.LongType()), T.StructField("__before", T.LongType())])
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid, arrow, rows, total, last = TaskContext.get().partitionId(), to_arrow_schema(schema), 0, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            weights = np.ones(n, np.int64) if weight is None else batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, before = rows + np.arange(n), total + np.cumsum(weights) - weights
+            if group is not None:
+                keys = batch.column(batch.schema.get_field_index(group)).to_numpy(zero_copy_only=False)
+                new = np.r_[keys[0] != last, keys[1:] != keys[:-1]]
+                at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+                row = np.where(at < 0, row, np.arange(n) - at)
+                before = np.where(at < 0, before, before - before[np.maximum(at, 0)])
+                last = keys[-1]
+            rows, total = int(row[-1]) + 1, int(before[-1] + weights[-1])
+            added = [pa.array(np.full(n, pid, np.int64)), pa.array(row), pa.array(before)]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), *added], schema=arrow)
+
+    return materialize(dealt.mapInArrow(run, schema))

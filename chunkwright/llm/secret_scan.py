@@ -99,7 +99,9 @@ def scan(docs: DataFrame, owner: list[str], repo: list[str], example_owners: int
         )
     )
     none = F.expr(f"cast(array() AS array<{SPAN}>)")
-    return found.join(judged, "text_key", "left").select(
+    with_spans = found.where("text_key IS NOT NULL").join(judged, "text_key", "left")
+    plain = found.where("text_key IS NULL").withColumns({"live": none, "example": none, "n_examples": F.lit(0), "n_owned": F.lit(0)})
+    return with_spans.unionByName(plain).select(
         "doc_id", "text_key", "n_assign", "n_access", "n_hex", "base",
         F.array_sort(F.concat("base", F.coalesce("live", none))).alias("spans"),
         F.coalesce("example", none).alias("examples"),
