@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwright.llm import decontaminate, html_blocks, link_trust, packing, repetition, secret_scan, sharding, toxicity
+from chunkwright.llm import decontaminate, html_blocks, link_trust, order_minhash, packing, repetition, secret_scan, sharding, suffix_repeats, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents"), ["source"], ["source", "lang"]))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "n_links")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judge(_table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -48,9 +56,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_repeats": op6_suffix_repeats,
     "op7_sharding": op7_sharding,
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
