@@ -17,6 +17,7 @@ import base64
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -41,7 +42,7 @@ _END = "<|endoftext|>"
 class _Units(dict):
     """Token ids, as packed bytes, of a word with what stands before it."""
 
-    def __init__(self, encode: Callable[[str], bytes], before: str, most: int = 200_000):
+    def __init__(self, encode: Callable[[str], bytes], before: str, most: int = 400_000):
         super().__init__()
         self.encode, self.before, self.most = encode, before, most
 
@@ -64,7 +65,7 @@ class Tokens:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         plain = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        pack = lambda s: np.array(plain(s), dtype="<u4").tobytes()
+        pack = lambda s: array("I", plain(s)).tobytes()
         self.pack, self.first, self.later, self.line = pack, _Units(pack, ""), _Units(pack, " "), pack("\n")
 
     def __call__(self, text: str) -> bytes:
