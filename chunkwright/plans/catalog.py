@@ -1,14 +1,12 @@
-"""Registry of the engine's queries: name -> DataFrame query, name -> DuckDB SQL."""
+"""All queries of the engine and their DuckDB SQL; importing the plan modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from chunkwright.plans import text  # noqa: F401
+from chunkwright.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
