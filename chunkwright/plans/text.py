@@ -86,10 +86,10 @@ def staged_refinement(spark, sf_dir):
     return decorated(spark, sf_dir).select("doc_id", _composed(_STATEFUL).alias("text"))
 
 
-_SCORES = """SELECT doc_id, structure, cleanup, retention, 0.75e0 AS confidence, round((structure + cleanup + retention + 0.75e0) / 4, 6) AS overall FROM (
+_SCORES = """SELECT doc_id, structure, cleanup, retention, 0.75e0 AS confidence, round((structure + cleanup + retention + 0.75e0) / 4, 9) AS overall FROM (
  SELECT doc_id, CASE WHEN structures > 0 AND sections > 0 THEN 0.9e0 WHEN structures > 0 OR sections > 0 THEN 0.7e0 ELSE 0.5e0 END AS structure,
   CASE WHEN a = 0 THEN 1.0e0 WHEN 1 - b / a >= 0.05e0 AND 1 - b / a <= 0.2e0 THEN 0.9e0 WHEN 1 - b / a >= 0 AND 1 - b / a < 0.05e0 THEN 0.8e0 WHEN 1 - b / a > 0.2e0 AND 1 - b / a <= 0.35e0 THEN 0.7e0 ELSE 0.5e0 END AS cleanup,
-  round(CASE WHEN a = 0 THEN 1.0e0 ELSE least(1.0e0, b / a) END, 6) AS retention FROM {source})"""
+  round(CASE WHEN a = 0 THEN 1.0e0 ELSE least(1.0e0, b / a) END, 9) AS retention FROM {source})"""
 
 
 @query(
