@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.plans import language, metadata, scoring, structure, text, vectors  # noqa: F401
+from chunkwright.plans import graphs, language, metadata, reports, scoring, structure, text, vectors  # noqa: F401
 from chunkwright.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
