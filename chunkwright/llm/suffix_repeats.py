@@ -5,7 +5,8 @@ them, so chosen by content alone) are retained. Any repeat of SAMPLE + WINDOW -
 retained position in both places. Positions whose first words stand in one text only are dropped;
 the other suffixes are sorted over all texts, dealt out in ranges with the text as tie-break so that
 a frequent passage spreads over partitions, and each is compared to its neighbours of other texts:
-the match is extended to the right from the position and to the left of it. Matches of `least` words
+the match is extended to the right from the position and to the left of it. They are sorted twice,
+by what follows and by what stands before, so that the longest match on either side is a neighbour. Matches of `least` words
 are repeated passages; longer ones are covered by the matches at their further minimisers.
 
 Defined results: null text is empty; texts under `least` words have no passages; texts that are
@@ -207,11 +208,15 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     held = source.join(wanted, (source["k"] == wanted["key"]) & source["id"].eqNullSafe(wanted["doc_id"])).select("key", "text", "positions")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     retained = materialize(suffixes(held))
-    order = ["right", "key", "position"]
-    found = materialize(compared(retained.repartitionByRange(parts, *order).sortWithinPartitions(*order), least))
-    edges = found.where("edge IS NOT NULL").collect()  # two rows for each partition
+    retained = retained.withColumn("head", F.substring("right", 1, 4 * SAMPLE))
+    found, more = None, []
+    # by what follows, ties by what stands before; then, among equal samples, by what stands before, ties by what follows
+    for order in (["right", "left", "key", "position"], ["head", "left", "right", "key", "position"]):
+        side = materialize(compared(retained.repartitionByRange(parts, *order).sortWithinPartitions(*order), least))
+        more += across_partitions(side.where("edge IS NOT NULL").collect(), least)  # two rows for each partition
+        found = side if found is None else found.union(side)
     spans = found.where("edge IS NULL").select("key", "start", "end")
-    if more := across_partitions(edges, least):
+    if more:
         spans = spans.union(spark.createDataFrame([(bytearray(k), s, e) for k, s, e in more], "key binary, start int, end int"))
     whole = texts.where(f"copies > 1 AND n_words >= {least}").select("key", F.lit(0).alias("start"), F.col("n_words").alias("end"))
     return rows.select("doc_id", "key").join(merged(spans.union(whole)), "key").select(
