@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 MARK = "\x01"
 
 
-def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+def fixed_windows(docs: DataFrame, size: int, overlap: int, *carried: str) -> DataFrame:
     """doc_id, chunk_index, start_char, end_char, content: windows of `size` characters, each sharing `overlap` with the one before."""
     step = size - overlap
     number = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / F.lit(float(step))).cast("int"))
     at = F.explode(F.sequence(F.lit(0), number - 1)).alias("chunk_index")
-    out = docs.select("doc_id", "text", at).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    out = docs.select("doc_id", *carried, "text", at).withColumn("chunk_index", F.col("chunk_index").cast("long"))
     start = F.col("chunk_index") * step
     return out.select(
-        "doc_id", "chunk_index", start.alias("start_char"), F.least(start + size, F.length("text").cast("long")).alias("end_char"),
+        "doc_id", *carried, "chunk_index", start.alias("start_char"), F.least(start + size, F.length("text").cast("long")).alias("end_char"),
         F.substring("text", (start + 1).cast("int"), F.lit(size)).alias("content"),
     )
 
