@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_PLACE = Window.partitionBy("doc_id").orderBy("chunk_index")
+def by_place():
+    return Window.partitionBy("doc_id").orderBy("chunk_index")
+
 
 
 def nodes(chunks: DataFrame) -> DataFrame:
     """doc_id, chunk_index, prev_index, next_index."""
-    return chunks.select("doc_id", "chunk_index", F.lag("chunk_index").over(BY_PLACE).alias("prev_index"), F.lead("chunk_index").over(BY_PLACE).alias("next_index"))
+    return chunks.select("doc_id", "chunk_index", F.lag("chunk_index").over(by_place()).alias("prev_index"), F.lead("chunk_index").over(by_place()).alias("next_index"))
 
 
 def _edge(src, dst, kind: str, weight: float, label) -> list:
@@ -18,7 +20,7 @@ def _edge(src, dst, kind: str, weight: float, label) -> list:
 
 
 def sequential(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("next", F.lead("chunk_index").over(BY_PLACE)).where("next IS NOT NULL").select(*_edge(F.col("chunk_index"), F.col("next"), "Sequential", 1.0, F.lit("follows")))
+    return chunks.withColumn("next", F.lead("chunk_index").over(by_place())).where("next IS NOT NULL").select(*_edge(F.col("chunk_index"), F.col("next"), "Sequential", 1.0, F.lit("follows")))
 
 
 def hierarchical(paths: DataFrame) -> DataFrame:
