@@ -202,7 +202,9 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     texts = materialize(distinct_texts(rows, "n_words", "positions", "hashes"))
     every = texts.where("size(positions) > 0").select("key", F.explode(F.arrays_zip("positions", "hashes")).alias("x")).select("key", F.col("x.positions").alias("position"), F.col("x.hashes").alias("hash"))
     mark = F.xxhash64("key")
+    # written first, so that both sides of the join come from shuffles and a frequent hash's partition can be split
     common = every.groupBy("hash").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("hash")
+    common = materialize(common)
     wanted = every.join(common, "hash", "left_semi").groupBy("key").agg(F.collect_list("position").alias("positions")).join(texts.select("key", "doc_id"), "key")
     source = docs.select(text_key().alias("k"), F.col("doc_id").alias("id"), text_of().alias("text"))
     held = source.join(wanted, (source["k"] == wanted["key"]) & source["id"].eqNullSafe(wanted["doc_id"])).select("key", "text", "positions")
