@@ -33,6 +33,8 @@ from chunkwright.llm.common import map_rows, materialize
 MAX_LABELLED = 12_000
 #: Lexicon entries, and what one needs: toxic texts, share of toxic texts, lengths of word beginnings.
 MAX_ENTRIES, LEAST_TEXTS, LEAST_SHARE, BEGINNINGS = 2_000, 4, 0.7, range(3, 9)
+#: Log-likelihood of a term's labels over those of any text's; chance gives this to about one term in e^9.
+EVIDENCE = 9.0
 THRESHOLD = 0.3
 
 #: Words of the grammar's closed classes.
@@ -141,8 +143,10 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], float]
     counts = rows.select("toxic", "text").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = (F.col("toxic") / n_toxic) / (F.col("toxic") / n_toxic + F.col("clean") / max(1, n_clean))
     least = F.col("toxic") / (F.col("toxic") + F.col("clean")) >= LEAST_SHARE
+    part, prior = F.col("toxic") / (F.col("toxic") + F.col("clean")), n_toxic / totals[1]
+    evidence = F.col("toxic") * F.log(part / prior) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - part) / (1 - prior + 1e-12))).otherwise(0.0)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1)))
-    best = counts.where((F.col("toxic") >= LEAST_TEXTS) & least & (share > 0.9)).select("term", odds.alias("odds"), "toxic").orderBy(F.desc("toxic"), "term").limit(MAX_ENTRIES).collect()
+    best = counts.where((F.col("toxic") >= LEAST_TEXTS) & least & (share > 0.9) & (evidence >= EVIDENCE)).select("term", odds.alias("odds"), "toxic").orderBy(F.desc("toxic"), "term").limit(MAX_ENTRIES).collect()
     words, beginnings = {}, {}
     most = Counter()  # by beginning, the texts of its most frequent word: a beginning must say more than that
     for term, _, n in best:
