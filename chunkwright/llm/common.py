@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a Python worker holds as Python objects at a time.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch on its way to or from a worker: texts can be long, and both sides hold batches.
+BATCH_ROWS = 1000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -49,6 +51,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches kept to BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Apply make()(columns) to slices of SLICE_ROWS rows of each partition.
 
@@ -66,7 +76,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
                 out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in out_schema], schema=out_schema)
 
-    return df.mapInArrow(run, target)
+    return small_batches(df).mapInArrow(run, target)
 
 
 def text_of(name: str = "text") -> Column:
@@ -77,7 +87,7 @@ def text_of(name: str = "text") -> Column:
 class WordIds(dict):
     """64-bit hashes of words, kept until `most` words are known."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -52,7 +52,7 @@ _HOLDERS = {"number": xxhash.xxh3_64_intdigest("<number>"), "name": xxhash.xxh3_
 class Templates:
     """Template tokens of texts; keeps the words it has seen."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.ids: dict[str, int] = {}
         self.hashes, self.kinds = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)

@@ -42,7 +42,7 @@ _END = "<|endoftext|>"
 class _Units(dict):
     """Token ids, as packed bytes, of a word with what stands before it."""
 
-    def __init__(self, encode: Callable[[str], bytes], before: str, most: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], before: str, most: int = 250_000):
         super().__init__()
         self.encode, self.before, self.most = encode, before, most
 

@@ -69,7 +69,7 @@ def duplicated(sums: np.ndarray, down: np.ndarray, n: int) -> np.ndarray | None:
 class Meter:
     """Measures texts; keeps the words it has seen."""
 
-    def __init__(self, most_words: int = 300_000):
+    def __init__(self, most_words: int = 150_000):
         self.powers, self.most = _Powers(), most_words
         self.ids: dict[bytes, int] = {}
         self.hashes, self.chars = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)

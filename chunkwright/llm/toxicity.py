@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import map_rows, materialize
+from chunkwright.llm.common import map_rows, materialize, small_batches
 
 #: Labelled rows that the fit may use.
 MAX_LABELLED = 12_000
@@ -73,7 +73,7 @@ def compose() -> tuple[list[list[int]], list[list[int]]]:
 class Grammar(dict):
     """Reads texts. As a dict it keeps the symbol and weight of words it has met."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float], most: int = 300_000):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], most: int = 150_000):
         super().__init__()
         self.words, self.beginnings, self.most = words, beginnings, most
         self.closed = dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(THREATS, THREAT)
@@ -232,4 +232,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
             keep = [model.value.score(grammar.read(text or "")[0]) < THRESHOLD for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
