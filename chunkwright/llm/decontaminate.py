@@ -4,7 +4,8 @@ Texts become templates: numbers, names and units are replaced by typed placehold
 WINDOW template tokens are hashed and joined between documents and benchmark items. The windows that
 a text shares with an item are then laid over each other: a leak needs enough of the item, and its
 slots must be filled consistently, each value of the item standing for one value of the document and
-the other way round.
+the other way round. Each diagonal (a way to lay the text over the item) is judged on its own, so that
+an item that resembles itself further on doesn't clash with its own copy.
 
 The benchmark's window hashes go to the workers only up to MAX_SHARED of them; a larger benchmark is
 met by a shuffle join over all windows of the documents instead, with the same result.
@@ -17,6 +18,7 @@ any other; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -33,7 +35,7 @@ LEAST_PLAIN = 4
 COVERAGE, RUN = 0.5, 20
 #: Window hashes that are sent to workers (8 bytes each).
 MAX_SHARED = 2_000_000
-#: Windows that start on diagonals this close belong to one instance.
+#: Windows that start on diagonals this close can belong to one instance.
 SLACK = WINDOW
 
 #: Units of measure.
@@ -137,26 +139,79 @@ def _windows_of(table: DataFrame, key: str, shared=None) -> DataFrame:
     return map_rows(table.select(key, "text"), make, f"{key} long, text_key string, n int, windows {WINDOWS}")
 
 
-def _best(n: int, pairs: list[dict]) -> tuple[int, int, bool, bool] | None:
-    """Of the best consistent instance: words covered, longest run, whether slots are filled anew, whether consistent."""
-    best = None
-    pairs = sorted(pairs, key=lambda p: (p["at"] - p["item_at"], p["at"]))
-    start = 0
-    for end in range(1, len(pairs) + 1):
-        if end < len(pairs) and (pairs[end]["at"] - pairs[end]["item_at"]) - (pairs[end - 1]["at"] - pairs[end - 1]["item_at"]) <= SLACK:
+def _filled(pairs: list[dict], one: dict, back: dict) -> bool:
+    """Whether the pairs fill slots one to one, and as one and back do; if so, both are extended."""
+    more, rest = dict(one), dict(back)
+    for p in pairs:
+        for a, b in zip(p["item_slots"], p["slots"]):
+            if more.setdefault(a, b) != b or rest.setdefault(b, a) != a:
+                return False
+    one.update(more)
+    back.update(rest)
+    return True
+
+
+def _chain(seed: tuple[int, list[dict]], units: list[tuple[int, list[dict]]]) -> list[dict]:
+    """The seed with what fits of units on near diagonals: windows increase in the text and in the item, and slots agree."""
+    one, back = {}, {}
+    _filled(seed[1], one, back)
+    chain, low, high = list(seed[1]), seed[0], seed[0]
+    grown = len(units) > 1
+    while grown:
+        grown = False
+        for diagonal, lot in units:
+            if not low - SLACK <= diagonal <= high + SLACK:
+                continue
+            places = [p["at"] for p in chain]
+            fits = []
+            for p in lot:
+                i = bisect_left(places, p["at"])
+                if i < len(chain) and (chain[i]["at"] == p["at"] or chain[i]["item_at"] <= p["item_at"]) or i and chain[i - 1]["item_at"] >= p["item_at"]:
+                    continue
+                if any(abs(c["at"] - c["item_at"] - diagonal) <= SLACK for c in chain[max(0, i - 1) : i + 1]):
+                    fits.append(p)
+            if fits and _filled(fits, one, back):
+                chain = sorted(chain + fits, key=lambda p: p["at"])
+                low, high, grown = min(low, diagonal), max(high, diagonal), True
+    return chain
+
+
+def _best(n: int, pairs: list[dict]) -> tuple[bool, int, int, bool] | None:
+    """Of the best consistent instance: whether it is a leak, words covered, longest run, whether slots are filled anew.
+
+    A diagonal is one way to lay a text over an item, and its slots are judged on their own; where they
+    clash, its verbatim windows are left. Diagonals within SLACK are chained around each of them.
+    """
+    diagonals: dict[int, list[dict]] = {}
+    for p in sorted(pairs, key=lambda p: p["at"]):
+        diagonals.setdefault(p["at"] - p["item_at"], []).append(p)
+    units = []
+    for diagonal, lot in sorted(diagonals.items()):
+        if not _filled(lot, {}, {}):
+            lot = [p for p in lot if p["slots"] == p["item_slots"]]
+        if lot:
+            units.append((diagonal, lot))
+    best, start = None, 0
+    for end in range(1, len(units) + 1):
+        if end < len(units) and units[end][0] - units[end - 1][0] <= SLACK:
             continue
-        one, back, consistent, anew = {}, {}, True, False
-        covered = np.zeros(n + WINDOW, np.int8)
-        for p in pairs[start:end]:
-            covered[p["item_at"] : min(n, p["item_at"] + WINDOW)] = 1
-            for a, b in zip(p["item_slots"], p["slots"]):
-                consistent = consistent and one.setdefault(a, b) == b and back.setdefault(b, a) == a
-                anew = anew or a != b
-        edges = np.flatnonzero(np.diff(np.r_[0, covered, 0]))
-        found = (int(consistent), int(covered.sum()), int((edges[1::2] - edges[::2]).max(initial=0)), anew)
-        best = found if best is None else max(best, found)
+        places = [diagonal for diagonal, _ in units[start:end]]
+        for seed in sorted(units[start:end], key=lambda u: -len(u[1])):
+            # a chain of rising windows moves by less than the item's length and SLACK for each of them
+            reach = SLACK * n
+            near = units[start + bisect_left(places, seed[0] - reach) : start + bisect_right(places, seed[0] + reach)]
+            covered, anew = np.zeros(n + WINDOW, np.int8), False
+            for p in _chain(seed, sorted(near, key=lambda u: -len(u[1]))):
+                covered[p["item_at"] : min(n, p["item_at"] + WINDOW)] = 1
+                anew = anew or p["slots"] != p["item_slots"]
+            edges = np.flatnonzero(np.diff(np.r_[0, covered, 0]))
+            words, run = int(covered.sum()), int((edges[1::2] - edges[::2]).max(initial=0))
+            found = (words >= COVERAGE * n or run >= RUN, words, run, not anew)
+            best = found if best is None else max(best, found)
+            if best[1] == n and best[3]:
+                return (*best[:3], False)
         start = end
-    return best and (best[1], best[2], best[3], bool(best[0]))
+    return best and (*best[:3], not best[3])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, max_shared: int = MAX_SHARED) -> DataFrame:
@@ -177,8 +232,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_shared: int = MAX_SHARED) -
         def run(rows: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {"text_key": [], "item_id": [], "covered": [], "run": [], "reparameterised": []}
             for text_key, item_id, n, lot in zip(rows["text_key"], rows["item_id"], rows["item_n"], rows["pairs"]):
-                covered, run_length, anew, consistent = _best(n, lot)
-                if consistent and (covered >= COVERAGE * n or run_length >= RUN):
+                leak, covered, run_length, anew = _best(n, lot) or (False, 0, 0, False)
+                if leak:
                     for name, value in (("text_key", text_key), ("item_id", item_id), ("covered", covered / n), ("run", run_length), ("reparameterised", anew)):
                         out[name].append(value)
             return out

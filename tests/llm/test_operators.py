@@ -418,6 +418,23 @@ def test_leaks_are_found_verbatim_and_reparameterised(spark):
     assert {r["doc_id"] for r in kept.collect()} == {2, 4, 5, 6} and kept.columns == docs(spark, texts).columns
 
 
+def test_leaks_of_items_that_resemble_themselves(spark):
+    item = "She bought 3 apples and 5 pears and 7 apples and 9 pears and 2 apples and 4 pears"
+    again = "She bought 11 apples and 12 pears and 13 apples and 14 pears and 15 apples and 16 pears"
+    broken = "She bought 11 apples and 11 pears and 11 apples and 11 pears and 11 apples and 11 pears"
+    rng = random.Random(33)
+    plain = " ".join(words(rng, 24))
+    halves = f"{plain} and then 3 men met 5 boys in the old town", f"{plain} and then 8 men met 8 boys in the old town"
+    shifted = item.replace("and 9", "and well 9")
+    texts = [f"{prose(rng, 40)}. {t}. {prose(rng, 40)}" for t in (item, again, broken, halves[1], shifted)]
+    benchmark = spark.createDataFrame([(1, item), (2, halves[0])], "item_id long, text string")
+    for most in (10_000, 0):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs(spark, texts), benchmark, most).collect()}
+        assert set(got) == {(0, 1), (1, 1), (3, 2), (4, 1)}
+        assert got[0, 1]["covered"] == got[1, 1]["covered"] == 1 and not got[0, 1]["reparameterised"] and got[1, 1]["reparameterised"]
+        assert got[3, 2]["run"] >= 24
+
+
 # all
 
 
