@@ -4,7 +4,8 @@ Texts become templates: numbers, names and units are replaced by typed placehold
 WINDOW template tokens are hashed and joined between documents and benchmark items. The windows that
 a text shares with an item are then laid over each other: a leak needs enough of the item, and its
 slots must be filled consistently, each value of the item standing for one value of the document and
-the other way round. Each diagonal (a way to lay the text over the item) is judged on its own, so that
+the other way round. An item under WINDOW words is one window of its own length, and windows of that
+length are taken from the documents too. Each diagonal (a way to lay the text over the item) is judged on its own, so that
 an item that resembles itself further on doesn't clash with its own copy.
 
 The benchmark's window hashes go to the workers only up to MAX_SHARED of them; a larger benchmark is
@@ -99,21 +100,21 @@ class Templates:
         return hashes[kept], (number | unit | name)[kept], lambda i: tokens[kept[i]].lower()
 
 
-def windows(hashes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(hashes: np.ndarray, slots: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the windows that have enough plain words; a shorter text is one window of its own length."""
-    n = min(WINDOW, len(hashes))
+    n = min(size, len(hashes))
     if n < LEAST_PLAIN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     plain = np.r_[0, np.cumsum(~slots)]
     starts = np.flatnonzero(plain[n:] - plain[:-n] >= LEAST_PLAIN)
-    return starts, mix(shingle_hashes(hashes, WINDOW)[starts] + np.uint64(n))
+    return starts, mix(shingle_hashes(hashes, n)[starts] + np.uint64(n))
 
 
 WINDOWS = "array<struct<at:int,hash:bigint,slots:array<string>>>"
 
 
-def _windows_of(table: DataFrame, key: str, shared=None) -> DataFrame:
-    """key, text key, number of template words, windows (those among the shared hashes, if given)."""
+def _windows_of(table: DataFrame, key: str, shared=None, sizes: tuple[int, ...] = ()) -> DataFrame:
+    """key, text key, number of template words, windows (those among the shared hashes, if given), and windows of further sizes below WINDOW."""
 
     def make() -> Callable:
         templates = Templates()
@@ -124,14 +125,17 @@ def _windows_of(table: DataFrame, key: str, shared=None) -> DataFrame:
             for text in rows["text"]:
                 text = text or ""
                 hashes, slots, word = templates(text)
-                starts, found = windows(hashes, slots)
-                if known is not None and len(found):
-                    i = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
-                    hit = known[i] == found if len(known) else np.zeros(len(found), bool)
-                    starts, found = starts[hit], found[hit]
+                every = []
+                for size in [WINDOW, *(size for size in sizes if size < len(hashes))]:
+                    starts, found = windows(hashes, slots, size)
+                    if known is not None and len(found):
+                        i = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+                        hit = known[i] == found if len(known) else np.zeros(len(found), bool)
+                        starts, found = starts[hit], found[hit]
+                    every += [{"at": int(s), "hash": int(h), "slots": [word(int(j)) for j in np.flatnonzero(slots[s : s + size]) + s]} for s, h in zip(starts, found.view(np.int64))]
                 out["text_key"].append(xxhash.xxh3_128_hexdigest(text))
                 out["n"].append(len(hashes))
-                out["windows"].append([{"at": int(s), "hash": int(h), "slots": [word(int(j)) for j in np.flatnonzero(slots[s : s + WINDOW]) + s]} for s, h in zip(starts, found.view(np.int64))])
+                out["windows"].append(every)
             return out
 
         return run
@@ -223,7 +227,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_shared: int = MAX_SHARED) -
     if item_windows.count() <= max_shared:
         known = np.array([r[0] for r in item_windows.select("hash").distinct().collect()], np.int64).view(np.uint64)
         shared = spark.sparkContext.broadcast(np.sort(known))
-    found = materialize(_windows_of(docs, "doc_id", shared))
+    sizes = tuple(sorted(r[0] for r in items.where(f"n < {WINDOW} AND size(windows) > 0").select("n").distinct().collect()))  # of 4 to 7
+    found = materialize(_windows_of(docs, "doc_id", shared, sizes))
     texts = found.where("size(windows) > 0").groupBy("text_key").agg(F.first("windows").alias("windows"))
     pairs = texts.select("text_key", F.explode("windows").alias("w")).select("text_key", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")).join(item_windows, "hash")
     laid = pairs.groupBy("text_key", "item_id", "item_n").agg(F.collect_list(F.struct("at", "item_at", "slots", "item_slots")).alias("pairs"))

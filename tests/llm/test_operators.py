@@ -435,6 +435,17 @@ def test_leaks_of_items_that_resemble_themselves(spark):
         assert got[3, 2]["run"] >= 24
 
 
+def test_leaks_of_short_items_are_found_within_documents(spark):
+    items = ["how many rivers cross Paris", "what is the longest of 7 bones", "why does old bread turn", "boil it for 5 more short minutes"]
+    others = ["how many rivers cross Vienna", "what is the longest of 9 bones", "why does old bread turn", "boil it for 5 more minutes"]
+    rng = random.Random(35)
+    texts = [f"{' '.join(words(rng, 30))} {t} {' '.join(words(rng, 30))}" for t in others] + [others[2], "well why does old bread turn"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (10_000, 0):
+        got = {(r["doc_id"], r["item_id"], r["covered"], r["reparameterised"]) for r in decontaminate.leaks(docs(spark, texts), benchmark, most).collect()}
+        assert got == {(0, 0, 1.0, True), (1, 1, 1.0, True), (2, 2, 1.0, False), (4, 2, 1.0, False), (5, 2, 1.0, False)}
+
+
 # all
 
 
