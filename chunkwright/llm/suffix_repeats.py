@@ -4,7 +4,8 @@ Only the suffixes that start at minimisers (the least hash of SAMPLE-word shingl
 them, so chosen by content alone) are retained. Any repeat of SAMPLE + WINDOW - 1 words holds a
 retained position in both places. Positions whose first words stand in one text only are dropped;
 the other suffixes are sorted over all texts, dealt out in ranges with the text as tie-break so that
-a frequent passage spreads over partitions, and each is compared to its neighbours of other texts:
+a frequent passage spreads over partitions, and each is compared to its neighbours of other texts,
+in other partitions too where a text's run of suffixes reaches its partition's edge:
 the match is extended to the right from the position and to the left of it. They are sorted twice,
 by what follows and by what stands before, so that the longest match on either side is a neighbour. Matches of `least` words
 are repeated passages; longer ones are covered by the matches at their further minimisers.
@@ -110,10 +111,12 @@ class _Rows:
 
 
 NEIGHBOURS = "key binary, start int, end int, pid int, edge int, position int, right binary, left binary"
+#: Values of edge: rows with no other text before or after them in their partition; the partition's outer rows of two texts on either side (start: 0, 1).
+BEFORE, AFTER, FIRST, LAST = range(4)
 
 
 def compared(sorted_suffixes: DataFrame, least: int) -> DataFrame:
-    """Matches with the nearest neighbours of other texts, and each partition's first and last rows (edge 0 and 1)."""
+    """Matches with the nearest neighbours of other texts, the rows whose neighbour is in another partition, and each partition's outer rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -139,16 +142,18 @@ def compared(sorted_suffixes: DataFrame, least: int) -> DataFrame:
                 starts.append(s)
                 ends.append(e)
         found = len(keys)
-        edges = [0, n - 1]
+        ends_of = {FIRST: [0, *at[before >= 0][:1]], LAST: [n - 1, *before[-1:][before[-1:] >= 0]]}
+        edges = [(x, e, None) for e, lot in ((BEFORE, at[before < 0]), (AFTER, at[after == n])) for x in lot]
+        edges += [(x, e, rank) for e, lot in ends_of.items() for rank, x in enumerate(lot)]
         none = [None] * found
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(keys + [cols["key"][x] for x in edges], pa.binary()),
-                pa.array([*np.concatenate(starts).tolist(), None, None], pa.int32()),
-                pa.array([*np.concatenate(ends).tolist(), None, None], pa.int32()),
-                pa.array([*none, pid, pid], pa.int32()),
-                pa.array([*none, 0, 1], pa.int32()),
-                *(pa.array([*none, *(cols[c][x] for x in edges)], kind) for c, kind in (("position", pa.int32()), ("right", pa.binary()), ("left", pa.binary()))),
+                pa.array(keys + [cols["key"][x] for x, *_ in edges], pa.binary()),
+                pa.array([*np.concatenate(starts).tolist(), *(rank for *_, rank in edges)], pa.int32()),
+                pa.array([*np.concatenate(ends).tolist(), *[None] * len(edges)], pa.int32()),
+                pa.array([*none, *[pid] * len(edges)], pa.int32()),
+                pa.array([*none, *(e for _, e, _ in edges)], pa.int32()),
+                *(pa.array([*none, *(cols[c][x] for x, *_ in edges)], kind) for c, kind in (("position", pa.int32()), ("right", pa.binary()), ("left", pa.binary()))),
             ],
             names=["key", "start", "end", "pid", "edge", "position", "right", "left"],
         )
@@ -156,19 +161,43 @@ def compared(sorted_suffixes: DataFrame, least: int) -> DataFrame:
     return sorted_suffixes.mapInArrow(run, NEIGHBOURS)
 
 
-def across_partitions(edges: list, least: int) -> list[tuple[bytes, int, int]]:
-    """Matches of each partition's last row with the next one's first."""
-    edges = sorted(edges, key=lambda r: (r["pid"], r["edge"]))
-    pairs = [(a, b) for a, b in zip(edges, edges[1:]) if a["edge"] == 1 and b["edge"] == 0 and a["key"] != b["key"]]
-    if not pairs:
-        return []
-    flat = [r for pair in pairs for r in pair]
-    rows = _Rows(*([bytes(r[c]) if c != "position" else r[c] for r in flat] for c in ("key", "position", "right", "left")))
-    i = np.arange(0, len(flat), 2)
-    out = []
-    for a, b in ((i, i + 1), (i + 1, i)):
-        out += zip(*[x if isinstance(x, list) else x.tolist() for x in rows.matches(a, b, least)])
-    return out
+def nearest_outside(edges: list) -> dict[tuple[int, int], list]:
+    """(key, position, right, left) of the nearest rows of two texts beyond each partition, by its number and side. edges: the FIRST and LAST rows."""
+    outer: dict[tuple[int, int], list] = {}
+    for r in sorted(edges, key=lambda r: r["start"]):
+        outer.setdefault((r["pid"], r["edge"]), []).append((bytes(r["key"]), r["position"], bytes(r["right"]), bytes(r["left"])))
+    pids = sorted({pid for pid, _ in outer})
+    found = {}
+    for side, facing, order in ((BEFORE, LAST, pids), (AFTER, FIRST, pids[::-1])):
+        near: list = []
+        for pid in order:
+            found[pid, side] = near
+            rows = outer[pid, facing] + near
+            near = [rows[0], *[r for r in rows if r[0] != rows[0][0]][:1]]
+    return found
+
+
+def across_partitions(side: DataFrame, least: int) -> DataFrame:
+    """key, start, end of the matches of rows with their nearest neighbours of other texts in other partitions."""
+    edges = side.where(f"edge >= {FIRST}").collect()  # four rows for each partition at most
+    outside = side.sparkSession.sparkContext.broadcast(nearest_outside(edges))
+
+    def make() -> Callable:
+        near = outside.value
+
+        def run(rows: dict[str, list]) -> dict[str, list]:
+            own = list(zip(rows["key"], rows["position"], rows["right"], rows["left"]))
+            pairs = [(r, next((x for x in near[at] if x[0] != r[0]), None)) for r, at in zip(own, zip(rows["pid"], rows["edge"]))]
+            flat = [r for pair in pairs if pair[1] for r in pair]
+            if not flat:
+                return {"key": [], "start": [], "end": []}
+            i = np.arange(0, len(flat), 2)
+            key, start, end = _Rows(*map(list, zip(*flat))).matches(i, i + 1, least)
+            return {"key": key, "start": start, "end": end}
+
+        return run
+
+    return map_rows(side.where(f"edge < {FIRST}").select("key", "pid", "edge", "position", "right", "left"), make, "key binary, start int, end int")
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -211,15 +240,12 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     retained = materialize(suffixes(held))
     retained = retained.withColumn("head", F.substring("right", 1, 4 * SAMPLE))
-    found, more = None, []
+    spans = None
     # by what follows, ties by what stands before; then, among equal samples, by what stands before, ties by what follows
     for order in (["right", "left", "key", "position"], ["head", "left", "right", "key", "position"]):
         side = materialize(compared(retained.repartitionByRange(parts, *order).sortWithinPartitions(*order), least))
-        more += across_partitions(side.where("edge IS NOT NULL").collect(), least)  # two rows for each partition
-        found = side if found is None else found.union(side)
-    spans = found.where("edge IS NULL").select("key", "start", "end")
-    if more:
-        spans = spans.union(spark.createDataFrame([(bytearray(k), s, e) for k, s, e in more], "key binary, start int, end int"))
+        found = side.where("edge IS NULL").select("key", "start", "end").union(across_partitions(side, least))
+        spans = found if spans is None else spans.union(found)
     whole = texts.where(f"copies > 1 AND n_words >= {least}").select("key", F.lit(0).alias("start"), F.col("n_words").alias("end"))
     return rows.select("doc_id", "key").join(merged(spans.union(whole)), "key").select(
         "doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words")

@@ -294,6 +294,29 @@ def test_repeats_within_one_text_do_not_count(spark):
     assert suffix_repeats.repeats(docs(spark, [f"{text} {text}", "other"])).count() == 0
 
 
+def test_repeats_are_found_where_one_text_fills_partitions(spark):
+    rng = random.Random(37)
+    passage = " ".join(words(rng, 60))
+    hot = " ".join(f"{passage} {' '.join(words(rng, 10))}" for _ in range(300))
+    texts = [hot, f"{' '.join(words(rng, 70))} {passage} {' '.join(words(rng, 70))}", " ".join(words(rng, 300))]
+    got = {(r["doc_id"], k) for r in suffix_repeats.repeats(docs(spark, texts)).collect() for k in range(r["start_word"], r["end_word"])}
+    assert got == brute_repeats(texts)
+
+
+def test_nearest_rows_outside_are_of_two_texts():
+    def row(pid: int, edge: int, rank: int, key: bytes, position: int) -> dict:
+        return {"pid": pid, "edge": edge, "start": rank, "key": key, "position": position, "right": b"", "left": b""}
+
+    first, last = suffix_repeats.FIRST, suffix_repeats.LAST
+    edges = [row(0, last, 0, b"b", 2), row(0, last, 1, b"a", 1), row(0, first, 0, b"a", 0), row(0, first, 1, b"b", 2)]
+    edges += [row(2, e, 0, b"b", 3) for e in (first, last)] + [row(3, e, 0, b"b", 4) for e in (first, last)] + [row(4, e, 0, b"c", 5) for e in (first, last)]
+    near = {at: [(r[0], r[1]) for r in rows] for at, rows in suffix_repeats.nearest_outside(edges).items()}
+    before, after = suffix_repeats.BEFORE, suffix_repeats.AFTER
+    assert near[0, before] == near[4, after] == [] and near[2, before] == [(b"b", 2), (b"a", 1)]
+    assert near[3, before] == [(b"b", 3), (b"a", 1)] and near[4, before] == [(b"b", 4), (b"a", 1)]
+    assert near[3, after] == [(b"c", 5)] and near[2, after] == [(b"b", 4), (b"c", 5)] and near[0, after] == [(b"b", 3), (b"c", 5)]
+
+
 def test_long_repeats_have_a_minimiser():
     rng = np.random.default_rng(23)
     for _ in range(50):
