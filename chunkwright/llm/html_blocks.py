@@ -5,7 +5,9 @@ or nothing if it stands in a menu, header, footer, sidebar, notice, advert, form
 script or style, consists of links, or stands outside the page's article (where it marks one). The
 sums of weights over WINDOW lines rise from zero at surge points and return to it at dive points;
 the lines with weight between a surge and its dive are the text. On pages that mark no article,
-stretches whose peak is under PEAK_SHARE of the highest are left out.
+stretches whose peak and whose heaviest line are both under PEAK_SHARE of the main stretch's are left
+out, unless they stand in its container (other than the page itself), or between its heading and the
+last stretch that is kept.
 
 Defined results: null or empty html gives an empty text; null urls stay null; repeated rows each
 give a row; unclosed and stray tags are tolerated; extra columns are ignored.
@@ -33,6 +35,8 @@ BLOCK = (
     "html body head title p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th section article main header footer "
     "aside nav blockquote pre figure figcaption form fieldset hr address details summary menu dialog center option"
 ).split()
+CONTAINER = "div section td center".split()
+HEADING = "h1 h2 h3 h4 h5 h6".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 #: Words of class, id and role names that mark what isn't the article.
 OUT_NAMES = (
@@ -63,20 +67,21 @@ def _out(name: str, rest: str, in_root: bool) -> bool:
     return not words.isdisjoint(_OUT_NAMES) or not in_root and not words.isdisjoint(_OUTER_NAMES)
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
-    """(text, left out, in the article, characters of links) for each block with text, and whether an article is marked."""
-    found: list[tuple[str, bool, bool, int]] = []
+def lines(page: str) -> tuple[list[tuple[str, bool, bool, int, int, int]], bool, list[int]]:
+    """(text, left out, in the article, characters of links, heading level or 0, container) for each block with text, whether an article is marked, and each container's outer one (0: the page)."""
+    found: list[tuple[str, bool, bool, int, int, int]] = []
+    outer = [0]
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, left out, in the article
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, left out, in the article, heading level, container
     out = root = marked = False
-    links = anchor = 0
+    links = anchor = level = container = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append((text, out, root, links))
+                found.append((text, out, root, links, level, container))
             parts.clear()
         links = 0
 
@@ -110,22 +115,46 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
                     stack.pop()
                 if stack and (stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li"):
                     stack.pop()
-            up_out, up_root = stack[-1][1:] if stack else (False, False)
+            up_out, up_root, up_level, up_container = stack[-1][1:] if stack else (False, False, 0, 0)
             inside = up_root or name in _ROOT and not up_out
-            stack.append((name, up_out or _out(name, m["rest"], inside), inside))
+            if name in CONTAINER:
+                outer.append(up_container)
+                up_container = len(outer) - 1
+            stack.append((name, up_out or _out(name, m["rest"], inside), inside, int(name[1]) if name in HEADING else up_level, up_container))
             marked = marked or name in _ROOT and not up_out
         anchor = any(x[0] == "a" for x in stack[-4:])
-        out, root = stack[-1][1:] if stack else (False, False)
+        out, root, level, container = stack[-1][1:] if stack else (False, False, 0, 0)
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return found, marked
+    return found, marked, outer
+
+
+def _kept(found: list, weights: list[int], stretches: list[tuple[int, int, int]], outer: list[int], peak_share: float) -> list[tuple[int, int, int]]:
+    """The stretches of a page without article that belong to its text."""
+    lots = [[i for i in range(surge, dive) if weights[i]] for surge, dive, _ in stretches]
+    heaviest = [max(weights[i] for i in lot) for lot in lots]
+    top = max(range(len(stretches)), key=lambda k: stretches[k][2])
+    keep = [peak >= peak_share * stretches[top][2] or heavy >= peak_share * heaviest[top] for (*_, peak), heavy in zip(stretches, heaviest)]
+    places = {found[i][5] for i in lots[top]}
+    home = places.pop()
+    for c in places:  # a container's number is higher than its outer one's
+        while c != home:
+            c, home = (outer[c], home) if c > home else (c, outer[home])
+    inside = [False] * len(outer)
+    for c in range(1, len(outer)):
+        inside[c] = home > 0 and (c == home or inside[outer[c]])
+    keep = [kept or any(inside[found[i][5]] for i in lot) for kept, lot in zip(keep, lots)]
+    heads = [(found[i][4], -k) for k in range(top + 1) for i in lots[k] if found[i][4]]
+    start = min(keep.index(True), -min(heads)[1] if heads else top)
+    last = len(keep) - 1 - keep[::-1].index(True)
+    return stretches[start : last + 1]
 
 
 def main_text(page: str | None, window: int = WINDOW, peak_share: float = PEAK_SHARE) -> str:
     """The text between surge and dive points."""
-    found, marked = lines(page or "")
-    weights = [0 if out or marked and not root or not root and links > LINK_SHARE * len(text) else len(text) for text, out, root, links in found]
+    found, marked, outer = lines(page or "")
+    weights = [0 if out or marked and not root or not root and links > LINK_SHARE * len(text) else len(text) for text, out, root, links, *_ in found]
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     stretches: list[tuple[int, int, int]] = []  # surge, dive, peak
     i = 0
@@ -137,8 +166,9 @@ def main_text(page: str | None, window: int = WINDOW, peak_share: float = PEAK_S
         while i < len(sums) and sums[i]:
             i += 1
         stretches.append((surge, i, max(sums[surge:i])))
-    least = 0 if marked else peak_share * max((peak for *_, peak in stretches), default=0)
-    return "\n\n".join(found[i][0] for surge, dive, peak in stretches if peak >= least for i in range(surge, dive) if weights[i])
+    if stretches and not marked:
+        stretches = _kept(found, weights, stretches, outer, peak_share)
+    return "\n\n".join(found[i][0] for surge, dive, _ in stretches for i in range(surge, dive) if weights[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:

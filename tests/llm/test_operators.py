@@ -371,6 +371,18 @@ def test_pages_without_article_use_the_distribution():
     assert got.count("\n\n") == 4 and "link" not in got and "tiny" not in got
 
 
+def test_small_stretches_of_the_text_stay_on_pages_without_article():
+    para = [f"<p>{'word ' * 200}{i}</p>" for i in range(4)]
+    gap = "<div class=ad>Buy</div>" * 5
+    close, note = f"<p>{'close ' * 80}</p>", "<p>A short last line.</p>"
+    body = "".join(para)
+    assert "close" in html_blocks.main_text(body + gap + close)
+    assert html_blocks.main_text(f"<div>{body}{gap}{note}</div><p>{gap}tiny</p>").endswith("A short last line.")
+    got = html_blocks.main_text(f"<p>tiny</p>{gap}<h1>The title</h1><p class=share>a</p><p class=share>b</p><p class=share>c</p><p class=share>d</p>{body}")
+    assert got.startswith("The title\n\nword") and "tiny" not in got
+    assert "short last" in html_blocks.main_text(body + gap + note + gap + body)
+
+
 def test_extract_takes_awkward_pages(spark):
     rows = [(None, None, None), (1, "u", "<p>x" * 3000), (1, "u", "<p>x" * 3000), (2, "v", "<a title='>\"" + "<b" * 500)]
     got = html_blocks.extract(spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("clash"))).collect()
