@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,19 +23,27 @@ BATCH_ROWS = 1000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set."""
+    """The cluster's shared checkpoint folder. Where none is set, a folder of our own, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="chunkwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete path when the driver's process ends."""
+
     def drop() -> None:
         if spark.sparkContext._jsc is not None:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            delete(spark, path)
 
     atexit.register(drop)
 
@@ -47,10 +56,31 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/chunkwright/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _drop_at_exit(spark, path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables as materialize makes them, dropped at the end of a with block.
+
+    What leaves the block must not read them any more: materialize it within the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{checkpoint_dir(spark)}/chunkwright/{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with the session's Arrow batches kept to BATCH_ROWS rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -112,16 +142,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: An odd base of window hashes (fixed value), and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n - 1) modulo 2^64."""
+    found = _powers.get(base)
+    if found is None or len(found) < n:
+        found = _powers[base] = np.r_[np.uint64(1), np.cumprod(np.full(2 * n, base, np.uint64))]
+    return found[:n]
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-word shingles, in text order; fewer words than k make one shingle, no words none."""
+    """Hashes of the k-word shingles, in text order; fewer words than k make one shingle, no words none.
+
+    Prefix sums of a polynomial modulo 2^64, whose windows are shifted to a common power.
+    """
     n = len(words)
     if n == 0:
         return words
     k = min(k, n)
-    out = np.zeros(n - k + 1, dtype=np.uint64)
-    for i in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[i : n - k + 1 + i])
-    return out
+    sums = np.r_[np.uint64(0), np.cumsum(words * powers(BASE, n))]
+    return mix((sums[k:] - sums[:-k]) * powers(INVERSE, n - k + 1))
 
 
 def occurrences(values: np.ndarray) -> np.ndarray:

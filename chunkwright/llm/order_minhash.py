@@ -1,23 +1,34 @@
 """Near duplicates by Order MinHash.
 
-A text is the sequence of the five-word shingles of its lower-cased words (runs of word characters), each labelled with how often it stood before. A
-sketch takes, for each of BANDS hash functions, the DRAWN shingles of smallest hash and keeps them in
-text order, so that texts share a band only if the same shingles come in the same order. Texts of a
-bucket are compared to the bucket's leader by banded alignment: matches of labelled shingles further
-than the band from the diagonal are left out, the longest increasing chain of the others is the
-alignment, and its length over the number of different positions is the similarity. Texts that the
-leader rejects become leaders in turn, LEADERS in the first round and four times as many in each
-further one, and meet the whole bucket but for those
-texts whose distances to the first leader show that they can't be similar; buckets with more rejected
-texts than that are first split by a second shared band. Buckets elect leaders by one of four orders. So no link within a bucket is lost but those between texts that the leader has
-accepted both. Classes are the connected components of all accepted links.
-
-Exact copies are one text from the start, so a group of copies costs one comparison, and no task
-ever holds a bucket.
+A text is the sequence of the five-word shingles of its lower-cased words (runs of word characters),
+each labelled with how often it stood before. A sketch takes, for each of BANDS hash functions, the
+DRAWN shingles of smallest hash and keeps them in text order, so that texts share a band only if the
+same shingles come in the same order. Candidates are texts that share a band. They are verified by
+banded alignment: matches of labelled shingles further than the band from the diagonal are left out,
+the longest increasing chain of the others is the alignment, and its length over the number of
+different positions is the similarity. Classes are the connected components of texts linked by a
+similarity of `least`.
+
+Components are what counts, so candidates are compared only while they are in different ones:
+
+1. In each bucket the text that meets most others, summed over its buckets, leads, and is compared
+   with all other members.
+2. In buckets that still hold several components, each text outside the bucket's largest component
+   is compared with all texts of others.
+
+A parity vector goes before each alignment: a bit for each of CELLS cells of the shingles' hash,
+flipped by each shingle. Two vectors differ in no more bits than the texts differ in shingles, so
+pairs whose vectors differ in too many bits can't be similar, and no similar pair is lost by it. It
+stands in the join's condition, so the second step emits only pairs that may be links. In a bucket
+of texts that stay unlinked its evaluations grow with the square of their number; no pair is skipped.
+
+Exact copies are one text from the start, so a group of copies costs one comparison.
 
 Defined results: null text is empty, and all texts without words are one class; texts under five
-words have one shingle; null or repeated doc_ids and repeated rows each give a row; the smallest
-doc_id (nulls last) stands for its class; an empty table gives no rows; extra columns are ignored.
+words have one shingle; very long texts are read whole; null or repeated doc_ids and repeated rows
+each give a row; the smallest doc_id (nulls last, then the smallest hash of the text) stands for its
+class; of rows equal in doc_id and text deduplicate keeps one; leaders that meet equally many others
+are chosen by hash; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,23 +38,24 @@ from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import WordIds, map_rows, materialize, mix, occurrences, shingle_hashes, text_of
+from chunkwright.llm.common import Scratch, WordIds, map_rows, materialize, mix, occurrences, shingle_hashes, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At similarity 0.8, a band is shared with probability 0.8^5, one of 28 with 0.99998, two with 0.9998.
+#: At similarity 0.8, a band is shared with probability 0.8^5, one of 28 with 0.99998.
 BANDS, DRAWN = 28, 5
 #: Texts of few shingles have bands of their own with fewer drawn.
 SHORT, SHORT_BANDS, SHORT_DRAWN = 8, 12, 2
-ORDERS = 4
-#: Leaders that a bucket elects in the round after its first one; each later round has four times as many as the one before.
-LEADERS = 16
+#: Bits of the parity vector.
+CELLS = 2048
+#: Ids that are broadcast, so that the texts needn't be shuffled; beyond, they are joined by shuffle, with the same result.
+MAX_BROADCAST = 500_000
 
 _WORD = re.compile(r"\w+")
 
-_SEEDS = mix(np.arange(1, 1 + max(BANDS, SHORT_BANDS), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, 1 + BANDS + SHORT_BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def labelled_shingles(text: str, words: WordIds) -> np.ndarray:
@@ -51,25 +63,29 @@ def labelled_shingles(text: str, words: WordIds) -> np.ndarray:
     return mix(shingles ^ mix(occurrences(shingles) + np.uint64(1)))
 
 
-def _bands(x: np.ndarray, bands: int, drawn: int, salt: int) -> np.ndarray:
+def _bands(x: np.ndarray, seeds: np.ndarray, drawn: int) -> np.ndarray:
     drawn = min(drawn, len(x))
-    hashed = mix(x[None, :] ^ _SEEDS[:bands, None])
-    taken = np.argpartition(hashed, drawn - 1, axis=1)[:, :drawn] if drawn < len(x) else np.tile(np.arange(len(x)), (bands, 1))
+    hashed = x[None, :] * seeds[:, None]  # x is a hash already, so an odd factor shuffles it anew
+    taken = np.argpartition(hashed, drawn - 1, axis=1)[:, :drawn] if drawn < len(x) else np.tile(np.arange(len(x)), (len(seeds), 1))
     taken.sort(axis=1)  # back in text order
-    out = _SEEDS[:bands] + np.uint64(salt)
+    out = seeds.copy()
     for j in range(drawn):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + x[taken[:, j]])
     return out
 
 
 def sketch(x: np.ndarray) -> np.ndarray:
-    """The buckets of a text."""
+    """The buckets of a text, in the order of the bands."""
     if not len(x):
         return np.zeros(1, np.uint64)
-    found = [_bands(x, BANDS, DRAWN, 0)]
-    if len(x) <= SHORT:
-        found.append(_bands(x, SHORT_BANDS, SHORT_DRAWN, 1))
-    return np.unique(np.concatenate(found))
+    found = _bands(x, _SEEDS[:BANDS], DRAWN)
+    return np.r_[found, _bands(x, _SEEDS[BANDS:], SHORT_DRAWN)] if len(x) <= SHORT else found
+
+
+def parity(x: np.ndarray) -> np.ndarray:
+    """For each cell of the hash, whether an odd number of x falls into it, as CELLS / 64 integers."""
+    odd = np.bincount((x % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _chained(j: np.ndarray) -> int:
@@ -83,24 +99,22 @@ def _chained(j: np.ndarray) -> int:
     return len(tails)
 
 
-def align(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> tuple[float, int]:
-    """Aligned shingles over all positions of the banded alignment (0 under `least`), and the number of insertions and deletions."""
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Aligned shingles over all positions of the banded alignment (0 under `least`)."""
     n, m = len(a), len(b)
     if not n or not m:
-        return float(n == m), n + m
+        return float(n == m)
+    if min(n, m) < least * max(n, m):
+        return 0.0
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    order = np.argsort(i)
-    i, j = i[order], j[order]
-    if min(n, m) >= least * max(n, m):
-        band = int((n + m) * (1 - least) / (1 + least))  # insertions and deletions that `least` leaves room for
-        chained = _chained(j[np.abs(i - j) <= band])
-        if chained / (n + m - chained) >= least:
-            return chained / (n + m - chained), n + m - 2 * chained
-    return 0.0, n + m - 2 * _chained(j)
-
-
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    return align(a, b, least)[0]
+    if len(i) < least * (n + m - len(i)):
+        return 0.0
+    j = j[np.argsort(i)]
+    i = np.sort(i)
+    band = int((n + m) * (1 - least) / (1 + least))  # insertions and deletions that `least` leaves room for
+    chained = _chained(j[np.abs(i - j) <= band])
+    found = chained / (n + m - chained)
+    return found if found >= least else 0.0
 
 
 def text_key(name: str = "text") -> Column:
@@ -108,17 +122,22 @@ def text_key(name: str = "text") -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, buckets."""
+    """doc_id, key of the text, number of shingles, parity vector, buckets."""
 
     def make() -> Callable:
         words = WordIds()
 
         def run(rows: dict[str, list]) -> dict[str, list]:
-            return {"doc_id": rows["doc_id"], "key": rows["key"], "buckets": [sketch(labelled_shingles(t, words)).view(np.int64) for t in rows["text"]]}
+            lots = [labelled_shingles(t, words) for t in rows["text"]]
+            return {
+                "doc_id": rows["doc_id"], "key": rows["key"], "n": [len(x) for x in lots],
+                "parity": [parity(x) for x in lots], "buckets": [sketch(x).view(np.int64) for x in lots],
+            }
 
         return run
 
-    return map_rows(docs.select("doc_id", text_key().alias("key"), text_of().alias("text")), make, "doc_id long, key binary, buckets array<long>")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), text_of().alias("text"))
+    return map_rows(read, make, "doc_id long, key binary, n int, parity array<long>, buckets array<long>")
 
 
 def distinct_texts(rows: DataFrame, *firsts: str) -> DataFrame:
@@ -127,124 +146,117 @@ def distinct_texts(rows: DataFrame, *firsts: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, text for the wanted keys; wanted: key, doc_id of one row with that text."""
-    rows = docs.select(text_key().alias("key"), F.col("doc_id").alias("__id"), text_of().alias("text"))
-    found = rows.join(wanted, (rows["key"] == wanted["key"]) & rows["__id"].eqNullSafe(wanted["doc_id"])).select(rows["key"], "text")
-    return found.groupBy("key").agg(F.first("text").alias("text"))
+    """id, text for the wanted texts; wanted: id, key, doc_id of one row with that text."""
+    rows = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("row_id"), text_of().alias("text"))
+    found = rows.join(wanted, (rows["key"] == wanted["key"]) & rows["row_id"].eqNullSafe(wanted["doc_id"])).select("id", "text")
+    return found.groupBy("id").agg(F.first("text").alias("text"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity, distance, n_a, n_b (shingles) of the pairs (a, b)."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(texts.select("key", "doc_id"), "key")
-    held = materialize(texts_of(docs, wanted))
-    both = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+def accepted(scratch: Scratch, docs: DataFrame, pairs: DataFrame, cards: DataFrame, least: float) -> DataFrame:
+    """The pairs a, b (ids) that are similar. cards: id, key, doc_id."""
+    pairs = scratch.keep(pairs)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = cards.select("id", "key", "doc_id").join(ids, "id", "left_semi")
+    held = scratch.keep(texts_of(docs, F.broadcast(wanted) if 2 * pairs.count() <= MAX_BROADCAST else wanted))
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def make() -> Callable:
         words = WordIds()
         last: list = [None, None]  # rows come sorted by b
 
         def run(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"a": rows["a"], "b": rows["b"], "similarity": [], "distance": [], "n_a": [], "n_b": []}
+            out: dict[str, list] = {"a": rows["a"], "b": rows["b"], "similarity": []}
             for a, b, key in zip(rows["text_a"], rows["text_b"], rows["b"]):
                 if key != last[0]:
                     last[:] = key, labelled_shingles(b, words)
-                own = labelled_shingles(a, words)
-                for name, value in zip(("similarity", "distance", "n_a", "n_b"), (*align(own, last[1], least), len(own), len(last[1]))):
-                    out[name].append(value)
+                out["similarity"].append(similarity(labelled_shingles(a, words), last[1], least))
             return out
 
         return run
 
-    return map_rows(both, make, "a binary, b binary, similarity double, distance int, n_a int, n_b int")
-
-
-def paired(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of crowded buckets in buckets for each pair of the bucket and another one of theirs; those with someone to meet.
-
-    Texts that share one band alone by a frequent line or passage part here; similar ones share
-    several bands, two at least with probability 0.9998 at similarity 0.8.
-    """
-    others = texts.select("key", F.explode("buckets").alias("second"))
-    both = members.join(others, "key").where("second <> bucket").select(F.xxhash64("bucket", "second").alias("bucket"), "key", "distance", "n", "open")
-    met = both.groupBy("bucket").agg(F.count("*").alias("k"), F.max("open").alias("any")).where("k > 1 AND any").select("bucket")
-    return both.join(materialize(met), "bucket", "left_semi")
-
-
-def links(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """a, b of accepted links between different texts."""
-    order = F.xxhash64("key", F.pmod("bucket", F.lit(ORDERS)))
-    every = texts.select("key", F.explode("buckets").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "key")).alias("lead")).where("n > 1").select("bucket", F.col("lead.key").alias("b"))
-    shared = materialize(shared)  # so that a frequent bucket's partition can be split in the join
-    met = materialize(every.join(shared, "bucket").where("key <> b").select("bucket", F.col("key").alias("a"), "b"))
-    judged = materialize(verified(docs, met.select("a", "b").distinct(), texts, least))
-    accepted = judged.where(F.col("similarity") >= least).select("a", "b")
-    # every member of a bucket with its distance to the first leader, for buckets in which the leader rejected one
-    met = met.join(judged, ["a", "b"])
-    unsettled = met.where(F.col("similarity") < least).select("bucket").distinct()
-    led = met.select("bucket", F.col("a").alias("key"), "distance", F.col("n_a").alias("n"), (F.col("similarity") < least).alias("open"))
-    leaders = met.select("bucket", F.col("b").alias("key"), F.lit(0).alias("distance"), F.col("n_b").alias("n"), F.lit(False).alias("open")).distinct()
-    members = materialize(led.union(leaders).join(unsettled, "bucket", "left_semi"))
-    crowded = members.where("open").groupBy("bucket").agg(F.count("*").alias("n_open")).where(F.col("n_open") > LEADERS).select("bucket")
-    crowded = materialize(crowded)
-    if not crowded.isEmpty():
-        members = materialize(members.join(crowded, "bucket", "left_anti").union(paired(members.join(crowded, "bucket"), texts)))
-    waiting = members.where("open")
-    seen = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    most = LEADERS
-    while not waiting.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(order, "key"))
-        lead = materialize(waiting.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank"))
-        most *= 4
-        other = lead.select("bucket", F.col("key").alias("k"), F.col("distance").alias("d"), F.col("n").alias("m"))
-        # distances obey the triangle inequality: pairs that differ too much in theirs to the first leader aren't similar
-        room = (F.col("n") + F.col("m")) * (1 - least) / (1 + least)
-        near = members.join(other, "bucket").where((F.col("key") != F.col("k")) & (F.abs(F.col("distance") - F.col("d")) <= room + 1e-6))
-        pairs = near.select(F.least("key", "k").alias("a"), F.greatest("key", "k").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        judged = materialize(verified(docs, materialize(pairs), texts, least))
-        accepted = accepted.union(judged.where(F.col("similarity") >= least).select("a", "b"))
-        seen = seen.union(judged.select("a", "b"))
-        waiting = materialize(waiting.join(lead.select("bucket", "key"), ["bucket", "key"], "left_anti"))
-    return accepted
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """key, label (the smallest key of its component) by label propagation with pointer jumping."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label")))
+    return scratch.keep(map_rows(both, make, "a long, b long, similarity double").where(F.col("similarity") >= least).select("a", "b"))
+
+
+def may_link(one: str, other: str, least: float) -> Column:
+    """Whether lengths and parity vectors leave it open that two texts are similar."""
+    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
+    differ = sum((F.bit_count(F.col(f"{one}.parity")[i].bitwiseXOR(F.col(f"{other}.parity")[i])) for i in range(CELLS // 64)), F.lit(0))
+    return (F.least(n, m) >= F.greatest(n, m) * least) & (differ <= (n + m) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """id, label (the smallest id of its component) of linked texts, by label propagation with pointer jumping."""
+    both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
     while True:
-        near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("m"))
-        moved = labels.join(near, "key").select("key", "label", F.least("label", "m").alias("next"))
-        jumped = moved.join(labels.select(F.col("key").alias("next"), F.col("label").alias("far")), "next", "left")
-        after = materialize(jumped.select("key", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
-        changed = after.where("label <> next").isEmpty()
-        labels = after.select("key", F.col("next").alias("label"))
-        if changed:
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
+        moved = labels.join(near, "id").select("id", "label", F.least("label", "m").alias("next"))
+        jumped = moved.join(labels.select(F.col("id").alias("next"), F.col("label").alias("far")), "next", "left")
+        after = jumped.select("id", "label", F.least("next", F.coalesce("far", "next")).alias("next"))
+        seen = Observation()
+        labels = scratch.keep(after.observe(seen, F.count_if(F.col("label") != F.col("next")).alias("moved")).select("id", F.col("next").alias("label")))
+        if not seen.get["moved"]:
             return labels
 
 
+def met_by_leaders(scratch: Scratch, members: DataFrame, cards: DataFrame, least: float) -> DataFrame:
+    """a, b: each bucket's leader and the members that it may be linked with. members: bucket, id, weight."""
+    lead = F.max(F.struct("weight", F.xxhash64("id").alias("draw"), F.col("id").alias("id"))).alias("lead")
+    leaders = scratch.keep(members.groupBy("bucket").agg(lead).select("bucket", F.col("lead.id").alias("leader")))  # written first, so that a frequent bucket's partition can be split in the join
+    pairs = members.join(leaders, "bucket").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    card = lambda side: cards.select(F.col("id").alias(side), F.struct("n", "parity").alias(f"card_{side}"))
+    return pairs.join(card("a"), "a").join(card("b"), "b").where(may_link("card_a", "card_b", least)).select("a", "b")
+
+
+def met_by_all(scratch: Scratch, members: DataFrame, labels: DataFrame, cards: DataFrame, least: float) -> DataFrame:
+    """a, b in a bucket and in different components, not both in the bucket's largest one, that may be linked."""
+    members = members.where("size > 2").join(labels, "id", "left")  # in a bucket of two, both have met
+    members = scratch.keep(members.select("bucket", "id", F.coalesce("label", "id").alias("comp")))
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    unsettled = scratch.keep(sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("most")).where("comps > 1").select("bucket", F.col("most.comp").alias("largest")))
+    members = members.join(unsettled, "bucket").join(cards.select("id", "n", "parity", "buckets"), "id")
+    members = scratch.keep(members.select("bucket", "id", "comp", "n", "parity", "buckets", (F.col("comp") == F.col("largest")).alias("inner")))
+    one, other = members.where("NOT inner").alias("one"), members.alias("other")
+    once = F.expr("(other.inner OR one.id < other.id) AND one.comp <> other.comp")
+    first = F.expr("array_min(array_intersect(one.buckets, other.buckets)) = one.bucket")  # of all buckets that they share
+    met = one.join(other, (F.col("one.bucket") == F.col("other.bucket")) & once & may_link("one", "other", least) & first)
+    return met.select(F.least("one.id", "other.id").alias("a"), F.greatest("one.id", "other.id").alias("b"))
+
+
+def linked(scratch: Scratch, docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """id, label of all texts that are similar to another one. texts: id, key, doc_id, n, parity, buckets."""
+    every = texts.select("id", F.explode("buckets").alias("bucket"))
+    shared = scratch.keep(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    members = scratch.keep(every.join(shared, "bucket"))
+    members = scratch.keep(members.join(members.groupBy("id").agg(F.sum("size").alias("weight")), "id"))
+    cards = scratch.keep(texts.join(members.select("id").distinct(), "id", "left_semi"))
+    links = accepted(scratch, docs, met_by_leaders(scratch, members, cards, least), cards, least)
+    labels = components(scratch, links)
+    more = accepted(scratch, docs, met_by_all(scratch, members, labels, cards, least), cards, least)
+    return labels if more.isEmpty() else components(scratch, links.union(more))
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """A row for each row of docs: doc_id, class_id, class_rows, n_links (of the text to different ones), key, rep_key, rep_rows."""
-    rows = materialize(sketches(docs))
-    texts = materialize(distinct_texts(rows, "buckets"))
-    edges = materialize(links(docs, texts, least))
-    labels = components(edges)
-    degree = edges.select("a", "b").union(edges.select("b", "a")).distinct().groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n_links"))
-    own = texts.select("key", "doc_id", "copies").join(labels, "key", "left").join(degree, "key", "left")
-    own = materialize(own.select("key", "doc_id", "copies", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    groups = own.groupBy("label").agg(best.alias("rep"), F.sum("copies").alias("class_rows"))
-    named = own.join(groups, "label").select("key", F.col("rep.doc_id").alias("class_id"), "class_rows", "n_links", F.col("rep.key").alias("rep_key"))
-    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "class_rows", "n_links", "key", "rep_key")
+    """A row for each row of docs: doc_id, class_id, class_rows, key, rep_key."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(sketches(docs))
+        texts = scratch.keep(distinct_texts(rows, "n", "parity", "buckets").withColumn("id", F.monotonically_increasing_id()))
+        labels = linked(scratch, docs, texts, least)
+        own = texts.select("id", "key", "doc_id", "copies").join(labels, "id", "left")
+        own = scratch.keep(own.select("key", "doc_id", "copies", F.coalesce("label", "id").alias("label")))
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+        groups = scratch.keep(own.groupBy("label").agg(best.alias("rep"), F.sum("copies").alias("class_rows")))
+        named = scratch.keep(own.join(groups, "label").select("key", F.col("rep.doc_id").alias("class_id"), "class_rows", F.col("rep.key").alias("rep_key")))
+        return materialize(rows.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "class_rows", "key", "rep_key"))
 
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stand for their classes, one for each, with all their columns."""
-    stay = classes(docs, least).where(F.col("key") == F.col("rep_key")).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("key", "doc_id").agg(F.count("*").alias("__n"))
-    stay = materialize(stay.select(F.col("key").alias("__rep"), F.col("doc_id").alias("__id"), "__n"))
-    keyed = docs.withColumn("__key", text_key())
-    found = keyed.join(stay, (keyed["__key"] == stay["__rep"]) & keyed["doc_id"].eqNullSafe(stay["__id"]))
-    once = found.where("__n = 1").select(*docs.columns)
-    if stay.where("__n > 1").isEmpty():
+    stay = classes(docs, least).where("key = rep_key AND doc_id <=> class_id").groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
+    stay = materialize(stay)
+    keyed = docs.select(F.struct("*").alias("row"), text_key().alias("row_key"), F.col("doc_id").cast("long").alias("row_id"))
+    found = keyed.join(stay, (keyed["row_key"] == stay["key"]) & keyed["row_id"].eqNullSafe(stay["doc_id"])).select("row", "key", "doc_id", "rows")
+    once = found.where("rows = 1").select("row.*")
+    if stay.where("rows > 1").isEmpty():
         return once
-    return once.unionByName(found.where("__n > 1").dropDuplicates(["__key", "__id"]).select(*docs.columns))
+    return once.unionByName(found.where("rows > 1").dropDuplicates(["key", "doc_id"]).select("row.*"))

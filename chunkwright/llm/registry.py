@@ -19,7 +19,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "n_links")
+    """Each document with the smallest doc_id of its class of near duplicates, and the class's number of rows."""
+    return order_minhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
