@@ -1,16 +1,20 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to one line for each block element. A line weighs as many characters as it has,
-or nothing if it stands in a menu, header, footer, sidebar, notice, advert, form, comment section,
-script or style, consists of links, or stands outside the page's article (where it marks one). The
-sums of weights over WINDOW lines rise from zero at surge points and return to it at dive points;
-the lines with weight between a surge and its dive are the text. On pages that mark no article,
-stretches whose peak and whose heaviest line are both under PEAK_SHARE of the main stretch's are left
-out, unless they stand in its container (other than the page itself), or between its heading and the
-last stretch that is kept.
-
-Defined results: null or empty html gives an empty text; null urls stay null; repeated rows each
-give a row; unclosed and stray tags are tolerated; extra columns are ignored.
+Markup is stripped to one line for each block element. A line weighs as many characters as it has
+outside links, or nothing if more than LINK_SHARE of it are links, if it stands in a menu, header,
+footer, sidebar, notice, advert, form, comment section, script or style, or outside the page's
+article (where it marks one). The sums of weights over WINDOW lines rise from zero at surge points
+and return to it at dive points; the text is what stands between a surge and its dive. So a line that
+is all links is text if text stands close to it, also in an article, while WINDOW such lines in a row
+let the sum fall to zero and are a menu, wherever they stand and whatever their names. On pages that
+mark no article, stretches whose peak and whose heaviest line are both under PEAK_SHARE of the main
+stretch's are left out, unless they stand in its container (other than the page itself), or between
+its heading and the last stretch that is kept.
+
+Defined results: null or empty html gives an empty text; null urls and page_ids stay null; repeated
+rows each give a row; very long pages are read whole, in time linear in their length; of stretches
+with equal peaks the first is the main one; unclosed and stray tags are tolerated; an empty table
+gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +42,11 @@ BLOCK = (
 CONTAINER = "div section td center".split()
 HEADING = "h1 h2 h3 h4 h5 h6".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-#: Words of class, id and role names that mark what isn't the article.
+#: Words of class, id and role names that mark what isn't the article: menus, headers, footers, sidebars, notices, adverts, forms, reader comments.
 OUT_NAMES = (
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter "
-    "subscribe subscription popup modal overlay sidebar sidebars widget widgets related recommended menu menus nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead comment comments commentlist disqus reply replies respond social share sharing login signup signin search pagination pager "
-    "complementary contentinfo toolbar skip"
+    "menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar skip masthead footer contentinfo sidebar sidebars widget widgets complementary "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
+    "newsletter subscribe subscription login signup signin comment comments commentlist disqus reply replies respond"
 ).split()
 OUTER_NAMES = "header topbar banner".split()
 
@@ -151,12 +154,18 @@ def _kept(found: list, weights: list[int], stretches: list[tuple[int, int, int]]
     return stretches[start : last + 1]
 
 
-def main_text(page: str | None, window: int = WINDOW, peak_share: float = PEAK_SHARE) -> str:
-    """The text between surge and dive points."""
-    found, marked, outer = lines(page or "")
-    weights = [0 if out or marked and not root or not root and links > LINK_SHARE * len(text) else len(text) for text, out, root, links, *_ in found]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    stretches: list[tuple[int, int, int]] = []  # surge, dive, peak
+def weigh(found: list, marked: bool) -> list[int]:
+    """The weight of each line."""
+    return [0 if out or marked and not root or links > LINK_SHARE * len(text) else len(text) - min(links, len(text) - 1) for text, out, root, links, *_ in found]
+
+
+def stretches_of(weights: list[int], window: int) -> list[tuple[int, int, int]]:
+    """Surge, dive and peak of each stretch of lines over which the window's sum isn't zero."""
+    total = [0]
+    for w in weights:
+        total.append(total[-1] + w)
+    sums = [total[min(len(weights), i + window)] - total[i] for i in range(len(weights))]
+    found = []
     i = 0
     while i < len(sums):
         if not sums[i]:
@@ -165,10 +174,42 @@ def main_text(page: str | None, window: int = WINDOW, peak_share: float = PEAK_S
         surge = i
         while i < len(sums) and sums[i]:
             i += 1
-        stretches.append((surge, i, max(sums[surge:i])))
+        found.append((surge, i, max(sums[surge:i])))
+    return found
+
+
+def main_text(page: str | None, window: int = WINDOW, peak_share: float = PEAK_SHARE) -> str:
+    """The text between surge and dive points."""
+    found, marked, outer = lines(page or "")
+    weights = weigh(found, marked)
+    stretches = stretches_of(weights, window)
     if stretches and not marked:
         stretches = _kept(found, weights, stretches, outer, peak_share)
-    return "\n\n".join(found[i][0] for surge, dive, _ in stretches for i in range(surge, dive) if weights[i])
+    # lines of links between a surge and its dive; at the edges of a stretch only where the article's mark says that they belong to it
+    shown: list[str] = []
+    for k, (surge, dive, _) in enumerate(stretches):
+        heavy = [i for i in range(surge, dive) if weights[i]]
+        first, last = heavy[0], heavy[-1]
+        if marked:
+            before = stretches[k - 1][1] if k else 0
+            after = stretches[k + 1][0] if k + 1 < len(stretches) else len(found)
+            while first > before and first > surge and _linked(found[first - 1]):
+                first -= 1
+            if first > before and _linked(found[first - 1]):
+                first = heavy[0]  # the end of a longer row of links
+            ahead = last + 1
+            while ahead < after and _linked(found[ahead]):
+                ahead += 1
+            if ahead - last <= window - 1:
+                last = ahead - 1
+        shown += [found[i][0] for i in range(first, last + 1) if weights[i] or not found[i][1] and (found[i][2] or not marked)]
+    return "\n\n".join(shown)
+
+
+def _linked(line: tuple) -> bool:
+    """Whether a line of the article is links."""
+    text, out, root, links, *_ = line
+    return root and not out and links > LINK_SHARE * len(text)
 
 
 def extract(pages: DataFrame) -> DataFrame:
