@@ -1,17 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The grammar composes small transducers over the words of a clause: one reads insults, one threats,
-one targets, one negation and one reported speech. Each is a table of states; their product is one
-automaton that labels every insult or threat with the way it is said (plain, aimed, negated,
-reported). Only matched clauses score, never single words outside the grammar.
+The grammar composes five transducers over the words of a clause, each a table of states: one reads
+insults, one threats (a threat needs someone it is aimed at), one targets, one negation and one
+reported speech. Their product is one automaton. On an insult or a threatening word it puts out how
+the word is said (NEGATED and REPORTED lower its weight), and at the clause's end what the clause is:
+nothing, an insult, an insult aimed at someone, which weighs AIMED times as much, or a threat. Only
+matched clauses score; words outside them, threatening words without a target among them, score
+nothing. A text's strength is the logarithm of one plus the sum over its clauses.
 
 The insult transducer's words and word beginnings, with their weights, are learned from labelled
-texts as smoothed log odds; the weights of the ways are fitted by logistic regression. Both use at
-most MAX_LABELLED labelled rows, those with the smallest hash of doc_id, outside the held-out fold.
-
-Defined results: null text is empty and scores as a text without matches; without labelled rows, or
-without toxic ones, all scores are 0; repeated rows each give a row; a null doc_id is not held out;
-extra columns are ignored, and lang, source and doc_id are never read by the score.
+texts as smoothed log odds; a logistic regression turns strength into a score. Both use at most
+MAX_LABELLED labelled rows, those with the smallest hash of doc_id, outside the held-out fold, and
+the lexicon has at most MAX_ENTRIES entries, those of most toxic texts, ties by term.
+
+Defined results: null and empty texts score as a text without matches; very long texts are read
+whole; without labelled rows, or without toxic ones, all scores are 0; of labels for one text toxic
+wins; repeated rows each give a row; a null doc_id is not held out; an empty table gives no rows;
+extra columns are ignored, whatever their names, and lang, source and doc_id are never read by the
+score.
 """
 
 from __future__ import annotations
@@ -42,32 +48,44 @@ TARGETS = "you your yours u ur he she they them him her du dich dir dein deine i
 NEGATIONS = "not no never neither nor isn't aren't wasn't don't doesn't nicht kein keine keinen nie niemals pas jamais aucun aucune ningún ninguna nunca tampoco".split()
 REPORTS = "said says say called calls wrote writes quoted quote claimed told according sagte sagt schrieb nannte dit dite écrit appelé dijo dice llamó escribió según".split()
 THREATS = "kill hurt destroy murder beat stab shoot strangle töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
+#: Words that a negation reaches.
 NEGATION_REACH = 3
+#: What a negation, reported speech and a target make of a match, and what a threat weighs (an insult's is its log odds).
+NEGATED, REPORTED, AIMED, THREAT_WEIGHT = 0.25, 0.5, 1.5, 4.0
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n]")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-WAYS = ("plain", "aimed", "negated", "reported", "threat", "aimed_threat")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = SYMBOLS = range(7)
 
 
 def _component(states: int, moves: dict[tuple[int, int], int]) -> list[list[int]]:
     """A transducer's table: states x symbols, staying where no move is given; clause ends lead to state 0."""
-    return [[0 if symbol == END else moves.get((state, symbol), state) for symbol in range(7)] for state in range(states)]
-
-
-def compose() -> tuple[list[list[int]], list[list[int]]]:
-    """The product of the target, negation and report transducers: next states, and the way of a match (-1: none)."""
-    target = _component(2, {(0, TARGET): 1})
-    # negation counts words down from its reach
-    negation = [[0 if symbol == END else NEGATION_REACH if symbol == NEGATION else max(0, state - 1) for symbol in range(7)] for state in range(NEGATION_REACH + 1)]
-    report = _component(2, {(0, REPORT): 1})
-    states = list(product(range(len(target)), range(len(negation)), range(len(report))))
-    number = {s: i for i, s in enumerate(states)}
-    after = [[number[target[t][x], negation[n][x], report[r][x]] for x in range(7)] for t, n, r in states]
-    ways = [[-1] * 7 for _ in states]
-    for i, (t, n, r) in enumerate(states):
-        ways[i][INSULT] = 3 if r else 2 if n else 1 if t else 0
-        ways[i][THREAT] = -1 if r or n else 5 if t else 4
-    return after, ways
+    return [[0 if symbol == END else moves.get((state, symbol), state) for symbol in SYMBOLS] for state in range(states)]
+
+
+class Automaton:
+    """The product of the five transducers.
+
+    after[state][symbol]: the next state. said[state][symbol]: what a match read there is multiplied by
+    (0: no match). clause[state]: what insults and what threats count at the clause's end.
+    """
+
+    def __init__(self):
+        insult = _component(2, {(0, INSULT): 1})
+        threat = _component(3, {(0, THREAT): 1, (1, TARGET): 2})  # 1: a threatening word that waits for its target
+        target = _component(2, {(0, TARGET): 1})
+        # negation counts words down from its reach
+        negation = [[0 if symbol == END else NEGATION_REACH if symbol == NEGATION else max(0, state - 1) for symbol in SYMBOLS] for state in range(NEGATION_REACH + 1)]
+        report = _component(2, {(0, REPORT): 1})
+        tables = (insult, threat, target, negation, report)
+        states = list(product(*(range(len(t)) for t in tables)))
+        number = {s: i for i, s in enumerate(states)}
+        self.after = [[number[tuple(t[x][symbol] for t, x in zip(tables, s))] for symbol in SYMBOLS] for s in states]
+        self.said, self.clause = [], []
+        for insulted, threatened, aimed, negated, reported in states:
+            factor = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
+            self.said.append([factor if symbol in (INSULT, THREAT) else 0.0 for symbol in SYMBOLS])
+            made = threatened == 2 or threatened == 1 and aimed  # the target may stand before the threat
+            self.clause.append(((AIMED if aimed else 1.0) if insulted else 0.0, 1.0 if made else 0.0))
 
 
 class Grammar(dict):
@@ -77,36 +95,46 @@ class Grammar(dict):
         super().__init__()
         self.words, self.beginnings, self.most = words, beginnings, most
         self.closed = dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(THREATS, THREAT)
-        self.after, self.ways = compose()
+        self.automaton = Automaton()
 
     def __missing__(self, token: str) -> tuple[int, float]:
         if len(self) >= self.most:
             self.clear()
         word = token.lower()
         weight = self.words.get(word) or max((self.beginnings.get(word[:n], 0.0) for n in BEGINNINGS if n <= len(word)), default=0.0)
-        found = (END, 0.0) if not token[0].isalnum() else (INSULT, weight) if weight else (self.closed.get(word, OTHER), 0.0)
+        if not token[0].isalnum():
+            found = END, 0.0
+        elif word in self.closed:
+            found = self.closed[word], THREAT_WEIGHT
+        else:
+            found = (INSULT, weight) if weight else (OTHER, 0.0)
         self[token] = found
         return found
 
-    def read(self, text: str) -> tuple[list[float], int]:
-        """The weight of matches by way, summed with falling returns, and the number of matched clauses."""
+    def clauses(self, text: str) -> list[float]:
+        """The scores of the matched clauses."""
         marks = list(map(self.__getitem__, _TOKEN.findall(text)))
-        sums, clauses = [0.0] * len(WAYS), 0
         if not any(m[0] in (INSULT, THREAT) for m in set(marks)):
-            return sums, 0
-        state, matched = 0, False
-        for i, (symbol, weight) in enumerate(marks):
-            way = self.ways[state][symbol]
-            if way == 0 and i + 1 < len(marks) and marks[i + 1][0] == TARGET:
-                way = 1  # the target may follow
-            if way >= 0:
-                sums[way] += weight or 1.0
-                matched = True
+            return []
+        a = self.automaton
+        found, state, insults, threats = [], 0, 0.0, 0.0
+        for symbol, weight in (*marks, (END, 0.0)):
             if symbol == END:
-                clauses += matched
-                matched = False
-            state = self.after[state][symbol]
-        return [math.log1p(s) for s in sums], clauses + matched
+                score = a.clause[state][0] * insults + a.clause[state][1] * threats
+                if score:
+                    found.append(score)
+                insults = threats = 0.0
+            elif symbol == INSULT:
+                insults += a.said[state][symbol] * weight
+            elif symbol == THREAT:
+                threats += a.said[state][symbol] * weight
+            state = a.after[state][symbol]
+        return found
+
+    def read(self, text: str) -> tuple[float, int]:
+        """The text's strength and its number of matched clauses."""
+        found = self.clauses(text)
+        return math.log1p(sum(found)), len(found)
 
 
 def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
@@ -163,29 +191,28 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], float]
     return words, beginnings, n_toxic / totals[1]
 
 
-def fit_ways(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Logistic regression by Newton steps; the first weight is the bias, the others don't fall below 0."""
-    x = np.c_[np.ones(len(features)), features]
-    w = np.zeros(x.shape[1])
+def fit_score(strength: np.ndarray, labels: np.ndarray, ridge: float = 0.1, steps: int = 25) -> tuple[float, float]:
+    """Bias and weight of the strength by logistic regression; the weight isn't below 0."""
+    x = np.c_[np.ones(len(strength)), strength]
+    w, penalty = np.zeros(2), np.array([0.0, ridge])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        penalty = np.r_[0.0, np.full(len(w) - 1, ridge)]
         gradient = x.T @ (p - labels) + penalty * w
         hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)
         w = w - np.linalg.solve(hessian, gradient)
-    return np.r_[w[0], np.maximum(0.0, w[1:])]
+    return float(w[0]), max(0.0, float(w[1]))
 
 
 class Model:
     """Lexicon and weights, as they are sent to the workers."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float], weights: list[float] | None):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], weights: tuple[float, float] | None):
         self.words, self.beginnings, self.weights = words, beginnings, weights
 
-    def score(self, sums: list[float]) -> float:
+    def score(self, strength: float) -> float:
         if self.weights is None:
             return 0.0
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], sums))))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + self.weights[1] * strength))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
@@ -196,11 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
 
     def make() -> Callable:
         grammar = Grammar(words, beginnings)
-        return lambda r: {"toxic": r["toxic"], "sums": [grammar.read(t)[0] for t in r["text"]]}
+        return lambda r: {"toxic": r["toxic"], "strength": [grammar.read(t)[0] for t in r["text"]]}
 
-    seen = map_rows(rows.select("toxic", "text"), make, "toxic int, sums array<double>").collect()  # at most `most` rows of six numbers
-    weights = fit_ways(np.array([r[1] for r in seen]), np.array([r[0] for r in seen], float))
-    return Model(words, beginnings, weights.tolist())
+    seen = map_rows(rows.select("toxic", "text"), make, "toxic int, strength double").collect()  # at most `most` rows of two numbers
+    return Model(words, beginnings, fit_score(np.array([r[1] for r in seen]), np.array([r[0] for r in seen], float)))
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -212,12 +238,12 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataF
 
         def run(rows: dict[str, list]) -> dict[str, list]:
             read = [grammar.read(text or "") for text in rows["text"]]
-            scores = [model.value.score(sums) for sums, _ in read]
+            scores = [model.value.score(strength) for strength, _ in read]
             return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "score": scores, "predicted": [int(s >= THRESHOLD) for s in scores], "n_clauses": [n for _, n in read]}
 
         return run
 
-    return map_rows(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), make, "doc_id long, held_out boolean, score double, predicted int, n_clauses int")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text"), make, "doc_id long, held_out boolean, score double, predicted int, n_clauses int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
