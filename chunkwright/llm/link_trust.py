@@ -1,14 +1,19 @@
 """URL filters by link-graph propagation.
 
 Rules judge the urls that they fit. For the others, hosts are scored on the graph of links between
-hosts: a personalised PageRank spreads trust from hosts in proportion to their allowed pages along
-links, another spreads distrust from blocked ones against links. Scores are in the scale of the
-seeds (share of a host's pages that rules judge), and a host whose distrust exceeds its trust by
-`threshold` is blocked.
+hosts by two personalised PageRanks: trust starts from hosts in proportion to their allowed pages and
+follows links, distrust starts from blocked ones and goes against links. A walk starts anew with
+probability 1 - DAMPING, and always from hosts that lead nowhere, so ranks keep the seeds' sum. Rounds
+go on until a round moves less than CLOSE of that sum. Scores are ranks in units of what a host
+holds that rules judge wholly (the seeds' mean of rank by seed), and a host whose distrust exceeds
+its trust by `threshold` is blocked.
 
 Defined results: null urls and urls without `://` have an empty host and path, fit no rule and are
-allowed; null html has no links; repeated rows count as pages of their own; without links the
-scores are the seeds; extra columns are ignored.
+allowed; null html has no links; very long pages are read whole; repeated rows count as pages of their
+own; without links between hosts the scores are the seeds, i.e. a host's other pages are blocked where
+at least half of its pages more are blocked than allowed by rules; distrust that exceeds trust by
+just the threshold blocks; an empty table gives no rows; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,8 +26,9 @@ from chunkwright.llm.common import materialize
 #: The rules, host and path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-ROUNDS, ROUNDS_AT_ONCE = 20, 5
-CLOSE = 1e-6
+ROUNDS_AT_ONCE = 5
+#: A round that moves less than this share of all rank is the last: ranks are off by less than CLOSE * DAMPING / (1 - DAMPING) of it.
+CLOSE = 1e-5
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,42 +59,48 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.select("src", to.alias("dst")).where("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(hosts: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(hosts: DataFrame, links: DataFrame, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
     """host, trust, distrust. hosts: host, trust_seed, distrust_seed. Both walks run in one frame, keyed by kind."""
     one_way = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n")
     edges = one_way.unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
-    weights = edges.join(edges.groupBy("kind", "a").agg(F.sum("n").alias("all")), ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w"))
-    weights = materialize(weights)
+    edges = materialize(edges)
+    out = materialize(edges.groupBy("kind", "a").agg(F.sum("n").alias("all")))  # written first, so that a hub's partition can be split in the join
+    weights = materialize(edges.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")))
     seeds = hosts.selectExpr("host", "stack(2, 'trust', trust_seed, 'distrust', distrust_seed) AS (kind, seed)")
     reached = weights.selectExpr("kind", "b AS host").distinct().select("host", "kind", F.lit(0.0).alias("seed"))
     seeds = seeds.unionByName(reached).groupBy("host", "kind").agg(F.max("seed").alias("seed"))
-    ends = weights.selectExpr("kind", "a AS host").distinct().withColumn("goes", F.lit(True))
-    ranks = materialize(seeds.join(ends, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("goes", F.lit(False)).alias("goes"), F.col("seed").alias("rank")))
-    if weights.isEmpty():  # nothing flows
-        rounds = 0
-    for at in range(0, rounds, ROUNDS_AT_ONCE):
-        before = ranks
-        for _ in range(min(ROUNDS_AT_ONCE, rounds - at)):
+    ends = out.selectExpr("kind", "a AS host", "true AS goes")
+    ranks = seeds.join(ends, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("goes", F.lit(False)).alias("goes"), F.col("seed").alias("rank"))
+    ranks = materialize(ranks)
+    moving = not weights.isEmpty()  # without links the ranks are the seeds
+    while moving:
+        for at in range(ROUNDS_AT_ONCE):
+            # a row for each kind
+            ended = ranks.groupBy("kind").agg(F.sum(F.when(F.col("goes"), 0.0).otherwise(F.col("rank"))).alias("ended"), F.sum("seed").alias("sown")).where("sown > 0")
             sent = ranks.where("rank > 0").selectExpr("kind", "host AS a", "rank").join(weights, ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.expr("rank * w")).alias("got"))
-            ranks = ranks.join(sent, ["kind", "host"], "left").select(
-                "kind", "host", "seed", "goes",
-                (F.lit(1 - damping) * F.col("seed") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.when(F.col("goes"), 0.0).otherwise(F.col("rank")))).alias("rank"),
+            again = F.col("seed") * ((1 - damping) + damping * F.coalesce(F.try_divide("ended", "sown"), F.lit(0.0)))
+            ranks = ranks.join(F.broadcast(ended), "kind", "left").join(sent, ["kind", "host"], "left").select(
+                "kind", "host", "seed", "goes", (again + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was")
             )
+            if at < ROUNDS_AT_ONCE - 1:
+                ranks = ranks.drop("was")
         ranks = materialize(ranks)
-        moved = ranks.join(before.selectExpr("kind", "host", "rank AS was"), ["kind", "host"]).agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        if (moved or 0) < CLOSE:
-            break
-    one = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
-    return ranks.groupBy("host").agg(one("trust"), one("distrust"))
+        moved = ranks.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved"), F.sum("seed").alias("sown"))
+        moving = not moved.where(F.col("moved") > close * F.col("sown")).isEmpty()
+        ranks = ranks.drop("was")
+    unit = ranks.groupBy("kind").agg(F.try_divide(F.sum(F.expr("rank * seed")), F.sum(F.expr("seed * seed"))).alias("unit"))  # a row for each kind
+    scaled = ranks.join(F.broadcast(unit), "kind").withColumn("score", F.coalesce(F.try_divide("rank", "unit"), F.lit(0.0)))
+    one = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
+    return scaled.groupBy("host").agg(one("trust"), one("distrust"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
-    read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     read = with_rule(read, rules)
     share = lambda said: (F.count_if(F.col("ruled") == said) / F.count("*")).alias
     hosts = materialize(read.where("host <> ''").groupBy("host").agg(share("allow")("trust_seed"), share("block")("distrust_seed")))
-    scores = propagate(hosts, host_links(read))
+    scores = materialize(propagate(hosts, host_links(read)))  # written first, so that a frequent host's partition can be split in the join
     judged = read.drop("html").join(scores, "host", "left")
     own = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= threshold, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
