@@ -5,15 +5,21 @@ WINDOW template tokens are hashed and joined between documents and benchmark ite
 a text shares with an item are then laid over each other: a leak needs enough of the item, and its
 slots must be filled consistently, each value of the item standing for one value of the document and
 the other way round. An item under WINDOW words is one window of its own length, and windows of that
-length are taken from the documents too. Each diagonal (a way to lay the text over the item) is judged on its own, so that
-an item that resembles itself further on doesn't clash with its own copy.
+length are taken from the documents too. Each diagonal (a way to lay the text over the item) is judged
+on its own, so that an item that resembles itself further on doesn't clash with its own copy. Windows
+are gathered by text, item and block of diagonals; blocks overlap by what one instance can span, so
+what is gathered in a row is bounded by the item's length, however long the text and however often it
+repeats the item.
 
 The benchmark's window hashes go to the workers only up to MAX_SHARED of them; a larger benchmark is
 met by a shuffle join over all windows of the documents instead, with the same result.
 
-Defined results: null texts are empty and match nothing; items of no windows (too few words that
-aren't placeholders) match nothing; repeated rows each give their rows; a null item_id is an id like
-any other; extra columns are ignored.
+Defined results: null texts are empty and match nothing; very long texts are read whole; items of no
+windows (too few words that aren't placeholders) match nothing; of equally good instances the one with
+slots filled as in the item counts; null or repeated doc_ids and repeated rows each give their rows; a
+null item_id is an id like any other, and equal items with ids of their own are all found; an empty
+table on either side gives no rows; extra columns are ignored, whatever their names. A document is
+cleaned away by its text, so its doc_id may be null or shared.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import map_rows, materialize, mix, shingle_hashes
+from chunkwright.llm.common import map_rows, materialize, mix, shingle_hashes, text_of
 
 WINDOW = 8
 #: Words that aren't placeholders which a window needs.
@@ -110,6 +116,10 @@ def windows(hashes: np.ndarray, slots: np.ndarray, size: int = WINDOW) -> tuple[
     return starts, mix(shingle_hashes(hashes, n)[starts] + np.uint64(n))
 
 
+def text_key() -> Column:
+    return F.unhex(F.md5(text_of()))
+
+
 WINDOWS = "array<struct<at:int,hash:bigint,slots:array<string>>>"
 
 
@@ -121,9 +131,8 @@ def _windows_of(table: DataFrame, key: str, shared=None, sizes: tuple[int, ...]
         known = None if shared is None else shared.value
 
         def run(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {key: rows[key], "text_key": [], "n": [], "windows": []}
+            out: dict[str, list] = {key: rows[key], "text_key": rows["text_key"], "n": [], "windows": []}
             for text in rows["text"]:
-                text = text or ""
                 hashes, slots, word = templates(text)
                 every = []
                 for size in [WINDOW, *(size for size in sizes if size < len(hashes))]:
@@ -133,14 +142,14 @@ def _windows_of(table: DataFrame, key: str, shared=None, sizes: tuple[int, ...]
                         hit = known[i] == found if len(known) else np.zeros(len(found), bool)
                         starts, found = starts[hit], found[hit]
                     every += [{"at": int(s), "hash": int(h), "slots": [word(int(j)) for j in np.flatnonzero(slots[s : s + size]) + s]} for s, h in zip(starts, found.view(np.int64))]
-                out["text_key"].append(xxhash.xxh3_128_hexdigest(text))
                 out["n"].append(len(hashes))
                 out["windows"].append(every)
             return out
 
         return run
 
-    return map_rows(table.select(key, "text"), make, f"{key} long, text_key string, n int, windows {WINDOWS}")
+    read = table.select(F.col(key).cast("long").alias(key), text_key().alias("text_key"), text_of().alias("text"))
+    return map_rows(read, make, f"{key} long, text_key binary, n int, windows {WINDOWS}")
 
 
 def _filled(pairs: list[dict], one: dict, back: dict) -> bool:
@@ -218,8 +227,8 @@ def _best(n: int, pairs: list[dict]) -> tuple[bool, int, int, bool] | None:
     return best and (*best[:3], not best[3])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, max_shared: int = MAX_SHARED) -> DataFrame:
-    """doc_id, item_id, covered (share of the item's words), run (words), reparameterised, for every leak."""
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, max_shared: int = MAX_SHARED) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key of the documents that share windows; text_key, item_id, covered, run, reparameterised of every leak."""
     spark = docs.sparkSession
     items = materialize(_windows_of(benchmark, "item_id"))
     item_windows = items.select("item_id", F.col("n").alias("item_n"), F.explode("windows").alias("w")).select("item_id", "item_n", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots"))
@@ -228,27 +237,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_shared: int = MAX_SHARED) -
         known = np.array([r[0] for r in item_windows.select("hash").distinct().collect()], np.int64).view(np.uint64)
         shared = spark.sparkContext.broadcast(np.sort(known))
     sizes = tuple(sorted(r[0] for r in items.where(f"n < {WINDOW} AND size(windows) > 0").select("n").distinct().collect()))  # of 4 to 7
-    found = materialize(_windows_of(docs, "doc_id", shared, sizes))
-    texts = found.where("size(windows) > 0").groupBy("text_key").agg(F.first("windows").alias("windows"))
+    found = materialize(_windows_of(docs, "doc_id", shared, sizes)).where("size(windows) > 0")
+    texts = found.groupBy("text_key").agg(F.first("windows").alias("windows"))
     pairs = texts.select("text_key", F.explode("windows").alias("w")).select("text_key", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")).join(item_windows, "hash")
-    laid = pairs.groupBy("text_key", "item_id", "item_n").agg(F.collect_list(F.struct("at", "item_at", "slots", "item_slots")).alias("pairs"))
+    # an instance reaches SLACK * item_n diagonals from its seed: each diagonal has that room in one of its two blocks of four times as many
+    block = F.expr(f"floor((at - item_at) / (2 * {SLACK} * item_n))")
+    pairs = pairs.withColumn("block", F.explode(F.array(block, block - 1)))
+    laid = pairs.groupBy("text_key", "item_id", "item_n", "block").agg(F.collect_list(F.struct("at", "item_at", "slots", "item_slots")).alias("pairs"))
 
     def make() -> Callable:
         def run(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"text_key": [], "item_id": [], "covered": [], "run": [], "reparameterised": []}
-            for text_key, item_id, n, lot in zip(rows["text_key"], rows["item_id"], rows["item_n"], rows["pairs"]):
+            out: dict[str, list] = {"text_key": [], "item_id": [], "covered": [], "run": [], "verbatim": []}
+            for key, item_id, n, lot in zip(rows["text_key"], rows["item_id"], rows["item_n"], rows["pairs"]):
                 leak, covered, run_length, anew = _best(n, lot) or (False, 0, 0, False)
                 if leak:
-                    for name, value in (("text_key", text_key), ("item_id", item_id), ("covered", covered / n), ("run", run_length), ("reparameterised", anew)):
+                    for name, value in (("text_key", key), ("item_id", item_id), ("covered", covered / n), ("run", run_length), ("verbatim", not anew)):
                         out[name].append(value)
             return out
 
         return run
 
-    judged = map_rows(laid, make, "text_key string, item_id long, covered double, run int, reparameterised boolean")
-    return found.where("size(windows) > 0").select("doc_id", "text_key").join(judged, "text_key").select("doc_id", "item_id", "covered", "run", "reparameterised")
+    judged = map_rows(laid, make, "text_key binary, item_id long, covered double, run int, verbatim boolean")
+    best = judged.groupBy("text_key", "item_id").agg(F.max(F.struct("covered", "run", "verbatim")).alias("best"))
+    return found.select("doc_id", "text_key"), best.select("text_key", "item_id", "best.covered", "best.run", (~F.col("best.verbatim")).alias("reparameterised"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, max_shared: int = MAX_SHARED) -> DataFrame:
+    """doc_id, item_id, covered (share of the item's words), run (words), reparameterised, for every leak."""
+    found, leaking = leaking_texts(docs, benchmark, max_shared)
+    return found.join(materialize(leaking), "text_key").select("doc_id", "item_id", "covered", "run", "reparameterised")  # written first, so that a frequent text's partition can be split
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a leak (rows with a null doc_id stay)."""
-    return docs.join(leaks(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose texts hold no leak."""
+    leaking = materialize(leaking_texts(docs, benchmark)[1].select("text_key").distinct())
+    return docs.select(F.struct("*").alias("row"), text_key().alias("text_key")).join(leaking, "text_key", "left_anti").select("row.*")
