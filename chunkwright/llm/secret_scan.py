@@ -5,8 +5,10 @@ repositories and owners it stands in, and calls it an example if many owners hav
 belongs to one owner. Bare tokens that look like credentials become spans of kind `live` only if
 they are owner-specific.
 
-Defined results: null text is empty (no spans); null owners or repositories count as one unnamed
-owner or repository; repeated rows each give a row; extra columns are ignored, whatever their name.
+Defined results: null text is empty (no spans); very long texts are read whole; null owners or
+repositories count as one unnamed owner or repository; null or repeated doc_ids and repeated rows each
+give a row; spans with one start come in the order of KINDS; an empty table gives no rows; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,7 +88,8 @@ def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFra
 def scan(docs: DataFrame, owner: list[str], repo: list[str], example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row per document: counts, base spans, all spans (array of s, k, e, v) and numbers by verdict."""
     found = materialize(candidates(docs, owner, repo))
-    owned = ownership(found, example_owners)
+    # aggregates are written before they are joined, so that the partition of a frequent value or text can be split
+    owned = materialize(ownership(found, example_owners))
     spans = found.where("text_key IS NOT NULL").select("text_key", F.explode(F.concat("base", "bare")).alias("x")).select("text_key", "x.*").distinct()
     judged = (
         spans.join(owned, "v")
@@ -98,6 +101,7 @@ def scan(docs: DataFrame, owner: list[str], repo: list[str], example_owners: int
             F.count_if((F.col("verdict") == "live") & (F.col("k") < 3)).alias("n_owned"),
         )
     )
+    judged = materialize(judged)
     none = F.expr(f"cast(array() AS array<{SPAN}>)")
     with_spans = found.where("text_key IS NOT NULL").join(judged, "text_key", "left")
     plain = found.where("text_key IS NULL").withColumns({"live": none, "example": none, "n_examples": F.lit(0), "n_owned": F.lit(0)})
@@ -133,19 +137,19 @@ def redact(docs: DataFrame, owner: list[str], repo: list[str], placeholder: str
         .groupBy("text_key")
         .agg(F.min("gone").alias("gone"))
     )
-    columns = docs.columns
+    keyed = materialize(keyed)
     text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), text.alias("whole"), F.sha2(text, 256).alias("text_key")).join(keyed, "text_key", "left")
     cut = F.expr(
-        f"""aggregate(__gone, named_struct('at', 0L, 'out', ''),
+        f"""aggregate(gone, named_struct('at', 0L, 'out', ''),
           (a, x) -> CASE WHEN x.e <= a.at THEN a WHEN x.s < a.at THEN named_struct('at', x.e, 'out', a.out)
-            ELSE named_struct('at', x.e, 'out', concat(a.out, substring(text, int(a.at + 1), int(x.s - a.at)), '{placeholder}')) END,
-          a -> concat(a.out, substring(text, int(a.at + 1))))"""
+            ELSE named_struct('at', x.e, 'out', concat(a.out, substring(whole, int(a.at + 1), int(x.s - a.at)), '{placeholder}')) END,
+          a -> concat(a.out, substring(whole, int(a.at + 1))))"""
     )
-    out = docs.withColumn("__key", F.sha2(text, 256)).join(keyed.select(F.col("text_key").alias("__key"), F.col("gone").alias("__gone")), "__key", "left")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(cut))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+    rows = rows.withColumn("cut", F.when(F.col("gone").isNotNull(), cut))
+    new = {"text": F.col("cut"), "n_chars": F.length("cut")}
+    old = {f.name: F.col("row").getField(f.name) for f in docs.schema.fields}
+    return rows.select(*[(F.when(F.col("gone").isNull(), old[f.name]).otherwise(new[f.name].cast(f.dataType)) if f.name in new else old[f.name]).alias(f.name) for f in docs.schema.fields])
 
 
 def _duck(pattern: str) -> str:
