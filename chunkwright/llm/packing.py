@@ -7,8 +7,10 @@ is left, and the patterns' numbers are rounded down. The few pieces left over ar
 Pieces are ranked within their class and a pattern's repetitions take consecutive ranks, so the plan
 is a small table of rank intervals whose size depends on the classes and not on the corpus.
 
-Defined results: null text is empty and gives one piece of one token; null or repeated doc_ids and
-repeated rows are packed as rows of their own; an empty table gives no rows.
+Defined results: null text is empty and gives one piece of one token; very long texts are cut into as
+many pieces as they need; null or repeated doc_ids and repeated rows are packed as rows of their own;
+ties in the order are equal in all columns but do get places of their own; an empty table gives no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,10 @@ and the characters of words inside any of them are counted for several n, beside
 lines that repeat an earlier one. A text is kept if neither base rule nor any share is exceeded.
 
 Defined results: null text is empty: no words, base_failed; texts shorter than a window have no
-duplicates of it; repeated rows each give a row; extra columns are ignored.
+duplicates of it; very long texts are read whole; of equal windows and lines the first counts as the
+original, and all are covered where a rule counts what is inside; null or repeated doc_ids and
+repeated rows each give a row; an empty table gives no rows; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

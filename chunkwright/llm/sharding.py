@@ -3,11 +3,13 @@
 Rows are ordered by a hash of their text, then doc_id, and dealt out in ranges of that order. Each
 partition sums its sizes; the totals of the partitions, one row each, give every row its place among
 all bytes, and equal targets cut that line into contiguous shards. Rows with equal texts stand side
-by side; a group of up to GROUP_SHARE of a shard isn't cut.
+by side. A cut moves off a group of equal texts only as far as the balance of the shards allows: a
+group of up to GROUP_SHARE of a shard isn't cut, so a shard is off its target by that much at most
+(and by one row); of a larger one each row goes where its own bytes stand.
 
-Defined results: null text is empty (8 bytes); null or repeated doc_ids and repeated rows are rows
-like any other; ties in the order are equal in all columns but do get slots of their own; an empty
-table gives no rows; extra columns are ignored.
+Defined results: null text is empty (8 bytes); very long texts are measured whole; null or repeated
+doc_ids and repeated rows are rows like any other; ties in the order are equal in all columns but do
+get slots of their own; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from pyspark.sql import functions as F
 from chunkwright.llm.common import local_prefix, materialize, text_of
 
 ROW_BYTES = 8
-#: Groups of equal texts up to this share of a shard stay whole; larger ones may be cut.
+#: What a shard may be off its target, as a share of it, to keep equal texts together.
 GROUP_SHARE = 0.02
 
 
 def shard(docs: DataFrame, shards: int = 24, group_share: float = GROUP_SHARE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     spark = docs.sparkSession
-    read = docs.select("doc_id", (F.octet_length(text_of()) + ROW_BYTES).cast("long").alias("size"), F.crc32(text_of()).alias("text_crc32"), F.xxhash64(text_of()).alias("__hash"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text_of()) + ROW_BYTES).cast("long").alias("size"), F.crc32(text_of()).alias("text_crc32"), F.xxhash64(text_of()).alias("__hash"))
     placed = local_prefix(materialize(read), ["__hash", "doc_id", "size", "text_crc32"], "size")
     parts = sorted(placed.groupBy("__pid").agg(F.sum("size"), F.count("*")).collect())  # a row for each partition
     offsets, total, rows = [], 0, 0
@@ -36,6 +38,7 @@ def shard(docs: DataFrame, shards: int = 24, group_share: float = GROUP_SHARE) -
     line = placed.join(starts, "__pid").select("doc_id", "size", "text_crc32", "__hash", (F.col("__before") + F.col("__bytes")).alias("__at"), (F.col("__row") + F.col("__rows")).alias("__n"))
     most = int(group_share * total / shards)
     groups = line.groupBy("__hash").agg(F.min("__at").alias("__from"), F.sum("size").alias("__all"), F.count("*").alias("__k")).where(f"__k > 1 AND __all <= {most}").drop("__k")
+    groups = materialize(groups)  # written first, so that a large group's partition can be split in the join
     cut = line.join(groups, "__hash", "left").withColumn(
         "shard", F.expr(f"int(least({shards - 1}, ((2 * coalesce(__from, __at) + coalesce(__all, size)) * {shards}L) div {max(1, 2 * total)}L))")
     )

@@ -10,9 +10,11 @@ the match is extended to the right from the position and to the left of it. They
 by what follows and by what stands before, so that the longest match on either side is a neighbour. Matches of `least` words
 are repeated passages; longer ones are covered by the matches at their further minimisers.
 
-Defined results: null text is empty; texts under `least` words have no passages; texts that are
-equal throughout are one passage; repeats within one text alone don't count; null or repeated
-doc_ids and repeated rows each give their rows; an empty table gives no rows.
+Defined results: null text is empty; texts under `least` words have no passages; very long texts are
+read whole; texts that are equal throughout are one passage; repeats within one text alone don't
+count; suffixes that are equal in all they hold are ordered by text and position; null or repeated
+doc_ids and repeated rows each give their rows; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
