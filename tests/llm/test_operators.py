@@ -153,11 +153,40 @@ def test_deduplicate_keeps_one_row_for_each_class(spark, odd):
 
 def test_grammar_tells_ways_apart():
     g = toxicity.Grammar({"scum": 3.0}, {"idio": 2.0})
-    ways = lambda text: [w for w, s in zip(toxicity.WAYS, g.read(text)[0]) if s]
-    assert ways("what scum.") == ["plain"] and ways("you are scum") == ["aimed"] and ways("scum you are") == ["aimed"]
-    assert ways("not a scum") == ["negated"] and ways("they said he is an idiot") == ["reported"]
-    assert ways("i will kill you") == ["threat"] and ways("you i will kill") == ["aimed_threat"] and ways("never kill") == []
-    assert ways("he said. scum") == ["plain"] and g.read("a fine day")[1] == 0
+    n, r, a, t = toxicity.NEGATED, toxicity.REPORTED, toxicity.AIMED, toxicity.THREAT_WEIGHT
+    for text, want in {
+        "what scum.": [3], "you are scum": [3 * a], "scum you are": [3 * a], "not a scum": [3 * n], "not one of the usual scum": [3], "they said he is an idiot": [2 * r * a], "said: idiot": [2],
+        "i will kill you": [t], "you i will kill": [t], "never kill you": [t * n], "kill the lights": [], "he said. scum": [3], "a fine day": [], "scum! you, kill time": [3, t], "he wrote never scum": [3 * n * r * a],
+    }.items():
+        assert g.clauses(text) == pytest.approx(want), text
+    strength = lambda text: g.read(text)[0]
+    assert strength("not scum") < strength("they called it scum") < strength("scum") < strength("you scum")
+
+
+def brute_clauses(text: str, words: dict, beginnings: dict) -> list[float]:
+    """The grammar without an automaton: each clause is looked over for what it holds."""
+    found = []
+    for clause in re.split(r"[.!?;:\n]", text):
+        tokens = [t.lower() for t in re.findall(r"[^\W_]+(?:['’][^\W_]+)?", clause)]
+        aimed = any(t in toxicity.TARGETS for t in tokens)
+        total = 0.0
+        for i, t in enumerate(tokens):
+            closed = t in toxicity.TARGETS + toxicity.NEGATIONS + toxicity.REPORTS
+            weight = 0.0 if closed else aimed * toxicity.THREAT_WEIGHT if t in toxicity.THREATS else toxicity.AIMED**aimed * (words.get(t) or max((w for b, w in beginnings.items() if t.startswith(b)), default=0.0))
+            weight *= toxicity.NEGATED if any(x in toxicity.NEGATIONS for x in tokens[max(0, i - toxicity.NEGATION_REACH) : i]) else 1
+            total += weight * (toxicity.REPORTED if any(x in toxicity.REPORTS for x in tokens[:i]) else 1)
+        found += [total] if total else []
+    return found
+
+
+def test_automaton_matches_brute_force():
+    rng = random.Random(43)
+    words_, beginnings = {"scum": 3.0, "rat": 1.5}, {"idio": 2.0, "vil": 2.5}
+    g = toxicity.Grammar(words_, beginnings)
+    pool = "scum rat ratty idiot vile villain you him not never said dit kill tuer a fine day isn't ! . ; : \n".split(" ")
+    for _ in range(400):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
+        assert g.clauses(text) == pytest.approx(brute_clauses(text, words_, beginnings)), text
 
 
 def test_toxicity_is_learned_and_holds_on_the_held_out_fold(spark):
@@ -244,23 +273,52 @@ def test_urls_follow_rules_and_links(spark):
     assert got[7]["host"] == got[8]["host"] == "" and got[7]["verdict"] == "allow" and got[9]["verdict"] == "allow"
 
 
-def test_propagation_matches_power_iteration(spark):
+def brute_ranks(hosts: list, links: list, seed: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Personalised PageRank as a dense power iteration, in units of the seeds' mean rank."""
+    at = {h: i for i, h in enumerate(hosts)}
+    move = np.zeros((len(hosts), len(hosts)))
+    for a, b, n in links:
+        move[at[a], at[b]] += n
+    out = move.sum(axis=1)
+    move[out > 0] /= out[out > 0, None]
+    rank = seed.copy()
+    for _ in range(rounds):
+        rank = 0.15 * seed + 0.85 * (rank @ move + rank[out == 0].sum() * seed / seed.sum())
+    return rank * (seed @ seed) / (rank @ seed)
+
+
+@pytest.mark.parametrize("n_hosts, n_links, close", [(8, 20, 1e-5), (2000, 6000, 1e-3)])
+def test_propagation_matches_power_iteration(spark, n_hosts, n_links, close):
     rng = random.Random(17)
-    hosts = [f"h{i}" for i in range(8)]
-    links = sorted({(rng.choice(hosts), rng.choice(hosts)) for _ in range(20)})
+    hosts = [f"h{i}" for i in range(n_hosts)]
+    links = sorted({(rng.choice(hosts), hosts[int(n_hosts * rng.random() ** 2)]) for _ in range(n_links)})
     links = [(a, b, rng.randint(1, 3)) for a, b in links if a != b]
-    seeds = {h: (float(i < 2), float(i == 7)) for i, h in enumerate(hosts)}
-    got = {r["host"]: r for r in link_trust.propagate(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust_seed double, distrust_seed double"), spark.createDataFrame(links, "src string, dst string, n long"), rounds=20).collect()}
-    for kind, at, ends in (("trust", 0, lambda a, b: (a, b)), ("distrust", 1, lambda a, b: (b, a))):
-        rank = {h: s[at] for h, s in seeds.items()}
-        edges = [(*ends(a, b), n) for a, b, n in links]
-        out = Counter()
-        for a, _, n in edges:
-            out[a] += n
-        for _ in range(20):
-            rank = {h: 0.15 * seeds[h][at] + 0.85 * (sum(rank[a] * n / out[a] for a, b, n in edges if b == h) + (0 if out[h] else rank[h])) for h in hosts}
-        for h in hosts:
-            assert got[h][kind] == pytest.approx(rank[h], abs=1e-3)
+    seeds = [(h, float(i % 4 == 0) * rng.random(), float(i % 7 == 1)) for i, h in enumerate(hosts)]
+    frame = spark.createDataFrame(seeds, "host string, trust_seed double, distrust_seed double")
+    got = {r["host"]: r for r in link_trust.propagate(frame, spark.createDataFrame(links, "src string, dst string, n long"), close=close).collect()}
+    trust = brute_ranks(hosts, links, np.array([s[1] for s in seeds]))
+    distrust = brute_ranks(hosts, [(b, a, n) for a, b, n in links], np.array([s[2] for s in seeds]))
+    assert len(got) == n_hosts
+    for i, h in enumerate(hosts):
+        assert got[h]["trust"] == pytest.approx(trust[i], abs=5 * close) and got[h]["distrust"] == pytest.approx(distrust[i], abs=5 * close)
+
+
+def test_links_decide_where_no_rule_fits(spark):
+    """Farms that link to blocked hosts are blocked, what allowed hosts link to isn't, whatever else links there."""
+    link = lambda *to: "".join(f'<p><a class=x href="http://{h}/p">x</a>' for h in to)
+    rows = [(1, "http://bad.net/a", ""), (2, "http://worse.net/b", ""), (3, "http://good.org/fr/a", link("friend.info", "both.info")), (4, "http://fine.org/fr/b", link("friend.info", "both.info"))]
+    rows += [(10 + i, f"http://farm{i}.biz/", link("bad.net", "worse.net", "both.info")) for i in range(3)] + [(20, "http://friend.info/", ""), (21, "http://both.info/", link("friend.info")), (22, "http://alone.com/", "")]
+    got = {r["page_id"]: r["verdict"] for r in link_trust.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 10: "block", 11: "block", 12: "block", 20: "allow", 21: "allow", 22: "allow"}
+
+
+def test_urls_of_awkward_pages(spark):
+    rows = [(None, None, None), (1, "http://a.net/x", "<a href='http://b.org/'>b</a>"), (1, "http://a.net/x", "<a href='http://b.org/'>b</a>"), (2, "", "x" * 100_000), (3, "HTTP://A.NET?q", None)]
+    frame = spark.createDataFrame(rows, PAGES)
+    for name in ("host", "path", "rule", "ruled", "trust", "rank", "kind", "seed"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    got = link_trust.judge(frame).collect()
+    assert sorted((r["page_id"] or 0, r["host"], r["path"], r["verdict"]) for r in got) == [(0, "", "", "allow"), (1, "a.net", "/x", "block"), (1, "a.net", "/x", "block"), (2, "", "", "allow"), (3, "a.net", "", "block")]
 
 
 # repeats
@@ -378,11 +436,31 @@ def test_small_stretches_of_the_text_stay_on_pages_without_article():
     body = "".join(para)
     assert "close" in html_blocks.main_text(body + gap + close)
     assert html_blocks.main_text(f"<div>{body}{gap}{note}</div><p>{gap}tiny</p>").endswith("A short last line.")
-    got = html_blocks.main_text(f"<p>tiny</p>{gap}<h1>The title</h1><p class=share>a</p><p class=share>b</p><p class=share>c</p><p class=share>d</p>{body}")
+    got = html_blocks.main_text(f"<p>tiny</p>{gap}<h1>The title</h1><p class=ad>a</p><p class=ad>b</p><p class=ad>c</p><p class=ad>d</p>{body}")
     assert got.startswith("The title\n\nword") and "tiny" not in got
     assert "short last" in html_blocks.main_text(body + gap + note + gap + body)
 
 
+def test_density_decides_within_the_article():
+    text, link = f"<p>{'word ' * 30}</p>", "<p><a href=x>A linked line</a></p>"
+
+    def every(page: str) -> list[str]:
+        """What all lines with weight would give, without surge and dive points."""
+        found, marked, _ = html_blocks.lines(page)
+        return [line[0] for line, w in zip(found, html_blocks.weigh(found, marked)) if w]
+
+    between = f"<nav>m</nav><article><h1>T</h1>{text}{link}{text}</article>"
+    assert html_blocks.main_text(between).count("A linked line") == 1 and "A linked line" not in every(between)
+    menu = f"<article><h1>T</h1>{text}<ul class=plain>{'<li><a href=x>A linked line</a>' * 4}</ul>{text}</article>"
+    assert "linked" not in html_blocks.main_text(menu) and html_blocks.main_text(menu).count("\n\n") == 2
+    edges = f"<article>{link}<h1>T</h1>{text}{link}</article>"
+    assert html_blocks.main_text(edges).startswith("A linked line\n\nT") and html_blocks.main_text(edges).endswith("A linked line")
+    named = f"<article><h1>T</h1>{text}<div class='search banner share'>An odd name</div>{text}</article>"
+    assert "An odd name" in html_blocks.main_text(named)
+    loose = f"<p><a href=x>one</a></p>{text}{link}{text}<p><a href=y>two</a></p>"
+    assert "linked" in html_blocks.main_text(loose) and "one" not in html_blocks.main_text(loose) and "two" not in html_blocks.main_text(loose)
+
+
 def test_extract_takes_awkward_pages(spark):
     rows = [(None, None, None), (1, "u", "<p>x" * 3000), (1, "u", "<p>x" * 3000), (2, "v", "<a title='>\"" + "<b" * 500)]
     got = html_blocks.extract(spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("clash"))).collect()
