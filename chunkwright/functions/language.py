@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters that language detection reads, and trigrams that a profile ranks (fixed values).
+SAMPLE, PROFILE = 10_000, 300
+
 #: Character classes of scripts.
 HANGUL = r"\uAC00-\uD7AF\u1100-\u11FF\u3130-\u318F"
 KANA = r"\u3040-\u309F\u30A0-\u30FF"
@@ -48,3 +51,34 @@ def size_factor(text: Column, sample: int = 5_000) -> Column:
     total = F.length(F.regexp_replace(t, r"[\s\p{Cc}]", ""))
     ratio = F.when(total > 0, count_of(t, HANGUL + KANA + HAN + r"\u3400-\u4DBF") / total).otherwise(0.0)
     return F.when(ratio < 0.1, 1.0).otherwise(F.greatest(F.lit(0.15), 1 / (1 + 4 * ratio)))
+
+
+def trigrams(text: Column) -> Column:
+    """Overlapping runs of three characters, lower-cased."""
+    return F.regexp_extract_all(F.lower(F.substring(text, 1, SAMPLE)), F.lit("(?s)(?=(.{3}))"), F.lit(1))
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """lang, tri, rank: each language's most frequent trigrams, PROFILE at most. Counts are partial before the shuffle."""
+    counted = docs.select("lang", F.explode(trigrams(F.col("text"))).alias("tri")).groupBy("lang", "tri").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "tri"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= PROFILE)
+
+
+def nearest_language(docs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """doc_id, guess, distance, confidence: the profile at the least mean distance of ranks; ties by name.
+
+    A text's trigrams are ranked within its row; the profiles (PROFILE rows for each language) are
+    one row of maps that is sent to all tasks.
+    """
+    by_language = ranked.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("tri", "rank"))).alias("places"))
+    every = by_language.agg(F.collect_list(F.struct("lang", "places")).alias("languages"))
+    counted = docs.select("doc_id", F.explode(trigrams(F.col("text"))).alias("tri")).groupBy("doc_id", "tri").agg(F.count("*").alias("n"))
+    own = counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "tri"))).where(F.col("rank") <= PROFILE)
+    met = own.crossJoin(F.broadcast(every)).select("doc_id", "tri", "rank", F.explode("languages").alias("x"))  # one row
+    off = F.coalesce(F.least(F.abs(F.col("rank") - F.try_element_at("x.places", "tri")), F.lit(PROFILE)), F.lit(PROFILE))
+    scored = met.groupBy("doc_id", F.col("x.lang").alias("guess")).agg((F.sum(off) / F.count("*")).alias("distance"))
+    w = Window.partitionBy("doc_id").orderBy("distance", "guess")
+    best = scored.withColumns({"k": F.row_number().over(w), "next": F.lead("distance").over(w)}).where("k = 1")
+    sure = F.when(F.col("distance") > 0, 0.5 + 0.5 * (F.col("next") - F.col("distance")) / F.col("distance")).otherwise(0.99)
+    return best.select("doc_id", "guess", "distance", F.greatest(F.lit(0.1), F.least(F.lit(0.99), sure)).alias("confidence"))

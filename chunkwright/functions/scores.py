@@ -1,11 +1,14 @@
 """Scores of chunks and pairs of neighbouring chunks, as Columns.
 
-words: the text split at single spaces without empty pieces.
+Scores take a text Column, or the Parts of one: what several scores need of a text, which derived()
+adds as columns, so that they are made once for each row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.functions.rewrite import BLANKS
@@ -28,6 +31,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+@dataclass
+class Parts:
+    """A text and what is derived from it; words are what single spaces separate, without empty ones."""
+
+    text: Column
+    low: Column
+    trimmed: Column
+    words: Column
+    low_words: Column
+    pieces: Column
+
+
+def parts(text: Column | Parts) -> Parts:
+    if isinstance(text, Parts):
+        return text
+    own = words(text)
+    return Parts(text, F.lower(text), trimmed(text), own, F.transform(own, F.lower), F.filter(F.split(text, "[.!?]"), lambda s: s != ""))
+
+
+def derived(frame: DataFrame, name: str = "content") -> tuple[DataFrame, Parts]:
+    """frame with the parts of a text column as columns, and these."""
+    found = vars(parts(F.col(name)))
+    text = found.pop("text")
+    return frame.withColumns({f"{name}_{k}": v for k, v in found.items()}), Parts(text, **{k: F.col(f"{name}_{k}") for k in found})
+
+
 def number(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
@@ -51,18 +80,18 @@ def starts_upper(text: Column) -> Column:
     return text.rlike(r"\A\p{Lu}")
 
 
-def completeness(text: Column) -> Column:
-    t = trimmed(text)
+def completeness(text: Column | Parts) -> Column:
+    t = parts(text).trimmed
     score = 0.5 + 0.2 * number(ends_sentence(t)) + 0.1 * number(starts_upper(t)) + 0.2 * number((F.length(t) > 50) & (F.length(t) < 2000))
     return F.when(t == "", 0.0).otherwise(score)
 
 
-def coherence(text: Column) -> Column:
-    sentences = F.size(F.filter(F.split(text, r"\."), lambda s: s != ""))
-    own = words(text)
-    repeated = 1 - F.size(F.array_distinct(F.transform(own, F.lower))) / F.size(own)
-    score = 0.5 + F.least(F.lit(0.3), 0.1 * count_contained(F.lower(text), TRANSITIONS)) + 0.2 * number((repeated > 0.1) & (repeated < 0.5))
-    return F.when(text == "", 0.0).when(sentences < 2, 0.8).otherwise(F.least(F.lit(1.0), score))
+def coherence(text: Column | Parts) -> Column:
+    p = parts(text)
+    sentences = F.size(F.filter(F.split(p.text, r"\."), lambda s: s != ""))
+    repeated = 1 - F.size(F.array_distinct(p.low_words)) / F.size(p.words)
+    score = 0.5 + F.least(F.lit(0.3), 0.1 * count_contained(p.low, TRANSITIONS)) + 0.2 * number((repeated > 0.1) & (repeated < 0.5))
+    return F.when(p.text == "", 0.0).when(sentences < 2, 0.8).otherwise(F.least(F.lit(1.0), score))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -71,52 +100,49 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union)
 
 
-def word_set(text: Column) -> Column:
-    return F.array_distinct(words(F.lower(text)))
+def word_set(text: Column | Parts) -> Column:
+    return F.array_distinct(parts(text).low_words)
 
 
-def density(text: Column) -> Column:
-    own = words(text)
-    meaning = F.filter(own, lambda w: (F.length(w) > 3) & ~F.lower(w).isin(STOP_WORDS))
-    return F.when(F.size(own) > 0, F.size(meaning) / F.size(own)).otherwise(0.0)
+def density(text: Column | Parts) -> Column:
+    p = parts(text)
+    meaning = F.filter(p.low_words, lambda w: (F.length(w) > 3) & ~w.isin(STOP_WORDS))
+    return F.when(F.size(p.words) > 0, F.size(meaning) / F.size(p.words)).otherwise(0.0)
 
 
-def context_dependency(text: Column) -> Column:
-    own = words(text)
-    n = F.greatest(F.size(own), F.lit(1))
-    pronoun = F.least(F.lit(1.0), 10 * F.size(F.filter(own, lambda w: F.lower(w).rlike("^(?:" + "|".join(PRONOUNS) + ")"))) / n)
-    reference = F.least(F.lit(1.0), count_contained(F.lower(text), REFERENCES) / F.lit(3.0))
-    t = trimmed(text)
-    first = F.element_at(F.split(t, " "), 1)
+def context_dependency(text: Column | Parts) -> Column:
+    p = parts(text)
+    n = F.greatest(F.size(p.words), F.lit(1))
+    pronoun = F.least(F.lit(1.0), 10 * F.size(F.filter(p.low_words, lambda w: w.rlike("^(?:" + "|".join(PRONOUNS) + ")"))) / n)
+    reference = F.least(F.lit(1.0), count_contained(p.low, REFERENCES) / F.lit(3.0))
+    t = p.trimmed
+    first = F.substring_index(t, " ", 1)
     unfinished = F.least(
         F.lit(1.0),
         0.3 * number(t.rlike("^[a-z가-힣]")) + 0.4 * number(F.lower(first).rlike("^(and|or|but|however|therefore|thus|hence|also|또한|그리고|하지만|그러나|따라서|그래서)")) + 0.3 * number(~t.rlike("[.!?。」』]$")),
     )
-    proper = F.filter(own, lambda w: (F.length(w) > 1) & starts_upper(w) & ~w.isin(SENTENCE_STARTS))
+    proper = F.filter(p.words, lambda w: (F.length(w) > 1) & starts_upper(w) & ~w.isin(SENTENCE_STARTS))
     named = F.least(F.lit(1.0), 5 * F.size(proper) / n)
     return F.when(t == "", 0.0).otherwise(F.least(F.lit(1.0), 0.3 * pronoun + 0.25 * reference + 0.25 * unfinished + 0.2 * (1 - named)))
 
 
-def _pieces(text: Column) -> Column:
-    return F.filter(F.split(text, "[.!?]"), lambda s: s != "")
-
-
-def relevance(text: Column) -> Column:
-    pieces = _pieces(text)
-    full = F.size(F.filter(pieces, lambda s: trimmed(s) != ""))
-    score = 0.5 + 0.1 * number(F.length(text) > 200) + 0.1 * number(F.length(text) > 500) + F.when(F.size(pieces) > 0, 0.3 * full / F.size(pieces)).otherwise(0.0)
-    return F.when(trimmed(text) == "", 0.0).otherwise(F.least(F.lit(1.0), score))
+def relevance(text: Column | Parts) -> Column:
+    p = parts(text)
+    full = F.size(F.filter(p.pieces, lambda s: trimmed(s) != ""))
+    score = 0.5 + 0.1 * number(F.length(p.text) > 200) + 0.1 * number(F.length(p.text) > 500) + F.when(F.size(p.pieces) > 0, 0.3 * full / F.size(p.pieces)).otherwise(0.0)
+    return F.when(p.trimmed == "", 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
-def sentence_completeness(text: Column) -> Column:
-    pieces = _pieces(text)
-    whole = F.size(F.filter(pieces, lambda s: F.length(trimmed(s)) > 10))
-    return F.when((trimmed(text) == "") | (F.size(pieces) == 0), 0.0).otherwise(F.greatest(F.lit(0.7), whole / F.size(pieces)))
+def sentence_completeness(text: Column | Parts) -> Column:
+    p = parts(text)
+    whole = F.size(F.filter(p.pieces, lambda s: F.length(trimmed(s)) > 10))
+    return F.when((p.trimmed == "") | (F.size(p.pieces) == 0), 0.0).otherwise(F.greatest(F.lit(0.7), whole / F.size(p.pieces)))
 
 
-def per_thousand(text: Column) -> Column:
-    unique = F.size(F.array_distinct(F.filter(words(text), lambda w: F.length(w) > 3)))
-    return F.when(trimmed(text) == "", 0.0).otherwise((unique + F.size(_pieces(text))) * 1000.0 / F.length(text))
+def per_thousand(text: Column | Parts) -> Column:
+    p = parts(text)
+    unique = F.size(F.array_distinct(F.filter(p.words, lambda w: F.length(w) > 3)))
+    return F.when(p.trimmed == "", 0.0).otherwise((unique + F.size(p.pieces)) * 1000.0 / F.length(p.text))
 
 
 def content_type(text: Column) -> Column:

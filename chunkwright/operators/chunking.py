@@ -10,22 +10,31 @@ MARK = "\x01"
 
 
 def fixed_windows(docs: DataFrame, size: int, overlap: int, *carried: str) -> DataFrame:
-    """doc_id, chunk_index, start_char, end_char, content: windows of `size` characters, each sharing `overlap` with the one before."""
+    """doc_id, chunk_index, start_char, end_char, content: windows of `size` characters, each sharing `overlap` with the one before.
+
+    The text is cut once into steps; a window is a step and the beginning of the next ones, so a long
+    text costs its length, not a walk from its beginning for each window.
+    """
     step = size - overlap
     number = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / F.lit(float(step))).cast("int"))
-    at = F.explode(F.sequence(F.lit(0), number - 1)).alias("chunk_index")
-    out = docs.select("doc_id", *carried, "text", at).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    steps = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    docs = docs.select("doc_id", *carried, number.alias("number"), steps.alias("steps"))
+    windows = F.col("steps")
+    for k in range(1, 1 + -(-overlap // step)):
+        room = F.lit(min(step, overlap - (k - 1) * step))
+        ahead = F.concat(F.slice("steps", k + 1, F.greatest(F.lit(0), F.size("steps") - k)), F.array_repeat(F.lit(""), k))
+        ahead = F.transform(ahead, lambda x: F.left(x, room))  # noqa: B023 (made at once)
+        windows = F.zip_with(windows, ahead, lambda w, x: F.concat(w, F.coalesce(x, F.lit(""))))
+    empty = F.when(F.size("steps") == 0, F.array(F.lit(""))).otherwise(F.slice(windows, 1, F.col("number")))
+    out = docs.select("doc_id", *carried, F.posexplode(empty).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
     start = F.col("chunk_index") * step
-    return out.select(
-        "doc_id", *carried, "chunk_index", start.alias("start_char"), F.least(start + size, F.length("text").cast("long")).alias("end_char"),
-        F.substring("text", (start + 1).cast("int"), F.lit(size)).alias("content"),
-    )
+    return out.select("doc_id", *carried, "chunk_index", start.alias("start_char"), (start + F.length("content")).alias("end_char"), "content")
 
 
 def sentences(text: Column) -> Column:
-    """Pieces that add up to the text: cut after . ! ? and their wide forms unless a digit or small letter follows."""
+    """Pieces that add up to the text: cut after . ! ? and their wide forms unless a digit or small letter follows (a letter of a script without cases is no small one)."""
     marked = F.regexp_replace(text, "([.!?。！？])", "$1" + MARK)
-    joined = F.regexp_replace(marked, MARK + r"(?=[0-9]|\p{Ll})", "")
+    joined = F.regexp_replace(marked, MARK + r"(?=\p{Nd}|\p{Ll})", "")
     return F.filter(F.split(joined, MARK), lambda s: s != "")
 
 
@@ -33,56 +42,49 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, "\n\n"), lambda p: p != "")
 
 
+#: What an oversized sentence is cut to is this much under the bound, and is marked so.
+CUT, CUT_MARK = 50, "..."
+#: White space at the ends of a chunk.
+WHITE = r"\t-\r \x{85}\p{Z}"
+
+
+def trim(text: Column) -> Column:
+    return F.regexp_replace(text, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+
+
+def units(text: Column, max_chars: int) -> Column:
+    """Array of (p, t): what packing never splits: paragraphs, and sentences of those over max_chars (p: the paragraph's number from 1, else 0)."""
+    parts = F.filter(F.split(text, "\r\n\r\n|\n\n"), lambda p: p != "")
+    unit = lambda p, t: F.struct(p.cast("int").alias("p"), t.alias("t"))
+    return F.flatten(F.transform(parts, lambda part, i: F.when(F.length(part) > max_chars, F.transform(sentences(part), lambda s: unit(i + 1, s))).otherwise(F.array(unit(F.lit(0), part)))))
+
+
 def pack(docs: DataFrame, max_chars: int = 1600, least: int = 50) -> DataFrame:
-    """doc_id, chunk_index, content: paragraphs packed greedily up to max_chars, longer ones by sentences, longer sentences cut."""
-    import pyarrow as pa
-
-    def run(batches):
-        import re
-
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "chunk_index": [], "content": []}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, piece in enumerate(pack_text(text or "", max_chars, least, re)):
-                    out["doc_id"].append(doc_id)
-                    out["chunk_index"].append(i)
-                    out["content"].append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["chunk_index"], pa.int64()), pa.array(out["content"], pa.string())], names=list(out))
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index long, content string")
-
-
-def pack_text(text: str, max_chars: int, least: int, re) -> list[str]:
-    """The packing of one text."""
-    if not text.strip():
-        return []
-    if len(text) <= max_chars:
-        return [text] if len(text) > 0 else []
-    done: list[str] = []
-    held = ""
-
-    def close(piece: str) -> str:
-        if piece:
-            done.append(piece.strip())
-        return ""
-
-    for paragraph in filter(None, re.split("\r\n\r\n|\n\n", text)):
-        if len(paragraph) > max_chars:
-            held, run = close(held), ""
-            for sentence in filter(None, re.sub("([.!?。！？])(?![0-9]|" + r"[^\W\d_A-Z])", r"\1" + MARK, paragraph).split(MARK)):
-                if len(run) + len(sentence) <= max_chars:
-                    run += sentence
-                    continue
-                run = close(run)
-                if len(sentence) > max_chars:
-                    done.append(sentence[: max_chars - 50] + "...")
-                else:
-                    run = sentence
-            close(run)
-        elif len(held) + len(paragraph) + 2 > max_chars:
-            close(held)
-            held = paragraph
-        else:
-            held = f"{held}\n\n{paragraph}" if held else paragraph
-    close(held)
-    return [piece for piece in done if len(piece) > least]
+    """doc_id, chunk_index, content: units packed greedily up to max_chars, and what is left of `least` characters or fewer dropped.
+
+    Paragraphs are joined by a blank line, sentences of one paragraph as they stand; a sentence over
+    max_chars is cut. A fold over the units' lengths finds where a new chunk starts.
+    """
+    whole = F.length("text") <= max_chars
+    read = docs.where("text IS NOT NULL").select("doc_id", "text", F.when(~whole, units(F.col("text"), max_chars)).alias("units"))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("p"), F.lit(0).alias("n"), none.alias("starts"))
+
+    def fold(a: Column, u: Column) -> Column:
+        size = F.length(u["t"]) + F.when(u["p"] == 0, 2).otherwise(0)
+        joins = (a["p"] == u["p"]) & (a["n"] + size <= max_chars) & (F.length(u["t"]) <= max_chars)
+        used = F.when(joins, a["n"] + size).otherwise(F.length(u["t"]))
+        return F.struct((a["i"] + 1).alias("i"), u["p"].alias("p"), used.alias("n"), F.when(joins, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["i"]))).alias("starts"))
+
+    folded = read.withColumn("starts", F.aggregate("units", start, fold, lambda a: a["starts"]))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("units")))
+    lots = folded.select("doc_id", "text", "units", F.zip_with("starts", ends, lambda a, b: F.slice("units", a + 1, b - a)).alias("lots"))
+
+    def content(lot: Column) -> Column:
+        first, every = lot[0], lot["t"]
+        cut = F.concat(F.left(first["t"], F.lit(max_chars - CUT)), F.lit(CUT_MARK))
+        return trim(F.when(first["p"] == 0, F.array_join(every, "\n\n")).when(F.length(first["t"]) > max_chars, cut).otherwise(F.array_join(every, "")))
+
+    short = F.when(trim(F.col("text")) != "", F.array("text"))
+    packed = F.when(F.col("units").isNull(), short).otherwise(F.filter(F.transform("lots", content), lambda c: F.length(c) > least))
+    return lots.select("doc_id", F.posexplode(packed).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))

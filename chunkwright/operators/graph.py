@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkwright.operators.ordered import stored
+
+
 def by_place():
     return Window.partitionBy("doc_id").orderBy("chunk_index")
 
@@ -63,30 +66,24 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, start: int = 0) -> DataFrame:
-    """doc_id, node, steps: undirected steps from chunk `start` to every chunk that it reaches.
+    """doc_id, node, steps, path: undirected steps from chunk `start` to every chunk that it reaches, and the nodes between them.
 
-    A document's graph is bounded by the document (edges are capped for each source), so the search
-    runs within one row for each document.
+    A breadth-first search over all documents at once, a join for each step; of equally short paths the
+    one through the smallest node before is taken. Each round's frontier is written, so plans stay short.
     """
-    import pyarrow as pa
-
-    lots = neighbours(edges).groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-
-    def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "node": [], "steps": []}
-            for doc_id, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                near: dict[int, list[int]] = {}
-                for x, y in zip(a, b):
-                    near.setdefault(x, []).append(y)
-                seen, frontier, steps = {start}, [start], 0
-                while frontier:
-                    for node in frontier:
-                        for name, value in (("doc_id", doc_id), ("node", node), ("steps", steps)):
-                            out[name].append(value)
-                    frontier = list(dict.fromkeys(y for x in frontier for y in near.get(x, ()) if y not in seen))
-                    seen.update(frontier)
-                    steps += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["steps"], pa.int32())], names=list(out))
-
-    return lots.mapInArrow(run, "doc_id long, node long, steps int")
+    near = stored(neighbours(edges))
+    reached = stored(near.select("doc_id").distinct().select("doc_id", F.lit(start).cast("long").alias("node"), F.lit(0).alias("steps"), F.lit(str(start)).alias("path")))
+    frontier, rounds = reached, [reached]
+    while not frontier.isEmpty():
+        ahead = frontier.join(near, (near["doc_id"] == frontier["doc_id"]) & (near["a"] == frontier["node"])).select(
+            frontier["doc_id"], F.col("b").alias("node"), (F.col("steps") + 1).alias("steps"), F.struct(F.col("node").alias("before"), F.concat("path", F.lit(","), F.col("b").cast("string")).alias("path")).alias("way")
+        )
+        best = ahead.groupBy("doc_id", "node", "steps").agg(F.min("way").alias("way")).select("doc_id", "node", "steps", F.col("way.path").alias("path"))
+        seen = rounds[0].select("doc_id", "node")
+        for r in rounds[1:]:
+            seen = seen.union(r.select("doc_id", "node"))
+        frontier = stored(best.join(seen, ["doc_id", "node"], "left_anti"))
+        rounds.append(frontier)
+    for r in rounds[1:]:
+        reached = reached.union(r)
+    return reached

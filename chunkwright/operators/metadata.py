@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from chunkwright.functions.rewrite import BLANKS
 from chunkwright.functions.scores import contains_any, words
 
-#: Patterns in the order in which they are tried (group 1 is the value).
-PRODUCT = [r"(?im)([A-Za-z0-9\s\-]+)\s+(?:Manual|User\s+Guide|Guide|Instructions)", r"(?im)Product:\s*([A-Za-z0-9\s\-]+)", r"(?im)Model:\s*([A-Za-z0-9\s\-]+)"]
-COMPANY = [r"(?i)Copyright\s+(?:\d{4}\s+)?([A-Z][A-Za-z\s]+?)(?:\s+Inc\.|Corporation|Ltd\.|LLC|Co\.|,|$)", r"(?i)Manufacturer:\s*([A-Za-z\s]+)", r"(?i)Company:\s*([A-Za-z\s]+)"]
+#: Fixed values, down to CATEGORIES: patterns in the order in which they are tried (group 1 is the value), names of
+#: frameworks and technologies, stop words, terms of document types and of categories.
+PRODUCT = [r"(?im)([A-Za-z0-9\s\-]+)\s+(?:Manual|User\s+Guide|Guide|Instructions)", r"(?im)^([A-Z][A-Za-z0-9\s\-]+)\s*\r?\n", r"(?im)Product:\s*([A-Za-z0-9\s\-]+)", r"(?im)Model:\s*([A-Za-z0-9\s\-]+)"]
+COMPANY = [r"(?i)©\s*\d{4}\s+([A-Z][A-Za-z\s]+?)(?:\s+Inc\.|Corporation|Ltd\.|LLC|Co\.|,|$)", r"(?i)Copyright\s+(?:\d{4}\s+)?([A-Z][A-Za-z\s]+?)(?:\s+Inc\.|Corporation|Ltd\.|LLC|Co\.|,|$)", r"(?i)Manufacturer:\s*([A-Za-z\s]+)", r"(?i)Company:\s*([A-Za-z\s]+)"]
 VERSION = [r"(?i)(?:Version|Ver\.|v)\s*(\d+\.\d+(?:\.\d+)?)", r"(?i)(?:Firmware|Software)\s+(?:Version\s+)?(\d+\.\d+(?:\.\d+)?)", r"(?i)(?:iOS|Android|Windows)\s+(\d+(?:\.\d+)?)", r"(?i)Rev(?:ision)?\s*(\d+(?:\.\d+)?)"]
 RELEASED = [r"(?i)(?:Released?|Published?|Date):\s*(\d{1,2}[\/-]\d{1,2}[\/-]\d{4})", r"(?i)(?:Released?|Published?|Date):\s*([A-Za-z]+\s+\d{1,2},?\s+\d{4})", r"(\d{4}-\d{2}-\d{2})"]
-LIBRARIES = [r"import\s+([a-zA-Z0-9_\.@\/\-]+)", r"from\s+([a-zA-Z0-9_\.]+)\s+import", r"using\s+([a-zA-Z0-9_\.]+);", r"""require\(['"]([^'"]+)['"]\)""", r"""#include\s+[<"]([^>"]+)[>"]"""]
+LIBRARIES = [r"import\s+([a-zA-Z0-9_\.@\/\-]+)", r"from\s+([a-zA-Z0-9_\.]+)\s+import", r"using\s+([a-zA-Z0-9_\.]+);", r"""require\(['"]([^'"]+)['"]\)""", r"""#include\s+[<"]([^>"]+)[>"]""", r"use\s+([a-zA-Z0-9_\\]+);", r"""import\s+\{[^}]+\}\s+from\s+['"]([^'"]+)['"]"""]
 FRAMEWORKS = "React Vue Angular Svelte Next.js Nuxt Express FastAPI Django Flask Spring ASP.NET TensorFlow PyTorch scikit-learn Docker Kubernetes AWS Azure GCP".split()
 TECHNOLOGIES = "JavaScript TypeScript Python C# Java Go Rust C++ API REST GraphQL gRPC WebSocket SQL NoSQL MongoDB PostgreSQL MySQL Redis HTML CSS SCSS Tailwind".split()
 KEYWORD_STOPS = "the is at which on a an and or but in with to for of as by this that these those".split()
@@ -33,8 +34,13 @@ CATEGORIES = {
 }
 
 
+#: A pattern that begins with a run of characters can only match from the run's beginning; said so, it isn't tried from all others.
+_RUN = r"([A-Za-z0-9\s\-]+)\s+"
+
+
 def first_match(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[F.nullif(F.btrim(F.regexp_extract(text, p, 1), F.lit(BLANKS)), F.lit("")) for p in patterns])
+    anchored = [p.replace(_RUN, r"(?<![A-Za-z0-9\s\-])" + _RUN) for p in patterns]
+    return F.coalesce(*[F.nullif(F.btrim(F.regexp_extract(text, p, 1), F.lit(BLANKS)), F.lit("")) for p in anchored])
 
 
 def libraries(text: Column, most: int = 15) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.functions.rewrite import RULES, column
@@ -13,21 +13,30 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "pages", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("norm", column(F.col("line"), RULES["normalize_line"]))
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: float = 0.5, max_length: int = 200, preserve: list[str] = (), remove: list[str] = ()) -> DataFrame:
-    """doc_id, text without lines whose normal form comes on at least that share of the pages (two at least).
+def drop_repeated_lines(docs: DataFrame, threshold: float = 0.5, max_length: int = 200, least_pages: int = 3, preserve: list[str] = (), remove: list[str] = ()) -> DataFrame:
+    """doc_id, text without lines whose normal form comes on at least that share of the pages (two at least); shorter documents stay.
 
-    The lines to drop are anti-joined by document, so the lines of a long document need not meet in one task.
+    The rule looks at one document, so it works within the row: among sorted normal forms, one comes k
+    times if the form k - 1 places on is the same.
     """
-    lines = numbered_lines(docs)
-    counted = lines.where((F.length("line") <= max_length) & (F.col("norm") != "")).groupBy("doc_id", "norm").agg(F.count("*").alias("k"), F.first("pages").alias("pages"))
-    frequent = counted.where(F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("pages") * threshold)))
-    for pattern in preserve:
-        frequent = frequent.where(~F.col("norm").rlike("(?i)" + pattern))
-    kept = lines.join(frequent.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti")
-    for pattern in remove:
-        kept = kept.where(~F.col("line").rlike("(?i)" + pattern) | (F.col("norm") == ""))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "line")))
-    return kept.groupBy("doc_id").agg(F.array_join(ordered["line"], "\n").alias("text"))
+    split = docs.select("doc_id", "pages", "text", F.split("text", "\n").alias("lines"))
+    normal = split.withColumn("norms", F.transform("lines", lambda x: column(x, RULES["normalize_line"])))
+    eligible = F.filter(F.arrays_zip("lines", "norms"), lambda x: (F.length(x["lines"]) <= max_length) & (x["norms"] != ""))
+    times = F.greatest(F.lit(2), F.floor(F.col("pages") * threshold)).cast("int")
+    ordered = normal.select("doc_id", "pages", "text", "lines", "norms", times.alias("times"), F.array_sort(eligible["norms"]).alias("ordered"))
+    frequent = F.array_distinct(F.filter("ordered", lambda x, i: F.get("ordered", i + F.col("times") - 1) == x))
+    if preserve:
+        frequent = F.filter(frequent, lambda x: ~F.rlike(x, F.lit("(?i)" + "|".join(f"(?:{p})" for p in preserve))))
+    kept = ordered.withColumn("frequent", frequent)
+
+    def stays(x: Column) -> Column:
+        out = (x["norms"] == "") | ~F.array_contains("frequent", x["norms"])
+        if remove:
+            out = out & ((x["norms"] == "") | ~F.rlike(x["lines"], F.lit("(?i)" + "|".join(f"(?:{p})" for p in remove))))
+        return out
+
+    text = F.array_join(F.filter(F.arrays_zip("lines", "norms"), stays)["lines"], "\n")
+    return kept.select("doc_id", F.when(F.col("pages") < least_pages, F.col("text")).otherwise(text).alias("text"))
 
 
 def repeated_line_report(docs: DataFrame, threshold: float = 0.5, max_length: int = 200) -> DataFrame:

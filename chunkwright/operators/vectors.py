@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkwright.operators.ordered import stored, with_next
+
 #: Queries whose vectors are sent to every task at once; more go through in blocks.
 QUERY_BLOCK = 2_000
 
@@ -21,67 +24,95 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, vec_id, score, rank: a stated set of queries against all vectors, exactly.
 
     Each task scores its vectors against one block of queries and keeps its best k for each query, so
-    at most k rows for a query and task are shuffled.
+    at most k rows for a query and task are shuffled. Of several blocks, each is sent, met and written
+    before the next one is read: the driver holds one at a time.
     """
-    import numpy as np
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    blocks = []
-    n = queries.count()
-    buckets = max(1, -(-n // QUERY_BLOCK))
-    for i in range(buckets):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(buckets)) == i) if buckets > 1 else queries
+
+    def met(part: DataFrame):
         rows = part.select("query_id", "embedding").collect()  # one block
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)))
 
-        def best(batches, shared=shared):
+        def best(batches):
             ids, q = shared.value
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             held_ids, held = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
             for batch in batches:
-                if not batch.num_rows:
+                if not batch.num_rows or not len(ids):
                     continue
                 v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 scores = np.concatenate([held, q @ v.T], axis=1)
                 vec = np.concatenate([held_ids, np.tile(batch.column(0).to_numpy(zero_copy_only=False), (len(ids), 1))], axis=1)
-                order = np.lexsort((vec, -np.round(scores, 9)), axis=1)[:, :k]
+                order = _best_places(-np.round(scores, 9), vec, k)
                 held, held_ids = np.take_along_axis(scores, order, 1), np.take_along_axis(vec, order, 1)
             if held.shape[1]:
                 m = held.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(held_ids.ravel()), pa.array(held.ravel())], names=["query_id", "vec_id", "score"])
 
-        blocks.append(vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double"))
-    found = blocks[0]
-    for block in blocks[1:]:
-        found = found.unionAll(block)
+        return shared, vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
+
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        found = met(queries)[1]
+    else:
+        found = None
+        for i in range(blocks):
+            shared, frame = met(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+            frame = stored(frame)
+            shared.destroy()
+            found = frame if found is None else found.unionAll(frame)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _best_places(cost: np.ndarray, vec: np.ndarray, k: int) -> np.ndarray:
+    """For each row, the columns of the k least costs, ties by vec. All rows have as many columns, k or fewer are kept whole."""
+    k = min(k, cost.shape[1])
+    limit = np.partition(cost, k - 1, axis=1)[:, k - 1]
+    out = np.empty((len(cost), k), np.int64)
+    for i in range(len(cost)):
+        near = np.flatnonzero(cost[i] <= limit[i])
+        out[i] = near[np.lexsort((vec[i, near], cost[i, near]))[:k]]
+    return out
+
+
 def neighbour_similarity(segments: DataFrame) -> DataFrame:
     """doc_id, i, similarity of each segment to the next; segments: doc_id, i, embedding."""
-    w = Window.partitionBy("doc_id").orderBy("i")
-    nxt = segments.withColumn("next", F.lead("embedding").over(w)).where("next IS NOT NULL")
-    return nxt.select("doc_id", "i", cosine(F.col("embedding"), F.col("next")).alias("similarity"))
+    near = with_next(segments, "doc_id", "i", "embedding").where("next IS NOT NULL")
+    return near.select("doc_id", "i", cosine(F.col("embedding"), F.col("next")).alias("similarity"))
 
 
 def merge_nearby(boundaries: DataFrame, distance: int = 2) -> DataFrame:
     """doc_id, i, confidence: of boundaries within `distance` of the last kept one, the stronger stays.
 
-    The anchor moves with what is kept, so it is a fold over a document's boundaries.
+    The anchor moves with what is kept, so it is a fold in a document's order; rows stream through it,
+    and one boundary at a time is held.
     """
-    lots = boundaries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "confidence"))).alias("b"))
-    start = F.expr("cast(array() AS array<struct<i:bigint,confidence:double>>)")
-
-    def fold(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        near = F.coalesce(x["i"] - last["i"] <= distance, F.lit(False))
-        added = F.struct(x["i"].cast("long").alias("i"), x["confidence"].alias("confidence"))
-        replaced = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(added))
-        return F.when(near & (x["confidence"] > last["confidence"]), replaced).when(near, kept).otherwise(F.concat(kept, F.array(added)))
+    import pyarrow as pa
 
-    return lots.select("doc_id", F.explode(F.aggregate("b", start, fold)).alias("x")).select("doc_id", "x.*")
+    def run(batches):
+        last = None
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, i, confidence in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if last is not None and last[0] == doc_id and i - last[1] <= distance:
+                    if confidence > last[2]:
+                        last = doc_id, i, confidence
+                    continue
+                if last is not None:
+                    out.append(last)
+                last = doc_id, i, confidence
+            if out:
+                yield frame(out)
+        if last is not None:
+            yield frame([last])
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        doc_id, i, confidence = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(i, pa.int64()), pa.array(confidence, pa.float64())], names=["doc_id", "i", "confidence"])
+
+    rows = boundaries.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("i").cast("long").alias("i"), "confidence")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "i").mapInArrow(run, "doc_id long, i long, confidence double")

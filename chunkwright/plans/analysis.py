@@ -303,10 +303,10 @@ def bounding_boxes(spark, sf_dir):
     )
 
 
-@query("v04_prompt_contexts", "SELECT conv_id, 'Context:' || chr(10) || string_agg('[Context ' || turn || '] ' || substr(text, 1, 200), chr(10) ORDER BY turn, text) AS prompt FROM conversations WHERE turn < 5 GROUP BY conv_id")
+@query("v04_prompt_contexts", "SELECT conv_id, 'Context:' || chr(10) || string_agg('[Context ' || turn || '] ' || text, chr(10) ORDER BY turn, text) AS prompt FROM conversations GROUP BY conv_id")
 def prompt_contexts(spark, sf_dir):
-    part = F.concat(F.lit("[Context "), F.col("turn").cast("string"), F.lit("] "), F.substring("text", 1, 200))
-    return table(spark, sf_dir, "conversations").where("turn < 5").groupBy("conv_id").agg(F.concat(F.lit("Context:\n"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text", part.alias("part"))))["part"], "\n")).alias("prompt"))
+    part = F.concat(F.lit("[Context "), F.col("turn").cast("string"), F.lit("] "), "text")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("Context:\n"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text", part.alias("part"))))["part"], "\n")).alias("prompt"))
 
 
 @query("v05_recent_documents", "SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
@@ -315,13 +315,28 @@ def recent_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
 
 
+#: Openings that only the first of several summaries keeps, in the order in which they are tried.
+PREFIXES = ("This text", "This section", "The text", "The document")
+#: Every third turn opens like a summary.
+_PART = "trim(CASE turn % 3 WHEN 1 THEN 'this Section ' WHEN 2 THEN 'The text  ' ELSE '' END || text)"
+_FITS = " ".join(f"WHEN starts_with(lower(part), {quoted(x.lower())}) THEN ltrim(substr(part, {len(x) + 1}))" for x in PREFIXES)
+_SHORT = "CASE WHEN place > 1 AND rest <> '' THEN upper(substr(rest, 1, 1)) || substr(rest, 2) ELSE part END"
+
+
 @query(
     "u11_merged_summaries",
-    "SELECT conv_id, substr(string_agg(CASE WHEN turn > 0 AND starts_with(lower(trim(text)), 'the ') THEN upper(substr(trim(text), 5, 1)) || substr(trim(text), 6, 60) ELSE substr(trim(text), 1, 60) END, ' ' ORDER BY turn, text), 1, 1000) AS summary FROM conversations GROUP BY conv_id",
+    f"""WITH p AS (SELECT conv_id, turn, text, {_PART} AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), r AS (SELECT *, CASE {_FITS} ELSE '' END AS rest FROM p),
+    m AS (SELECT conv_id, string_agg(CASE WHEN n > 1 THEN {_SHORT} ELSE part END, ' ' ORDER BY place) AS merged, max(n) AS n FROM r GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN n > 1 AND length(merged) > 1000 THEN substr(merged, 1, 997) || '...' ELSE merged END AS summary FROM m""",
 )
 def merged_summaries(spark, sf_dir):
     """Summaries of parts joined in order, stock openings cut from all but the first, 1000 characters at most (the feature)."""
-    t = F.trim("text")
-    part = F.when((F.col("turn") > 0) & F.lower(t).startswith("the "), F.concat(F.upper(F.substring(t, 5, 1)), F.substring(t, 6, 60))).otherwise(F.substring(t, 1, 60))
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text", part.alias("part"))))["part"]
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.substring(F.array_join(parts, " "), 1, 1000).alias("summary"))
+    part = F.expr(_PART)
+    rest = F.lit("")
+    for prefix in reversed(PREFIXES):
+        rest = F.when(F.startswith(F.lower("part"), F.lit(prefix.lower())), F.ltrim(F.substring("part", len(prefix) + 1, 1 << 30))).otherwise(rest)
+    parts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", part.alias("part"))))["part"].alias("parts"))
+    one = parts.select("conv_id", F.size("parts").alias("n"), F.posexplode("parts").alias("place", "part")).withColumn("rest", rest)
+    cut = F.when((F.col("place") > 0) & (F.col("rest") != ""), F.concat(F.upper(F.substring("rest", 1, 1)), F.substring("rest", 2, 1 << 30))).otherwise(F.col("part"))
+    joined = one.groupBy("conv_id", "n").agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("n") > 1, cut).otherwise(F.col("part")).alias("part"))))["part"], " ").alias("merged"))
+    return joined.select("conv_id", F.when((F.col("n") > 1) & (F.length("merged") > 1000), F.concat(F.left("merged", F.lit(997)), F.lit("..."))).otherwise(F.col("merged")).alias("summary"))

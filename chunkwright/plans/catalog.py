@@ -16,10 +16,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refine the documents, cut them into chunks, score the chunks and summarise by source."""
     text_column = column(column(F.col("text"), RULES["clean_noise"]), RULES["normalize_whitespace"])
     refined = table(spark, sf_dir, "documents").select("doc_id", "source", text_column.alias("text")).where("length(text) > 0")
-    chunks = fixed_windows(refined, 1024, 128, "source")
-    c = F.col("content")
+    chunks, c = S.derived(fixed_windows(refined, 1024, 128, "source"))
     return chunks.groupBy("source").agg(
-        F.count("*").alias("n_chunks"), F.round(F.avg(F.length(c)), 6).alias("mean_chars"), F.round(F.avg(S.completeness(c)), 6).alias("completeness"),
+        F.count("*").alias("n_chunks"), F.round(F.avg(F.length(c.text)), 6).alias("mean_chars"), F.round(F.avg(S.completeness(c)), 6).alias("completeness"),
         F.round(F.avg(S.density(c)), 6).alias("density"), F.round(F.avg(S.per_thousand(c)), 6).alias("per_thousand"),
     )
 

@@ -67,12 +67,12 @@ def neighbours(spark, sf_dir):
 
 @query(
     "g08_steps",
-    f"""WITH RECURSIVE {_EDGES}, near AS (SELECT doc_id, src AS a, dst AS b FROM edges UNION SELECT doc_id, dst, src FROM edges), reach(doc_id, node, steps) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), 0 FROM near UNION SELECT r.doc_id, n.b, r.steps + 1 FROM reach r JOIN near n ON n.doc_id = r.doc_id AND n.a = r.node WHERE r.steps < 40)
+    f"""WITH RECURSIVE {_EDGES}, near AS (SELECT doc_id, src AS a, dst AS b FROM edges UNION SELECT doc_id, dst, src FROM edges), reach(doc_id, node, steps) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), 0 FROM near UNION SELECT r.doc_id, n.b, r.steps + 1 FROM reach r JOIN near n ON n.doc_id = r.doc_id AND n.a = r.node WHERE r.steps < (SELECT max(n) FROM (SELECT count(DISTINCT a) AS n FROM near GROUP BY doc_id)))
     SELECT doc_id, node, min(steps) AS steps FROM reach GROUP BY doc_id, node""",
 )
 def steps(spark, sf_dir):
     """Steps of the shortest path from a conversation's first turn."""
-    return G.distances(all_edges(spark, sf_dir))
+    return G.distances(all_edges(spark, sf_dir)).select("doc_id", "node", "steps")
 
 
 @query("g09_hierarchy", f"WITH {_EDGES} SELECT doc_id, src AS parent, count(*) AS n_children, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS children FROM hier GROUP BY doc_id, src")

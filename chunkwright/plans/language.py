@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chunkwright.functions import language as L
 from chunkwright.plans.corpora import table
 from chunkwright.plans.registry import query
 
-_MIX = """CASE doc_id % 6 WHEN 0 THEN repeat('한국어 문장입니다. ', 60) || substr(text, 1, 300) WHEN 1 THEN repeat('これは日本語の文です。', 30) || substr(text, 1, 300)
- WHEN 2 THEN repeat('这是中文句子。', 40) || substr(text, 1, 300) WHEN 3 THEN repeat('Это русский текст. ', 60) ELSE text END"""
+_MIX = """CASE doc_id % 6 WHEN 0 THEN repeat('한국어 문장입니다. ', 60) WHEN 1 THEN repeat('これは日本語の文です。', 30)
+ WHEN 2 THEN repeat('这是中文句子。', 40) WHEN 3 THEN repeat('Это русский текст. ', 60) ELSE '' END || text"""
 _DUCK = f"m AS (SELECT doc_id, {_MIX} AS text FROM documents WHERE text IS NOT NULL)"
 
 
@@ -73,22 +72,18 @@ def size_factor(spark, sf_dir):
     return mixed(spark, sf_dir).select("doc_id", F.round(L.size_factor(F.col("text")), 9).alias("factor"))
 
 
-_TRIGRAMS = """t AS (SELECT doc_id, lang, tri, count(*) AS n FROM (SELECT doc_id, lang, substr(x, CAST(i AS INT), 3) AS tri FROM (SELECT doc_id, lang, x, unnest(range(1, length(x) - 1)) AS i FROM (SELECT doc_id, lang, lower(substr(text, 1, 400)) AS x FROM documents WHERE length(text) > 2))) GROUP BY 1, 2, 3)"""
+_GRAMS = f"g AS (SELECT doc_id, lang, substr(x, CAST(i AS INT), 3) AS tri FROM (SELECT doc_id, lang, x, unnest(range(1, length(x) - 1)) AS i FROM (SELECT doc_id, lang, lower(substr(text, 1, {L.SAMPLE})) AS x FROM documents WHERE length(text) > 2)))"
 
 
 @query(
     "l02_trigram_language",
-    f"""WITH {_TRIGRAMS}, p AS (SELECT lang, tri, sum(n) AS n FROM t WHERE doc_id % 2 = 0 GROUP BY 1, 2), z AS (SELECT lang, sum(n) AS total FROM p GROUP BY 1),
-    s AS (SELECT t.doc_id, p.lang AS guess, sum(t.n * p.n / z.total) AS score FROM t JOIN p ON t.tri = p.tri JOIN z ON z.lang = p.lang WHERE t.doc_id % 2 = 1 GROUP BY 1, 2)
-    SELECT doc_id, guess, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, guess) AS k FROM s) WHERE k = 1""",
+    f"""WITH {_GRAMS}, c AS (SELECT lang, tri, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY 1, 2), p AS (SELECT lang AS guess, tri, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tri) AS rank FROM c) WHERE rank <= {L.PROFILE}),
+    z AS (SELECT DISTINCT guess FROM p), t AS (SELECT doc_id, tri, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, tri) AS rank FROM g GROUP BY doc_id, tri),
+    d AS (SELECT doc_id, z.guess, sum(coalesce(least(abs(t.rank - p.rank), {L.PROFILE}), {L.PROFILE})) / count(*) AS distance FROM t CROSS JOIN z LEFT JOIN p ON p.guess = z.guess AND p.tri = t.tri WHERE t.rank <= {L.PROFILE} GROUP BY doc_id, z.guess),
+    r AS (SELECT *, row_number() OVER w AS k, lead(distance) OVER w AS next FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY distance, guess))
+    SELECT doc_id, guess, round(distance, 6) AS distance, round(greatest(0.1e0, least(0.99e0, CASE WHEN distance > 0 THEN 0.5e0 + 0.5e0 * (next - distance) / distance ELSE 0.99e0 END)), 6) AS confidence FROM r WHERE k = 1""",
 )
 def trigram_language(spark, sf_dir):
-    """Profiles come from the even documents; the odd ones get the language whose trigram shares fit best."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 2").select("doc_id", "lang", F.lower(F.substring("text", 1, 400)).alias("x"))
-    grams = docs.select("doc_id", "lang", F.explode(F.expr("transform(sequence(1, length(x) - 2), i -> substring(x, i, 3))")).alias("tri")).groupBy("doc_id", "lang", "tri").agg(F.count("*").alias("n"))
-    profile = grams.where("doc_id % 2 = 0").groupBy("lang", "tri").agg(F.sum("n").alias("k"))
-    total = profile.groupBy("lang").agg(F.sum("k").alias("total"))
-    share = profile.join(total, "lang").select(F.col("lang").alias("guess"), "tri", (F.col("k") / F.col("total")).alias("share"))
-    scored = grams.where("doc_id % 2 = 1").join(share, "tri").groupBy("doc_id", "guess").agg(F.sum(F.col("n") * F.col("share")).alias("score"))
-    best = scored.groupBy("doc_id").agg(F.max_by("guess", F.struct(F.round("score", 9), F.expr("-ascii(guess)"), F.expr("-ascii(substr(guess, 2))"))).alias("guess"), F.round(F.max("score"), 6).alias("score"))
-    return best
+    """Profiles of all labelled documents; every document gets the language whose ranking of trigrams is nearest."""
+    docs = table(spark, sf_dir, "documents").where("length(text) > 2")
+    return L.nearest_language(docs, L.profiles(docs.where("lang IS NOT NULL"))).select("doc_id", "guess", F.round("distance", 6).alias("distance"), F.round("confidence", 6).alias("confidence"))

@@ -12,7 +12,7 @@ from chunkwright.plans.registry import query
 #: A line of each kind that the field rules read, put before documents by doc_id.
 _LEAD = """CASE doc_id % 8 WHEN 0 THEN 'Acme Widget User Guide' || chr(10) || 'Copyright 2021 Acme Corporation' WHEN 1 THEN 'Product: Widget 5' || chr(10) || 'Version 2.10.1' WHEN 2 THEN 'Company: Some Firm, x' || chr(10) || 'Firmware 3.4'
  WHEN 3 THEN 'Released: 12/05/2020' || chr(10) || 'import numpy' WHEN 4 THEN 'Date: May 5, 2021' || chr(10) || 'from os import path' || chr(10) || 'using React; Docker' WHEN 5 THEN 'a specification 2020-01-02' || chr(10) || 'require("fs-extra") Python SQL'
- WHEN 6 THEN 'tutorial of code api system method function contract' ELSE 'plain' END || chr(10) || substr(text, 1, 400)"""
+ WHEN 6 THEN 'tutorial of code api system method function contract' || chr(10) || 'use Some.Space; © 2020 Bold Works, ltd import { a, b } from "es-lib"' ELSE 'plain' END || chr(10) || text"""
 _DUCK = f"lead AS (SELECT doc_id, {_LEAD} AS text FROM documents WHERE text IS NOT NULL)"
 
 

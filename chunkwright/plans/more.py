@@ -104,18 +104,20 @@ def list_indents(spark, sf_dir):
 
 @query(
     "c07_semantic_chunks",
-    """WITH s AS (SELECT label AS doc_id, vec_id, coalesce(list_cosine_similarity(embedding::DOUBLE[], (lag(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[]) < 0.1, false) AS cut FROM embeddings), c AS (SELECT doc_id, vec_id, sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY vec_id) AS chunk_index FROM s)
+    """WITH s AS (SELECT label AS doc_id, vec_id, coalesce(list_cosine_similarity(embedding::DOUBLE[], (lag(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[]) < 0.7, false) AS cut FROM embeddings), c AS (SELECT doc_id, vec_id, sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY vec_id) AS chunk_index FROM s)
     SELECT doc_id, chunk_index, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM c GROUP BY doc_id, chunk_index""",
 )
 def semantic_chunks(spark, sf_dir):
-    """A running count of boundaries numbers the chunks."""
-    from chunkwright.operators.vectors import cosine
+    """A running count of boundaries, where similarity falls under 0.7, numbers the chunks."""
+    from chunkwright.operators.ordered import running_sum
+    from chunkwright.operators.vectors import neighbour_similarity
 
-    w = Window.partitionBy("doc_id").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), "vec_id", "embedding").withColumn("before", F.lag("embedding").over(w))
-    cut = F.when(F.col("before").isNull(), 0).otherwise((cosine(F.col("embedding"), F.col("before")) < 0.1).cast("int"))
-    c = e.select("doc_id", "vec_id", cut.alias("cut")).withColumn("chunk_index", F.sum("cut").over(w))
-    return c.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("i"), "embedding")
+    cuts = neighbour_similarity(e).where("similarity < 0.7").select("doc_id", "i")
+    # a cut after a segment counts from the next one on
+    marked = e.select("doc_id", "i").join(cuts.withColumn("cut", F.lit(1)), ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce("cut", F.lit(0)).alias("cut"))
+    c = running_sum(marked, "doc_id", "i", "cut").withColumn("chunk_index", F.col("total") - F.col("cut"))
+    return c.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n"), F.min("i").alias("first_id"), F.max("i").alias("last_id"))
 
 
 @query(
@@ -129,12 +131,17 @@ def hierarchical_chunks(spark, sf_dir):
     return p.select("doc_id", "ord", F.when(F.col("ord") == 0, "Root").otherwise("Leaf").alias("kind"), F.when(F.col("ord") > 0, 0).alias("parent"), F.length("part").alias("n_chars"))
 
 
-@query("x03_lists", f"WITH {DUCK_DECORATED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM decorated), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM l WHERE regexp_matches(line, '{_ITEM}')) SELECT doc_id, min(i) - 1 AS first_line, count(*) AS n_items, bool_and(regexp_matches(line, '^\\s*\\d+\\.')) AS ordered FROM r GROUP BY doc_id, island HAVING count(*) >= 2")
+_ITEMS = "regexp_replace(text, '(?m)^- (.*)$', '- \\1' || chr(10) || '- \\1 again' || chr(10) || '  * below' || chr(10) || '1. last', 'g')"
+
+
+@query("x03_lists", f"WITH {DUCK_DECORATED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, {_ITEMS} AS text FROM decorated)), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM l WHERE regexp_matches(line, '{_ITEM}')) SELECT doc_id, min(i) - 1 AS first_line, count(*) AS n_items, bool_and(regexp_matches(line, '^\\s*\\d+\\.')) AS ordered, string_agg(trim(regexp_extract(line, '{_ITEM}', 3), {_B}), '|' ORDER BY i) AS items FROM r GROUP BY doc_id, island HAVING count(*) >= 3")
 def lists(spark, sf_dir):
-    """Runs of list items; two make a list here, as three in a row are rare in these texts."""
-    lines = decorated(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.col("line").rlike(_ITEM))
+    """Runs of three list items or more; every fourth line is followed by four items, so that there are some."""
+    planted = F.regexp_replace("text", "(?dm)^- (.*)$", "- $1\n- $1 again\n  * below\n1. last")
+    lines = decorated(spark, sf_dir).select("doc_id", F.posexplode(F.split(planted, "\n")).alias("i", "line")).where(F.col("line").rlike(_ITEM))
     rows = lines.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i")))
-    return rows.groupBy("doc_id", "island").agg(F.min("i").alias("first_line"), F.count("*").alias("n_items"), F.every(F.col("line").rlike(r"^\s*\d+\.")).alias("ordered")).where("n_items >= 2").drop("island")
+    items = F.array_join(F.array_sort(F.collect_list(F.struct("i", S.trimmed(F.regexp_extract("line", _ITEM, 3)).alias("t"))))["t"], "|")
+    return rows.groupBy("doc_id", "island").agg(F.min("i").alias("first_line"), F.count("*").alias("n_items"), F.every(F.col("line").rlike(r"^\s*\d+\.")).alias("ordered"), items.alias("items")).where("n_items >= 3").drop("island")
 
 
 @query("x10_paragraph_offsets", f"WITH {DUCK_DECORATED}, p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS i FROM decorated) SELECT doc_id, i, CAST(coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, length(part) AS n_chars FROM p")
@@ -145,10 +152,10 @@ def paragraph_offsets(spark, sf_dir):
     return p.select("doc_id", "i", F.coalesce(F.sum(F.length("part") + 2).over(before), F.lit(0)).alias("start_char"), F.length("part").alias("n_chars"))
 
 
-@query("r14_image_texts", "WITH t AS (SELECT doc_id, 'See ![x](embedded:img_1) and ![y](embedded:img_2). ' || substr(text, 1, 200) AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, replace(replace(text, '![x](embedded:img_1)', '[Image Content: chart ' || doc_id % 5 || ']'), '![y](embedded:img_2)', '[Image Content: photo]') AS text FROM t")
+@query("r14_image_texts", "WITH t AS (SELECT doc_id, 'See ![x](embedded:img_1) and ![y](embedded:img_2). ' || text AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, replace(replace(text, '![x](embedded:img_1)', '[Image Content: chart ' || doc_id % 5 || ']'), '![y](embedded:img_2)', '[Image Content: photo]') AS text FROM t")
 def image_texts(spark, sf_dir):
     """Captions of a document's images put in place of their links; a fold over the images joined to it."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("See ![x](embedded:img_1) and ![y](embedded:img_2). "), F.substring("text", 1, 200)).alias("text"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("See ![x](embedded:img_1) and ![y](embedded:img_2). "), "text").alias("text"))
     images = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("![x](embedded:img_1)").alias("link"), F.concat(F.lit("chart "), (F.col("doc_id") % 5).cast("string")).alias("caption")), F.struct(F.lit("![y](embedded:img_2)").alias("link"), F.lit("photo").alias("caption")))).alias("x")).select("doc_id", "x.*")
     lots = images.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("link", "caption"))).alias("images"))
     done = F.aggregate("images", F.col("text"), lambda t, x: F.replace(t, x["link"], F.concat(F.lit("[Image Content: "), x["caption"], F.lit("]"))))
@@ -168,9 +175,11 @@ def model_hooks(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", models.summarise(t).alias("summary"), models.questions(t).alias("questions"))
 
 
-@query("u09_conditional_enrichment", "SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE length(text) >= 200) AS enriched FROM conversations GROUP BY conv_id")
+@query("u09_conditional_enrichment", "SELECT doc_id, length(text) >= 500 AND coalesce(quality, 0) < 0.8 AS enriched FROM (SELECT d.doc_id, d.text, CAST(max(l.quality) AS DOUBLE) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id, d.text)")
 def conditional_enrichment(spark, sf_dir):
-    """The filter stands before the model, so only texts that call for it reach Python; 200 characters, as turns are short."""
-    turns = table(spark, sf_dir, "conversations")
-    done = turns.where(F.length("text") >= 200).select("conv_id", models.summarise(F.col("text")).alias("s")).groupBy("conv_id").agg(F.count("s").alias("enriched"))
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n")).join(done, "conv_id", "left").select("conv_id", "n", F.coalesce("enriched", F.lit(0)).alias("enriched"))
+    """Texts of 500 characters or more whose quality isn't 0.8 yet. The filter stands before the model, so only they reach Python."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").distinct()
+    quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
+    judged = docs.join(quality, "doc_id", "left").withColumn("wanted", (F.length("text") >= 500) & (F.coalesce("quality", F.lit(0.0)) < 0.8))
+    done = judged.where("wanted").select("doc_id", models.summarise(F.col("text")).isNotNull().alias("enriched"))
+    return done.unionByName(judged.where("NOT wanted").select("doc_id", F.lit(False).alias("enriched")))

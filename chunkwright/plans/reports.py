@@ -91,13 +91,13 @@ def completeness(spark, sf_dir):
 @query(
     "e04_suffix_overlap",
     f"WITH {DUCK_CHUNKS}, p AS (SELECT doc_id, chunk_index, content, lead(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS next FROM chunks) "
-    "SELECT doc_id, chunk_index, overlap, overlap // 4 AS tokens, abs(overlap - 128) <= 25.6 AS effective FROM (SELECT doc_id, chunk_index, coalesce(list_max(list_filter(range(1, CAST(least(length(content), length(next), 256) + 1 AS BIGINT)), lambda k: right(content, k) = left(next, k))), 0) AS overlap FROM p WHERE next IS NOT NULL)",
+    "SELECT doc_id, chunk_index, overlap, overlap // 4 AS tokens, abs(overlap - 128) <= 25.6 AS effective FROM (SELECT doc_id, chunk_index, coalesce(list_max(list_filter(range(1, CAST(least(length(content), length(next)) + 1 AS BIGINT)), lambda k: right(content, k) = left(next, k))), 0) AS overlap FROM p WHERE next IS NOT NULL)",
 )
 def suffix_overlap(spark, sf_dir):
-    """The longest end of a chunk that starts the next one, up to twice the expected overlap."""
+    """The longest end of a chunk that starts the next one."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
     p = chunks(spark, sf_dir).withColumn("next", F.lead("content").over(w)).where("next IS NOT NULL")
-    longest = F.expr("coalesce(array_max(filter(sequence(1, least(length(content), length(next), 256)), k -> right(content, k) = left(next, k))), 0)")
+    longest = F.expr("coalesce(array_max(filter(sequence(1, least(length(content), length(next))), k -> right(content, k) = left(next, k))), 0)")
     p = p.select("doc_id", "chunk_index", longest.alias("overlap"))
     return p.select("doc_id", "chunk_index", "overlap", F.expr("overlap div 4").alias("tokens"), (F.abs(F.col("overlap") - 128) <= 25.6).alias("effective"))
 

@@ -48,18 +48,19 @@ D_PER_THOUSAND = f"CASE WHEN {_T} = '' THEN 0e0 ELSE (len(list_distinct(list_fil
 )
 def chunk_scores(spark, sf_dir):
     """Q01, Q02, Q07, Q17, Q18, Q19, Q24."""
-    c = F.col("content")
+    frame, c = S.derived(chunks(spark, sf_dir))
     r = lambda x, name: F.round(x, 6).alias(name)
-    return chunks(spark, sf_dir).select(
+    return frame.select(
         "doc_id", "chunk_index", r(S.completeness(c), "completeness"), r(S.coherence(c), "coherence"), r(S.density(c), "density"), r(S.context_dependency(c), "context_dependency"),
         r(S.relevance(c), "relevance"), r(S.sentence_completeness(c), "sentence_completeness"), r(S.per_thousand(c), "per_thousand"),
     )
 
 
-def neighbour_columns(frame):
+def neighbour_columns(frame, own=None):
     """content_next and word sets of a chunk and the one after it."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    return frame.withColumn("own", S.word_set(F.col("content"))).withColumn("content_next", F.lead("content").over(w)).withColumn("next", F.lead("own").over(w))
+    own = S.word_set(F.col("content")) if own is None else own
+    return frame.withColumn("own", own).withColumn("content_next", F.lead("content").over(w)).withColumn("next", F.lead("own").over(w))
 
 
 _PAIRS = f"""pairs AS (SELECT doc_id, chunk_index, content, lead(content) OVER w AS content_next, list_distinct({_WL}) AS own, lead(list_distinct({_WL})) OVER w AS next FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index))"""
@@ -111,18 +112,19 @@ def document_quality(spark, sf_dir):
 
 
 def document_measures(frame):
-    pairs = neighbour_columns(frame)
+    frame, parts = S.derived(frame)
+    pairs = neighbour_columns(frame, S.word_set(parts))
     c, nxt = F.col("content"), F.col("content_next")
     pair = lambda x, default: F.coalesce(F.avg(F.when(nxt.isNotNull(), x)), F.lit(default))
     overlap = S.jaccard(F.col("own"), F.col("next"))
-    boundary = 0.5 + 0.25 * S.number(S.ends_sentence(S.trimmed(c))) + 0.25 * S.number(S.starts_upper(S.trimmed(nxt)))
+    boundary = 0.5 + 0.25 * S.number(S.ends_sentence(parts.trimmed)) + 0.25 * S.number(S.starts_upper(S.trimmed(nxt)))
     flow = F.least(F.lit(1.0), overlap + 0.2 * S.number(S.contains_any(nxt, S.CONNECTORS)))
-    n_words, size = F.sum(F.size(S.words(c))), F.length(c)
+    n_words, size = F.sum(F.size(parts.words)), F.length(c)
     return pairs.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.avg(S.completeness(c)).alias("completeness"), F.avg(S.coherence(c)).alias("coherence"),
+        F.count("*").alias("n"), F.avg(S.completeness(parts)).alias("completeness"), F.avg(S.coherence(parts)).alias("coherence"),
         F.when(F.count("*") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.var_pop(size) / 100000)).alias("consistency"),
         pair(boundary, 1.0).alias("boundary"), F.greatest(F.lit(0.0), 1 - F.stddev_pop(size) / F.avg(size)).alias("size_distribution"), pair(overlap, 1.0).alias("overlap"),
-        F.avg(S.density(c)).alias("density"), F.when(n_words > 0, F.least(F.lit(1.0), 10 * F.sum(S.count_contained(F.lower(c), S.KEYWORDS)) / n_words)).otherwise(0.0).alias("keyword_richness"),
+        F.avg(S.density(parts)).alias("density"), F.when(n_words > 0, F.least(F.lit(1.0), 10 * F.sum(S.count_contained(parts.low, S.KEYWORDS)) / n_words)).otherwise(0.0).alias("keyword_richness"),
         F.avg(S.number(c.rlike("[0-9]") | S.contains_any(c, ["percent", "result", "data"]))).alias("factual"), pair(overlap, 0.0).alias("redundancy"),
         F.avg(S.number(S.contains_any(c, ["#", "- ", "1.", "•"]))).alias("structure"), pair(flow, 1.0).alias("continuity"),
         F.avg(S.number(S.contains_any(c, ["see", "refer", "above", "below"]))).alias("reference_integrity"), F.lit(1.0).alias("metadata_richness"),
@@ -174,12 +176,15 @@ def topic_scores(spark, sf_dir):
 VOCABULARY = "API REST GRAPHQL JSON XML HTTP HTTPS SSL TLS JWT OAUTH SQL NOSQL MONGODB POSTGRESQL MYSQL DOCKER KUBERNETES AWS AZURE GCP CI/CD DEVOPS".split()
 
 
+_TECH = "CASE (doc_id + chunk_index) % 5 WHEN 0 THEN 'A REST api (json) over https; ' WHEN 1 THEN 'sql, docker. Sql! CI/CD ' WHEN 2 THEN 'rest rests sqlite ' ELSE '' END"
+
+
 @query(
     "q22_technical_keywords",
-    f"WITH {DUCK_CHUNKS} SELECT doc_id, chunk_index, array_to_string(list_sort(list_distinct(list_filter(list_transform({_W}, lambda w: upper(trim(w, '(),.!?;:'))), lambda w: w IN {_IN(VOCABULARY + ['THE'])}))), ',') AS keywords FROM chunks",
+    f"WITH {DUCK_CHUNKS} SELECT doc_id, chunk_index, array_to_string(list_sort(list_distinct(list_filter(list_transform({_W}, lambda w: upper(trim(w, '(),.!?;:'))), lambda w: w IN {_IN(VOCABULARY)}))), ',') AS keywords FROM (SELECT doc_id, chunk_index, {_TECH} || content AS content FROM chunks)",
 )
 def technical_keywords(spark, sf_dir):
-    """Vocabulary words of each chunk; `THE` stands in for a domain's own vocabulary, as texts here hold no technical terms."""
+    """Vocabulary words of each chunk; technical words are put before some of them, as texts here hold none."""
     clean = F.transform(S.words(F.col("content")), lambda w: F.upper(F.btrim(w, F.lit("(),.!?;:"))))
-    found = F.array_sort(F.array_distinct(F.filter(clean, lambda w: w.isin([*VOCABULARY, "THE"]))))
-    return chunks(spark, sf_dir).select("doc_id", "chunk_index", F.array_join(found, ",").alias("keywords"))
+    found = F.array_sort(F.array_distinct(F.filter(clean, lambda w: w.isin(VOCABULARY))))
+    return chunks(spark, sf_dir).withColumn("content", F.concat(F.expr(_TECH), "content")).select("doc_id", "chunk_index", F.array_join(found, ",").alias("keywords"))

@@ -95,7 +95,7 @@ def token_windows(spark, sf_dir):
 
 @query(
     "c17_sentences",
-    "WITH m AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])', '\\1' || chr(1), 'g'), chr(1) || '([0-9]|\\p{Ll})', '\\1', 'g'), chr(1)), lambda s: s <> '') AS s FROM documents WHERE text IS NOT NULL) "
+    "WITH m AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])', '\\1' || chr(1), 'g'), chr(1) || '(\\p{Nd}|\\p{Ll})', '\\1', 'g'), chr(1)), lambda s: s <> '') AS s FROM documents WHERE text IS NOT NULL) "
     "SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM m",
 )
 def sentences(spark, sf_dir):
@@ -108,10 +108,28 @@ def paragraphs(spark, sf_dir):
     return decorated(spark, sf_dir).select("doc_id", F.posexplode(C.paragraphs(F.col("text"))).alias("i", "p"))
 
 
-@query("c16_packed")
+#: Every fifth document begins with a long paragraph without letters' cases, so that sentences end before Han.
+_LONG = "CASE WHEN doc_id % 5 = 0 THEN repeat('这是中文句子。', 400) || chr(10) || chr(10) ELSE '' END || text"
+_PARTS = "list_filter(string_split_regex(text, '\\r\\n\\r\\n|\\n\\n'), lambda p: p <> '')"
+_PIECES = "list_filter(string_split(regexp_replace(regexp_replace(part, '([.!?。！？])', '\\1' || chr(1), 'g'), chr(1) || '(\\p{Nd}|\\p{Ll})', '\\1', 'g'), chr(1)), lambda s: s <> '')"
+_JOINS = "r.p = u.p AND r.n + length(u.t) + CASE WHEN u.p = 0 THEN 2 ELSE 0 END <= 1600 AND length(u.t) <= 1600"
+
+
+@query(
+    "c16_packed",
+    f"""WITH RECURSIVE {DUCK_DECORATED}, d AS (SELECT doc_id, {_LONG} AS text FROM decorated), par AS (SELECT doc_id, unnest({_PARTS}) AS part, generate_subscripts({_PARTS}, 1) AS i FROM d WHERE length(text) > 1600),
+    un AS (SELECT doc_id, i, 0 AS j, 0 AS p, part AS t FROM par WHERE length(part) <= 1600 UNION ALL SELECT doc_id, i, generate_subscripts({_PIECES}, 1) AS j, i AS p, unnest({_PIECES}) AS t FROM par WHERE length(part) > 1600),
+    u AS (SELECT doc_id, p, t, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM un),
+    r AS (SELECT doc_id, k, p, length(t) AS n, k AS seg FROM u WHERE k = 1 UNION ALL
+      SELECT u.doc_id, u.k, u.p, CASE WHEN {_JOINS} THEN r.n + length(u.t) + CASE WHEN u.p = 0 THEN 2 ELSE 0 END ELSE length(u.t) END, CASE WHEN {_JOINS} THEN r.seg ELSE u.k END FROM r JOIN u ON u.doc_id = r.doc_id AND u.k = r.k + 1),
+    g AS (SELECT doc_id, seg, min(p) AS p, max(length(t)) AS longest, string_agg(t, '' ORDER BY k) AS run, string_agg(t, chr(10) || chr(10) ORDER BY k) AS block FROM r JOIN u USING (doc_id, k, p) GROUP BY doc_id, seg),
+    c AS (SELECT doc_id, seg, regexp_replace(CASE WHEN p = 0 THEN block WHEN longest > 1600 THEN left(run, 1550) || '...' ELSE run END, '\\A[{C.WHITE}]+|[{C.WHITE}]+\\z', '', 'g') AS content FROM g)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1 AS chunk_index, content FROM c WHERE length(content) > 50
+    UNION ALL SELECT doc_id, 0 AS chunk_index, text AS content FROM d WHERE length(text) <= 1600 AND regexp_replace(text, '\\A[{C.WHITE}]+', '') <> ''""",
+)
 def packed(spark, sf_dir):
     """Greedy packing of paragraphs and sentences."""
-    return C.pack(decorated(spark, sf_dir))
+    return C.pack(decorated(spark, sf_dir).select("doc_id", F.expr(_LONG.replace("chr(10)", "'\\n'")).alias("text")))
 
 
 _STATS = """SELECT doc_id, len(regexp_extract_all(t, '(?m)^#{{1,6}}\\s+')) AS headings, len(regexp_extract_all(t, '(?m)^\\d+[.)]\\s+')) AS numbered,

@@ -117,15 +117,15 @@ _NORMAL = duckdb("line", RULES["normalize_line"])
 
 @query(
     "r04_repeated_lines_filter",
-    f"""WITH {DUCK_DECORATED}, l AS (SELECT doc_id, greatest(3, length(text) // 300) AS pages, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM decorated),
+    f"""WITH {DUCK_DECORATED}, l AS (SELECT doc_id, greatest(1, length(text) // 3000) AS pages, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM decorated),
     n AS (SELECT *, {_NORMAL} AS norm FROM l), f AS (SELECT doc_id, norm, count(*) AS k FROM n WHERE length(line) <= 200 AND norm <> '' GROUP BY 1, 2),
-    k AS (SELECT n.* FROM n LEFT JOIN f ON n.doc_id = f.doc_id AND n.norm = f.norm WHERE n.norm = '' OR f.k IS NULL OR f.k < greatest(2, CAST(floor(pages * 0.5) AS BIGINT)))
-    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM k GROUP BY doc_id""",
+    k AS (SELECT n.* FROM n LEFT JOIN f ON n.doc_id = f.doc_id AND n.norm = f.norm WHERE n.norm = '' OR pages < 3 OR f.k IS NULL OR f.k < greatest(2, CAST(floor(pages * 0.5) AS BIGINT)))
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS text FROM decorated LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
 )
 def repeated_lines_filter(spark, sf_dir):
     from chunkwright.operators.pages import drop_repeated_lines
 
-    return drop_repeated_lines(decorated(spark, sf_dir).withColumn("pages", F.expr("greatest(3, length(text) div 300)")))
+    return drop_repeated_lines(decorated(spark, sf_dir).withColumn("pages", F.expr("greatest(1, length(text) div 3000)")))
 
 
 @query(

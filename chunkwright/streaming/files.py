@@ -14,7 +14,17 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def chunk_stream(spark: SparkSession, path: str, size: int = 1024, overlap: int = 128, schema: str = DOCUMENTS) -> DataFrame:
     """An unbounded frame of chunks: the same columns, from the same rules, as in a batch."""
-    docs = spark.readStream.schema(schema).parquet(path)
+    return refined_chunks(spark.readStream.schema(schema).parquet(path), size, overlap)
+
+
+def text_stream(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (hash of the path), path, text of text files as they arrive, a row for each file."""
+    files = spark.readStream.format("text").option("wholetext", True).load(path)
+    return files.select(F.xxhash64(F.col("_metadata.file_path")).alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def refined_chunks(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
+    """Chunks of refined documents, batch or stream."""
     text = column(column(F.col("text"), RULES["clean_noise"]), RULES["normalize_whitespace"])
     return fixed_windows(docs.select("doc_id", text.alias("text")).where("length(text) > 0"), size, overlap)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import random
+import re
 import struct
 import zipfile
 
@@ -77,12 +79,45 @@ def test_sinks_round_trip(spark, tmp_path):
     assert "id: 1" in sinks.front_matter(rows.where("id = 1"), "text", ["id"]).first()[0]
 
 
-def test_packing_covers_and_bounds():
-    import re
-
-    text = "\n\n".join(["One sentence here. " * 20, "x" * 4000, "Short paragraph that is long enough to be kept by the rule."])
-    got = chunking.pack_text(text, 500, 50, re)
-    assert all(len(p) <= 500 for p in got) and got[-1].startswith("Short") and any(p.endswith("...") for p in got)
+def packed_by_hand(text: str, most: int, least: int) -> list[str]:
+    """Lengths alone decide: every unit goes to the open chunk of its kind if there is room."""
+    if len(text) <= most:
+        return [text] if text.strip() else []
+    every = []
+    for i, part in enumerate(p for p in re.split(r"\r\n\r\n|\n\n", text) if p):
+        cut = re.split("\x01", re.sub(r"(?<=[.!?。！？])(?=.)", "\x01", part, flags=re.S)) if len(part) > most else [part]
+        merged = []
+        for piece in cut:  # a digit or small letter goes on with the sentence
+            if merged and (piece[:1].isdigit() or piece[:1].islower()):
+                merged[-1] += piece
+            else:
+                merged.append(piece)
+        every += [(i if len(part) > most else None, piece) for piece in merged]
+    lots: list[list] = []
+    for owner, piece in every:
+        room = most - sum(len(x) + 2 * (o is None) for o, x in lots[-1]) + 2 * (owner is None) - (2 if owner is None else 0) if lots else -1
+        if lots and lots[-1][0][0] == owner and len(piece) <= room and len(piece) <= most:
+            lots[-1].append((owner, piece))
+        else:
+            lots.append([(owner, piece)])
+    out = []
+    for lot in lots:
+        owner, first = lot[0]
+        out.append(("\n\n" if owner is None else "").join(x for _, x in lot).strip() if len(first) <= most else first[: most - 50] + "...")
+    return [x for x in out if len(x) > least]
+
+
+def test_packing_covers_and_bounds(spark):
+    rng = random.Random(3)
+    bits = ["One sentence here. ", "Version 3.5 stands. and goes on. ", "这是中文句子。", "한국어 문장입니다. ", "x" * 300 + "! ", "\n\n", "\n", "Why? ", "é. ", "7. "]
+    texts = ["\n\n".join(["One sentence here. " * 20, "x" * 4000, "Short paragraph that is long enough to be kept by the rule."]), "这是中文句子。" * 400, "", "  \n "]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    got: dict = {}
+    for r in chunking.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 500, 50).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["content"])
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == packed_by_hand(text, 500, 50), text
+    assert "".join(got[1]) == texts[1] and all(len(c) <= 500 for i in got for c in got[i])
 
 
 def test_windows_cover_with_exact_overlap(spark):
@@ -102,4 +137,13 @@ def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}  with   blanks\n\n\n\n" * 80, "en", "s", 1) for i in range(6)], files.DOCUMENTS)
     docs.repartition(2).write.parquet(str(tmp_path / "in"))
     files.write_chunks(files.chunk_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).where(F.length("content") > 0).select("doc_id").distinct().count() == 6
+    batch = files.refined_chunks(spark.read.parquet(str(tmp_path / "in")))
+    (tmp_path / "txt").mkdir()
+    for i in range(3):
+        (tmp_path / "txt" / f"{i}.txt").write_text(f"line {i}\nnext\n")
+    texts = files.write_chunks(files.text_stream(spark, str(tmp_path / "txt")), str(tmp_path / "out2"), str(tmp_path / "cp2"))
+    texts.awaitTermination(60)
+    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out2")).collect()) == [f"line {i}\nnext\n" for i in range(3)]
+    rows = lambda frame: sorted((r["doc_id"], r["chunk_index"], r["content"]) for r in frame.select("doc_id", "chunk_index", "content").collect())
+    got = rows(spark.read.parquet(str(tmp_path / "out")))
+    assert got == rows(batch) and len({r[0] for r in got}) == 6
