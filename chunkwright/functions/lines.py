@@ -110,5 +110,6 @@ def repaired_levels(levels: Column, first: int = 2, jump: int = 1) -> Column:
 
 
 def few_blank_lines(text: Column) -> Column:
-    """Lines without trailing blanks, and at most two blank lines in a row."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?dm)[ \t]+$", ""), r"\n{4,}", "\n\n\n")
+    """Lines without trailing blanks, and at most two blank lines in a row, at the ends too."""
+    text = F.regexp_replace(text, r"(?dm)[ \t]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\A\n{3,}", "\n\n"), r"\n{3,}\z", "\n\n"), r"\n{4,}", "\n\n\n")

@@ -117,7 +117,10 @@ RULES: dict[str, Rule] = {
         Step(r"\[image:\s*([^\]]+)\]", "![$1](embedded:$1)", "i"),
         Step(r"\[(img_\d+)\]", "![$1](embedded:$1)", "i"),
     ],
-    "markdown_spacing": [Step(r"\r\n", "\n"), _FEW_LINES, Step(r"([^\n])\n(#{1,6} )", "$1\n\n$2"), Step(r"^(#{1,6} [^\n]*)\n([^\n#])", "$1\n\n$2"), Trim()],
+    "markdown_spacing": [
+        Step(r"\r\n", "\n"), _FEW_LINES, Step(r"([^\n])\n(#{1,6}\s)", "$1\n\n$2"), Step(r"(#{1,6}\s[^\n]+)\n([^\n#])", "$1\n\n$2"),
+        Step(r"([^\n])\n(```)", "$1\n\n$2"), Step(r"(```)\n([^\n])", "$1\n\n$2"), Trim(),
+    ],
     "normalize_line": [
         Step(r"^\s+|\s+$"),
         Step(r"Page\s*\d+", "PAGE_NUM", "i"), Step(r"\d+\s*페이지", "PAGE_NUM"), Step(r"페이지\s*\d+", "PAGE_NUM"), Step(r"第\s*\d+\s*页", "PAGE_NUM"),

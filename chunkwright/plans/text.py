@@ -154,7 +154,7 @@ def heading_levels(spark, sf_dir):
 
 @query(
     "n06_blank_lines",
-    f"WITH {DUCK_DECORATED} SELECT doc_id, {duckdb('text', [])} AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)[ \\t]+$', '', 'g'), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS text FROM decorated)",
+    f"WITH {DUCK_DECORATED} SELECT doc_id, {duckdb('text', [])} AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)[ \\t]+$', '', 'g'), '\\A\\n{{3,}}', chr(10) || chr(10)), '\\n{{3,}}\\z', chr(10) || chr(10)), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS text FROM decorated)",
 )
 def blank_lines(spark, sf_dir):
     return decorated(spark, sf_dir).select("doc_id", L.few_blank_lines(F.col("text")).alias("text"))
