@@ -53,49 +53,50 @@ UNITS = (
 ).split()
 SIGNS = "%$€£°"
 
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?;:\n|" + SIGNS + "]")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?;:\n|" + SIGNS + "]")
 _PLAIN, _CAPITAL, _NUMBER, _UNIT, _SIGN, _END = range(6)
+#: A token's hash and its kind in one number: the kind takes the lowest bits.
+_KIND_BITS = np.uint64(7)
+_HASH_BITS = 2**64 - 8
 _HOLDERS = {"number": xxhash.xxh3_64_intdigest("<number>"), "name": xxhash.xxh3_64_intdigest("<name>"), "unit": xxhash.xxh3_64_intdigest("<unit>")}
 
 
-class Templates:
-    """Template tokens of texts; keeps the words it has seen."""
+class Templates(dict):
+    """Template tokens of texts. As a dict it keeps the hash and kind of the tokens it has met."""
 
     def __init__(self, most: int = 150_000):
+        super().__init__()
         self.most = most
-        self.ids: dict[str, int] = {}
-        self.hashes, self.kinds = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
         self.units = set(UNITS)
 
-    def _kind(self, token: str) -> int:
+    def _kind(self, token: str, word: str) -> int:
         if token[0].isdigit():
             return _NUMBER
         if token in SIGNS:
             return _SIGN
         if not token[0].isalpha():
             return _END
-        if token.lower() in self.units:
+        if word in self.units:
             return _UNIT
         return _CAPITAL if token[0].isupper() and not token.isupper() else _PLAIN  # words all in capitals are set so, not names
 
-    def _look_up(self, tokens: list[str]) -> np.ndarray:
-        if len(self.ids) > self.most:
-            self.ids.clear()
-        new = [t for t in dict.fromkeys(tokens) if t not in self.ids]
-        if new:
-            at = len(self.ids)
-            self.ids.update(zip(new, range(at, at + len(new))))
-            if len(self.ids) > len(self.hashes):
-                self.hashes, self.kinds = np.resize(self.hashes, 2 * len(self.ids)), np.resize(self.kinds, 2 * len(self.ids))
-            self.hashes[at : len(self.ids)] = [xxhash.xxh3_64_intdigest(t.lower()) for t in new]
-            self.kinds[at : len(self.ids)] = [self._kind(t) for t in new]
-        return np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        if token.islower():
+            word, kind = token, _UNIT if token in self.units else _PLAIN
+        else:
+            word = token.lower()
+            kind = self._kind(token, word)
+        found = self[token] = xxhash.xxh3_64_intdigest(word) & _HASH_BITS | kind
+        return found
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, Callable[[int], str]]:
         """Template hashes, where they are placeholders, and the word at a place."""
         tokens = _TOKEN.findall(text)
-        at = self._look_up(tokens)
-        kinds, hashes = self.kinds[at], self.hashes[at].copy()
+        hashes = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+        kinds = (hashes & _KIND_BITS).astype(np.int8)
+        hashes |= _KIND_BITS  # the kind is no part of a word's hash
         before = np.r_[np.int8(_END), kinds[:-1]] if len(kinds) else kinds
         number = kinds == _NUMBER
         unit = (kinds == _SIGN) | (kinds == _UNIT) & (before == _NUMBER)

@@ -117,48 +117,69 @@ NEIGHBOURS = "key binary, start int, end int, pid int, edge int, position int, r
 BEFORE, AFTER, FIRST, LAST = range(4)
 
 
+FIELDS = ("key", "position", "right", "left")
+
+
+def _neighbour_rows(spans: list[tuple], edges: list[tuple], pid: int) -> pa.RecordBatch:
+    """A batch of NEIGHBOURS: spans (key, start, end) and edges (row, edge, rank)."""
+    none = [None] * len(spans)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([*(k for k, _, _ in spans), *(r[0] for r, *_ in edges)], pa.binary()),
+            pa.array([*(s for _, s, _ in spans), *(rank for *_, rank in edges)], pa.int32()),
+            pa.array([*(e for *_, e in spans), *[None] * len(edges)], pa.int32()),
+            pa.array([*none, *[pid] * len(edges)], pa.int32()),
+            pa.array([*none, *(e for _, e, _ in edges)], pa.int32()),
+            *(pa.array([*none, *(r[c] for r, *_ in edges)], kind) for c, kind in ((1, pa.int32()), (2, pa.binary()), (3, pa.binary()))),
+        ],
+        names=["key", "start", "end", "pid", "edge", "position", "right", "left"],
+    )
+
+
 def compared(sorted_suffixes: DataFrame, least: int) -> DataFrame:
-    """Matches with the nearest neighbours of other texts, the rows whose neighbour is in another partition, and each partition's outer rows."""
+    """Matches with the nearest neighbours of other texts, the rows whose neighbour is in another partition, and each partition's outer rows.
+
+    Rows stream by: what is held is a batch, the run of one text's rows that wait for the next text's,
+    and the row before that run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        table = [b for b in batches if b.num_rows]
-        if not table:
-            return
-        cols = {n: [v for b in table for v in b.column(b.schema.get_field_index(n)).to_pylist()] for n in ("key", "position", "right", "left")}
-        del table
-        rows = _Rows(**cols)
-        n = len(rows.key)
-        at = np.arange(n)
-        new = np.r_[True, rows.key[1:] != rows.key[:-1]].astype(bool)
-        before = np.maximum.accumulate(np.where(new, at, 0)) - 1  # the last row of another text
-        after = np.minimum.accumulate(np.where(np.r_[new[1:], True], at, n)[::-1])[::-1] + 1
-        keys: list = []
-        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in ((at[before >= 0], before[before >= 0]), (at[after < n], after[after < n])):
-            for lo in range(0, len(i), 20_000):
-                k, s, e = rows.matches(i[lo : lo + 20_000], j[lo : lo + 20_000], least)
-                keys += k
-                starts.append(s)
-                ends.append(e)
-        found = len(keys)
-        ends_of = {FIRST: [0, *at[before >= 0][:1]], LAST: [n - 1, *before[-1:][before[-1:] >= 0]]}
-        edges = [(x, e, None) for e, lot in ((BEFORE, at[before < 0]), (AFTER, at[after == n])) for x in lot]
-        edges += [(x, e, rank) for e, lot in ends_of.items() for rank, x in enumerate(lot)]
-        none = [None] * found
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys + [cols["key"][x] for x, *_ in edges], pa.binary()),
-                pa.array([*np.concatenate(starts).tolist(), *(rank for *_, rank in edges)], pa.int32()),
-                pa.array([*np.concatenate(ends).tolist(), *[None] * len(edges)], pa.int32()),
-                pa.array([*none, *[pid] * len(edges)], pa.int32()),
-                pa.array([*none, *(e for _, e, _ in edges)], pa.int32()),
-                *(pa.array([*none, *(cols[c][x] for x, *_ in edges)], kind) for c, kind in (("position", pa.int32()), ("right", pa.binary()), ("left", pa.binary()))),
-            ],
-            names=["key", "start", "end", "pid", "edge", "position", "right", "left"],
-        )
+        held: list[tuple] = []  # rows of the last text, behind the last row of another one
+        waiting, firsts = 0, 0  # how many of those still want the row after them; outer rows of two texts found at the start
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = len(held)
+            table = held + list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in FIELDS)))
+            n = len(table)
+            rows = _Rows(*map(list, zip(*table)))
+            at = np.arange(n)
+            new = np.r_[True, rows.key[1:] != rows.key[:-1]].astype(bool)
+            before = np.maximum.accumulate(np.where(new, at, 0)) - 1  # the last row of another text
+            after = np.minimum.accumulate(np.where(np.r_[new[1:], True], at, n)[::-1])[::-1] + 1
+            fresh, open_ = at >= known, at >= known - waiting
+            spans: list[tuple] = []
+            for mine, other in ((fresh & (before >= 0), before), (open_ & (after < n), after)):
+                i = at[mine]
+                k, start, end = rows.matches(i, other[mine], least)
+                spans += zip(k, start.tolist(), end.tolist())
+            edges = [(table[x], BEFORE, None) for x in at[fresh & (before < 0)]]
+            if not firsts:
+                edges.append((table[0], FIRST, 0))
+                firsts = 1
+            if firsts == 1 and (before >= 0).any():
+                edges.append((table[int(at[before >= 0][0])], FIRST, 1))
+                firsts = 2
+            yield _neighbour_rows(spans, edges, pid)
+            tail = int(before[-1]) + 1
+            waiting = n - tail
+            held = table[max(0, tail - 1) :]
+        if held:
+            other = held[:-waiting]
+            yield _neighbour_rows([], [*((r, AFTER, None) for r in held[-waiting:]), (held[-1], LAST, 0), *((r, LAST, 1) for r in other)], pid)
 
     return sorted_suffixes.mapInArrow(run, NEIGHBOURS)
 

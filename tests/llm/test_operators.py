@@ -63,6 +63,25 @@ def test_secrets_match_brute_force(spark):
         assert set(filter(None, joined.split(","))) <= set(got[i]["spans"].split(","))
 
 
+def test_secrets_match_sql_where_values_are_shared(spark):
+    import duckdb
+
+    rng = random.Random(47)
+    values = ["".join(rng.choice("abcdefgh") + rng.choice("ABCDEFGH") + rng.choice("0123456789") for _ in range(9)) for _ in range(12)]
+    rows = []
+    for i in range(300):
+        bits = [rng.choice(values[: 3 + i % 10]) if rng.random() < 0.5 else f"own{i}Aa{rng.randrange(10**12)}x" * 2 for _ in range(rng.randint(0, 4))]
+        text = " ".join(rng.choice(["see {}", "token={}", "password: '{}'", "{} AKIA1234567890ABCD", "é {} 0123456789abcdef0123456789abcdef"]).format(b) for b in bits)
+        rows.append((i % 290, text if i % 50 else None, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", "d", None]), None))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = secret_scan.digest(secret_scan.scan(frame, ["source"], ["source", "lang"])).toPandas()
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    want = con.execute(secret_scan.ORACLE).df()
+    key = lambda d: sorted(map(tuple, d[["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_examples", "n_owned"]].astype(object).itertuples(index=False)))
+    assert key(got) == key(want) and got.spans.str.contains("live").sum() > 20 and got.n_examples.sum() > 20
+
+
 def test_bare_tokens_are_spans_only_if_one_owner_has_them(spark):
     own, common = "Zx9" * 8, "Qw7" * 8
     rows = [(1, f"a {own} b", "en", "a", 1), (2, common, "en", "a", 1), (3, common, "en", "b", 1), (4, common, "en", "c", 1)]
@@ -491,6 +510,18 @@ def test_packing_is_exact_and_tight(spark):
     assert got.sequence_id.max() == n - 1 and got.length.sum() / (1024 * n) > 0.95
 
 
+def test_token_ids_are_those_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(49)
+    whole, encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._tokens(None)
+    bits = [" ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x0b", "'s", "'ll", "'", "don't", "The", "hello", "é", "ß", "日本語", "한국어", "Привет", "العربية", "हिन्दी", "😀", "👩‍👩‍👧", "123", "4.5", "!?", "--", "<|endoftext|>", "<|endof", "x_y", "\ufeff", "a\u0301", "\r\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert encoder(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_knapsack_and_plan_match_brute_force():
     rng = random.Random(29)
     for _ in range(20):
@@ -570,6 +601,13 @@ def test_awkward_and_empty_tables(spark, odd, empty):
     assert sharding.shard(odd).count() == n and packing.pack(odd).where("start = 0").count() == n
     assert {r["doc_id"] for r in suffix_repeats.repeats(odd).collect()} == {6} and decontaminate.leaks(odd, benchmark).count() == 0
     assert secret_scan.scan(empty, ["source"], ["source"]).count() == 0 and order_minhash.classes(empty).count() == 0 and sharding.shard(empty).count() == 0
+    item = spark.createDataFrame([(None, "a long enough item of the benchmark for a window or two")], "item_id long, text string")
+    labels = spark.createDataFrame([(6, 1, 1), (2, 1, 0), (None, None, None)], LABELS)
+    for frame in (odd, empty):
+        assert toxicity.score(frame, labels).count() == frame.count() and decontaminate.leaks(frame, item).count() == 0
+        for kept in (secret_scan.redact(frame, ["source"], ["source"]), decontaminate.clean(frame, item), toxicity.keep_clean(frame, labels)):
+            assert kept.columns == frame.columns and kept.count() == frame.count()
+        assert order_minhash.deduplicate(frame).columns == frame.columns
     assert packing.pack(empty).count() == 0 and suffix_repeats.repeats(empty).count() == 0 and repetition.measure(empty).count() == 0
     assert link_trust.judge(spark.createDataFrame([], PAGES)).count() == 0 and html_blocks.extract(spark.createDataFrame([], PAGES)).count() == 0
 

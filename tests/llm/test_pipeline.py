@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chunkwright.llm import packing
-from tests.llm.helpers import SCHEMA, prose, words
+from tests.llm.helpers import SCHEMA, awkward, docs, prose, words
 
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -59,3 +60,17 @@ def test_run_gives_the_last_stage(spark, planted):
     folder, clean = planted
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert set(got.doc_id) == {*clean, 1003, 1004} and got.groupby("sequence_id").length.sum().max() <= 1024
+
+
+@pytest.mark.parametrize("name", ["odd", "empty"])
+def test_run_on_odd_and_empty_tables(spark, tmp_path, name):
+    texts, ids = awkward(random.Random(51)) if name == "odd" else ([], [])
+    frame = docs(spark, texts, ids)
+    for column in ("key", "row", "text_key", "gone", "__id"):
+        frame = frame.withColumn(column, F.lit("x"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).where("start = 0").toPandas()
+    # one row of the texts without words, one of each other text: "one", the short and the long prose
+    assert len(got) == (4 if name == "odd" else 0) and set(got.doc_id.dropna()) <= {1, 2, 3, 4, 5, 6}
