@@ -70,3 +70,33 @@ def summarise(text: Column, fn: Callable = summarise_text) -> Column:
 
 def questions(text: Column, fn: Callable = ask_about) -> Column:
     return hook(fn, "array<string>")(text)
+
+
+def describe_image(content: bytes) -> str:
+    """Format and size from an image's headers."""
+    from chunkwright.sources.readers import image_size
+
+    found = image_size(content)
+    return "unknown image" if found is None else "{} image, {} by {} pixels".format(*found)
+
+
+def caption(content: Column, fn: Callable = describe_image) -> Column:
+    """Texts of images (binary); a failing image gives null."""
+    return hook(fn, "string")(content)
+
+
+def image_relevance(text: Column, context: Column, fn: Callable | None = None) -> Column:
+    """How much an image's text concerns the text around it, from 0 to 1: by default the share of its words found there.
+
+    fn(text, context), where given, judges each pair instead.
+    """
+    if fn is not None:
+
+        def run(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([_safe(lambda pair: float(fn(*pair)), None if x is None or y is None else (x, y)) for x, y in zip(a, b)], dtype="float64")
+
+        run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+        return F.pandas_udf(run, "double")(text, context)
+    own = F.array_distinct(F.filter(F.split(F.lower(text), " "), lambda w: F.length(w) > 2))
+    shared = F.array_intersect(own, F.split(F.lower(context), " "))
+    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(shared) / F.size(own))

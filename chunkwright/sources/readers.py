@@ -20,6 +20,9 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chunkwright.sources import markdown
 
 SCHEMA = "path string, reader string, text string, hints map<string,string>, warnings array<string>, errors array<string>"
 Parsed = tuple[str, dict[str, str], list[str]]
@@ -229,13 +232,28 @@ def read_pptx(data: bytes, extension: str = "pptx") -> Parsed:
     return "\n\n".join(out), {"slide_count": str(len(slides))}, []
 
 
+def read_markdown(data: bytes, extension: str = "md") -> Parsed:
+    text, hints, warnings = read_text(data, extension)
+    return markdown.to_text(text), hints, warnings
+
+
+def empty_document_kind(pages: DataFrame) -> DataFrame:
+    """doc_id, kind, scanned_pages: no_text_layer where a page shows anything, blank_page where none does. pages: doc_id, texts, images, hidden.
+
+    texts and images count operators; a scan is a page of images without text, or with a hidden layer.
+    """
+    scan = (F.col("images") > 0) & ((F.col("texts") == 0) | F.col("hidden"))
+    seen = F.some(scan) | F.some((F.col("texts") > 0) | (F.col("images") > 0))
+    return pages.groupBy("doc_id").agg(F.when(F.coalesce(seen, F.lit(True)), "no_text_layer").otherwise("blank_page").alias("kind"), F.count_if(scan).alias("scanned_pages"))
+
+
 def unsupported(data: bytes, extension: str) -> Parsed:
     raise ValueError(f"no parser for .{extension} is available here")
 
 
 #: Readers by extension; `register` replaces or adds one, and the last registered wins.
 READERS: dict[str, tuple[str, Callable[[bytes, str], Parsed]]] = {
-    **dict.fromkeys(("txt", "md", "tmp", "json"), ("Text", read_text)), **dict.fromkeys(("csv", "tsv"), ("Csv", read_csv)), **dict.fromkeys(("html", "htm"), ("Html", read_html)),
+    **dict.fromkeys(("txt", "tmp", "json"), ("Text", read_text)), **dict.fromkeys(("md", "markdown"), ("Markdown", read_markdown)), **dict.fromkeys(("csv", "tsv"), ("Csv", read_csv)), **dict.fromkeys(("html", "htm"), ("Html", read_html)),
     "docx": ("Word", read_docx), "xlsx": ("Excel", read_xlsx), "pptx": ("PowerPoint", read_pptx), "pdf": ("Pdf", unsupported), "xls": ("LegacyExcel", unsupported), "hwp": ("Hwp", unsupported), "hwpx": ("Hwp", unsupported),
 }
 

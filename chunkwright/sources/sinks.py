@@ -11,10 +11,10 @@ def write_jsonl(frame: DataFrame, path: str) -> None:
     frame.select(F.to_json(F.struct(*frame.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def front_matter(frame: DataFrame, text: str, fields: list[str]) -> DataFrame:
-    """One markdown string for each row: the fields as YAML front matter, then the text."""
+def front_matter(frame: DataFrame, text: str, fields: list[str], *carried: str) -> DataFrame:
+    """One markdown string for each row: the fields as YAML front matter, then the text; carried columns come first."""
     lines = [F.concat(F.lit(f"{name}: "), F.coalesce(F.col(name).cast("string"), F.lit(""))) for name in fields]
-    return frame.select(F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), F.coalesce(F.col(text), F.lit(""))).alias("value"))
+    return frame.select(*carried, F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), F.coalesce(F.col(text), F.lit(""))).alias("value"))
 
 
 def write_sharded(frame: DataFrame, key: str, path: str) -> None:

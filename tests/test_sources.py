@@ -10,8 +10,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from chunkwright.functions import models
 from chunkwright.operators import chunking, sections
-from chunkwright.sources import readers, sinks
+from chunkwright.sources import markdown, readers, sinks
 from chunkwright.streaming import files
 
 
@@ -120,6 +121,65 @@ def test_packing_covers_and_bounds(spark):
     assert "".join(got[1]) == texts[1] and all(len(c) <= 500 for i in got for c in got[i])
 
 
+MARKDOWN = """# Title *here*
+
+[ref]: http://x.y/z "t"
+A [link](http://a.b/c "t"), a [label][ref], [ref], [](http://bare.url) and ![pic](p.png) with `co*de*` and __bar__ and \\*star\\*.
+Second line.
+
+Setext
+------
+
+1. one
+1. two
+   more
+   - inner
+3. three
+
+- a
+- b
+
+| h | i |
+|---|:-:|
+| 1 | *x* |
+
+> quoted **word**
+> next
+
+```python
+# no heading
+- no list
+```
+
+    indented
+
+***
+last"""
+
+
+def test_markdown_becomes_marked_text(spark):
+    text = markdown.to_text(MARKDOWN)
+    assert text.startswith("<!-- HEADING_START:H1 -->\n# Title **here**\n<!-- HEADING_END:H1 -->\n\nA [link](http://a.b/c), a [label](http://x.y/z), [ref](http://x.y/z), http")
+    assert "http://bare.url and ![pic](p.png) with `co*de*` and __bar__ and *star*.\nSecond line." in text and "[ref]:" not in text and "[brackets] stay" in markdown.to_text("[brackets] stay")
+    assert "<!-- HEADING_START:H2 -->\n## Setext\n" in text
+    assert "<!-- LIST_START:ORDERED -->\n1. one\n2. two\nmore\n  • inner\n3. three\n<!-- LIST_END:ORDERED -->" in text
+    assert "<!-- LIST_START:UNORDERED -->\n• a\n• b\n<!-- LIST_END:UNORDERED -->" in text
+    assert "<!-- TABLE_START -->\n| h | i | \n|---|---|\n| 1 | **x** | \n<!-- TABLE_END -->" in text
+    assert "> quoted **word**\n> next" in text and "<!-- CODE_START -->\n```python\n# no heading\n- no list\n```\n<!-- CODE_END -->" in text
+    assert "```\nindented\n```" in text and text.endswith("---\n\nlast")
+    assert markdown.to_text("") == "" and markdown.to_text("[a]: b") == ""
+    rows = spark.createDataFrame([("x/a.md", MARKDOWN.encode()), ("b.markdown", b"## B"), ("c.md", None)], "path string, content binary")
+    got = {r["path"]: r for r in readers.parse(rows).collect()}
+    assert got["x/a.md"]["text"] == text and got["x/a.md"]["reader"] == "Markdown" and got["b.markdown"]["text"].count("H2") == 2 and got["c.md"]["text"] == ""
+
+
+def test_image_hooks(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 3, 4)
+    rows = spark.createDataFrame([(png, "a red chart", "the chart is red"), (b"?", "x", None)], "content binary, text string, context string")
+    got = rows.select(models.caption(F.col("content")).alias("c"), models.image_relevance(F.col("text"), F.col("context")).alias("r"), models.image_relevance(F.col("text"), F.col("context"), lambda a, b: len(a) / len(b)).alias("f")).collect()
+    assert [r["c"] for r in got] == ["png image, 3 by 4 pixels", "unknown image"] and got[0]["r"] == 1.0 and got[0]["f"] == 11 / 16 and got[1]["f"] is None
+
+
 def test_windows_cover_with_exact_overlap(spark):
     text = "".join(chr(97 + i % 26) for i in range(2500))
     got = [r["content"] for r in chunking.fixed_windows(spark.createDataFrame([(1, text)], "doc_id long, text string"), 1000, 100).orderBy("chunk_index").collect()]
