@@ -24,34 +24,42 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document scored by the grammar learned from labels outside the held-out fold."""
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the base counts, coverage by repeated n-grams and lines, and the verdict."""
     return repetition.measure(_table(spark, sf_dir, "documents"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with its host, path, rule and verdict, and the scores of its host."""
     return link_trust.judge(_table(spark, sf_dir, "pages"))
 
 
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage of 50 words or more that stands in another document too, as a range of words."""
     return suffix_repeats.repeats(_table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document in one of 24 shards of nearly equal bytes."""
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's main text."""
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of a document in a sequence of 1024 tokens at most."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of a document and a benchmark item that it leaks, verbatim or with new values."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 

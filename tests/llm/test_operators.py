@@ -112,8 +112,21 @@ def near_copies(rng: random.Random) -> list:
     return texts + [None, "", "...", prose(rng, 300)]
 
 
-def test_near_duplicate_classes_match_brute_force(spark):
-    texts = near_copies(random.Random(5))
+def family(rng: random.Random) -> list:
+    """Copies of one text with few and many edits, so that many share bands and only some are similar, in several components."""
+    base = words(rng, 150)
+    texts = []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(i % 13):
+            copy[rng.randrange(len(copy))] = "yy" + str(rng.randrange(10**6))
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("make", [near_copies, family])
+def test_near_duplicate_classes_match_brute_force(spark, make):
+    texts = make(random.Random(5))
     ids = WordIds()
     x = [order_minhash.labelled_shingles(t or "", ids) for t in texts]
     parent = list(range(len(texts)))
