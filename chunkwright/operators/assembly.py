@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chunkwright.functions.rewrite import RULES, column
 from chunkwright.functions.scores import trimmed
 from chunkwright.operators.chunking import fixed_windows, sentences
+from chunkwright.operators.ordered import stored
 from chunkwright.operators.sections import heading_paths, sections
 
 #: Largest chunk, overlap of windows, paragraphs that make a text one of paragraphs, characters of a page.
@@ -53,6 +54,7 @@ def assemble(docs: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
+    docs = stored(docs)  # the refined texts are read by three chunkers and for their sections
     judged = docs.where("length(text) > 0").withColumn("strategy", auto_strategy(F.col("text")))
     of = lambda name: judged.where(F.col("strategy") == name).select("doc_id", "text")
     columns = ["doc_id", "start_char", "content", "strategy"]

@@ -85,6 +85,32 @@ def category_scores(text: Column) -> dict[str, Column]:
     return {c: F.when(n > 0, F.least(F.lit(1.0), hits(terms) / n * 100)).otherwise(0.0) for c, terms in CATEGORIES.items()}
 
 
+#: What a file type multiplies a category's score by, and subtypes: all of whose words a text holds (any of several lots), in order.
+BOOSTS = {"Technical": (("cs", "py", "js", "java"), 1.5), "Business": (("docx", "doc"), 1.2), "Academic": (("pdf",), 1.1)}
+SUBTYPES = {
+    "Technical": (("API Documentation", (("API",), ("endpoint",))), ("README", (("README",), ("Installation",))), ("Code Documentation", (("class", "method"),)), ("Technical Documentation", ((),))),
+    "Legal": (("Contract", (("agreement",), ("contract",))), ("Patent", (("patent",),)), ("Compliance", (("compliance",),)), ("Legal Document", ((),))),
+    "Academic": (("Research Paper", (("abstract", "methodology"),)), ("Thesis", (("thesis",),)), ("Literature Review", (("review",),)), ("Academic Paper", ((),))),
+}
+
+
+def boosted(scores: dict[str, Column], extension: Column) -> dict[str, Column]:
+    return {c: F.when(extension.isin(*BOOSTS[c][0]), s * BOOSTS[c][1]).otherwise(s) if c in BOOSTS else s for c, s in scores.items()}
+
+
+def subtype(category: Column, text: Column) -> Column:
+    """The category's first subtype whose words stand in the text as written; null for categories without any."""
+    out = F.lit(None).cast("string")
+    for kind, rules in SUBTYPES.items():
+        for name, lots in reversed(rules):
+            for lot in lots:
+                held = category == kind
+                for word in lot:
+                    held = held & text.contains(word)
+                out = F.when(held, name).otherwise(out)
+    return out
+
+
 def complexity(text: Column) -> Column:
     own = words(text)
     n = F.size(own)

@@ -126,7 +126,7 @@ _STRATEGY_SQL = " UNION ALL ".join(
 
 @query("e11_strategy_comparison", f"WITH s AS ({_STRATEGY_SQL}) SELECT strategy, count(*) AS n_chunks, round(avg(n), 6) AS mean, round(greatest(0e0, 1 - stddev_pop(n) / avg(n)), 6) AS consistency, round(least(1e0, avg(overlap) / 128e0), 6) AS adaptive_overlap FROM s GROUP BY strategy")
 def strategy_comparison(spark, sf_dir):
-    """Sizes of three window strategies over one scan."""
+    """Sizes of three window strategies over one scan."""
     from chunkwright.operators.chunking import fixed_windows
 
     docs = table(spark, sf_dir, "documents").where("length(text) > 0")
@@ -194,13 +194,29 @@ def mappings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", as_map(READERS)[ext].alias("reader"), preset.alias("preset"), F.coalesce(F.try_element_at(as_map(ALIASES), F.lower(name)), name).alias("strategy"))
 
 
+#: Words that name a kind of document, in the order in which kinds are tried, and kinds by extension.
+PARSERS = {
+    "Academic": "abstract 논문 연구 hypothesis methodology conclusion research study analysis experiment 결론 가설 실험".split(),
+    "Business": "contract agreement invoice proposal budget revenue 계약 제안서 예산 매출 계획 전략 보고서 계획서".split(),
+    "Technical": "function class method algorithm implementation code api database server 클래스 함수 알고리즘 구현 데이터베이스".split(),
+}
+EXTENSIONS = {"md": "Technical", "pdf": "Business", "docx": "Business", "txt": "General", "json": "Technical", "csv": "Business", "html": "Technical"}
+_NAMED = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(EXTENSIONS)) + " ELSE 'log' END"
+_HINTED = "CASE doc_id % 9 WHEN 0 THEN 'Research: ' WHEN 1 THEN 'the 계약 of ' WHEN 2 THEN 'an API for ' ELSE '' END || text"
+_BY_EXTENSION = "CASE extension " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in EXTENSIONS.items()) + " ELSE 'General' END"
+
+
 @query(
     "s13_parser_type",
-    "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'abstract|references|hypothesis') THEN 'Academic' WHEN regexp_matches(lower(text), 'contract|invoice|budget') THEN 'Business' WHEN regexp_matches(lower(text), 'api|function|class') THEN 'Technical' ELSE 'Basic' END AS parser FROM documents",
+    f"SELECT doc_id, extension, CASE {' '.join('WHEN ' + ' OR '.join(f'contains(lower(text), {quoted(w)})' for w in words) + f' THEN {quoted(kind)}' for kind, words in PARSERS.items())} ELSE {_BY_EXTENSION} END AS parser FROM (SELECT doc_id, {_NAMED} AS extension, {_HINTED} AS text FROM documents WHERE text IS NOT NULL)",
 )
 def parser_type(spark, sf_dir):
-    t = F.lower("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(t.rlike("abstract|references|hypothesis"), "Academic").when(t.rlike("contract|invoice|budget"), "Business").when(t.rlike("api|function|class"), "Technical").otherwise("Basic").alias("parser"))
+    """By words of the text, else by the file's extension."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.expr(_NAMED).alias("extension"), F.expr(_HINTED).alias("text"))
+    low, kind = F.lower("text"), F.expr(_BY_EXTENSION)
+    for name, words in reversed(PARSERS.items()):
+        kind = F.when(S.contains_any(low, words), name).otherwise(kind)
+    return docs.select("doc_id", "extension", kind.alias("parser"))
 
 
 @query(
@@ -274,7 +290,7 @@ def normaliser_counts(spark, sf_dir):
     FROM t WHERE regexp_matches(t, '^#{{1,6}}\\s+.+$') OR (length(t) <= 100 AND regexp_matches(t, '^[A-Z][A-Z0-9\\s_-]+$')) OR regexp_matches(t, '^(\\d+(?:\\.\\d+)*)\\s+([A-Z].+)$')""",
 )
 def inferred_headings(spark, sf_dir):
-    """Lines that are or look like headings, and their level."""
+    """Lines that are or look like headings, and their level."""
     t = F.col("t")
     lines = decorated(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", "i", S.trimmed(F.col("line")).alias("t"))
     marked, capitals, numbered = t.rlike(r"^#{1,6}\s+.+$"), (F.length(t) <= 100) & t.rlike(r"^[A-Z][A-Z0-9\s_-]+$"), t.rlike(r"^(\d+(?:\.\d+)*)\s+([A-Z].+)$")

@@ -28,9 +28,9 @@ _SOURCE = "CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 7 = 1 THEN translate
 _PIECES = "list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])', '\\1' || chr(1), 'g'), chr(1) || '(\\p{Nd}|\\p{Ll})', '\\1', 'g'), chr(1)), lambda s: s <> '')"
 _FINISHED = f"""{DUCK_DECORATED}, src AS (SELECT d.doc_id, {_SOURCE} AS text FROM decorated d JOIN (SELECT doc_id, text AS plain FROM documents) p USING (doc_id)), refined AS (SELECT doc_id, {_both(_STATEFUL)} AS text FROM src), {_SECTIONS.format(source='refined')},
  auto AS (SELECT doc_id, text, CASE WHEN length(text) <= {A.SIZE} THEN 'Sentence' WHEN len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, {_B}) <> '')) >= {A.PARAGRAPHS} THEN 'Paragraph' WHEN len({_PIECES}) >= 2 THEN 'Sentence' ELSE 'Token' END AS strategy FROM refined WHERE length(text) > 0),
- u AS (SELECT doc_id, unnest({_PIECES}) AS t, generate_subscripts({_PIECES}, 1) AS k FROM auto WHERE strategy = 'Sentence'), uo AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) - length(t) AS at FROM u),
+ u AS (SELECT doc_id, unnest({_PIECES}) AS t, generate_subscripts({_PIECES}, 1) AS k FROM auto WHERE strategy = 'Sentence'), uo AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) - length(t) AS off FROM u),
  r AS (SELECT doc_id, k, length(t) AS n, k AS seg FROM uo WHERE k = 1 UNION ALL SELECT u.doc_id, u.k, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.n + length(u.t) ELSE length(u.t) END, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.seg ELSE u.k END FROM r JOIN uo u ON u.doc_id = r.doc_id AND u.k = r.k + 1),
- c1 AS (SELECT doc_id, CAST(min(at) AS BIGINT) AS start_char, string_agg(t, '' ORDER BY k) AS content, 'Sentence' AS strategy FROM r JOIN uo USING (doc_id, k) GROUP BY doc_id, seg),
+ c1 AS (SELECT doc_id, CAST(min(off) AS BIGINT) AS start_char, string_agg(t, '' ORDER BY k) AS content, 'Sentence' AS strategy FROM r JOIN uo USING (doc_id, k) GROUP BY doc_id, seg),
  pp AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM auto WHERE strategy = 'Paragraph'),
  c2 AS (SELECT doc_id, CAST(coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, part AS content, 'Paragraph' AS strategy FROM pp),
  c3 AS (SELECT doc_id, k * {A.SIZE - A.OVERLAP} AS start_char, substr(text, CAST(k * {A.SIZE - A.OVERLAP} + 1 AS BIGINT), {A.SIZE}) AS content, 'Token' AS strategy FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - {A.OVERLAP}) / {A.SIZE - A.OVERLAP}.0) AS BIGINT)))) AS k FROM auto WHERE strategy = 'Token')),
@@ -70,7 +70,7 @@ PRESETS = {
 }
 
 
-@query("r15_presets", f"WITH {DUCK_DECORATED} " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS preset, md5({_both(parts)}) AS digest, length({_both(parts)}) AS n_chars FROM decorated" for name, parts in PRESETS.items()))
+@query("r15_presets", f"WITH {DUCK_DECORATED} " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS preset, md5(t) AS digest, length(t) AS n_chars FROM (SELECT doc_id, {_both(parts)} AS t FROM decorated)" for name, parts in PRESETS.items()))
 def presets(spark, sf_dir):
     """Each preset is an ordered list of rules; all are applied in one pass over the documents."""
     made = F.array(*[F.struct(F.lit(name).alias("preset"), (_composed(parts) if parts else F.col("text")).alias("t")) for name, parts in PRESETS.items()])
@@ -99,8 +99,8 @@ def fallback_refinement(spark, sf_dir):
 # X09, X11
 
 _HEAD = "'^\\s*(#{1,6})\\s+(.+)$'"
-_OPENED = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, length(text) AS n FROM decorated), w AS (SELECT *, regexp_matches(line, {_HEAD}) AS head, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS BIGINT) AS at FROM lines),
- o AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS ord FROM w), s AS (SELECT doc_id, ord, min(at) AS start_char, any_value(n) AS n, max(CASE WHEN head THEN length(regexp_extract(line, {_HEAD}, 1)) END) AS level, max(CASE WHEN head THEN trim(regexp_extract(line, {_HEAD}, 2), {_B}) END) AS title, string_agg(line, chr(10) ORDER BY i) AS content FROM o GROUP BY doc_id, ord)"""
+_OPENED = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, length(text) AS n FROM decorated), w AS (SELECT *, regexp_matches(line, {_HEAD}) AS head, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS BIGINT) AS off FROM lines),
+ o AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS ord FROM w), s AS (SELECT doc_id, ord, min(off) AS start_char, any_value(n) AS n, max(CASE WHEN head THEN length(regexp_extract(line, {_HEAD}, 1)) END) AS level, max(CASE WHEN head THEN trim(regexp_extract(line, {_HEAD}, 2), {_B}) END) AS title, string_agg(line, chr(10) ORDER BY i) AS content FROM o GROUP BY doc_id, ord)"""
 
 
 def section_texts(docs):
@@ -123,7 +123,7 @@ def markdown_sections(spark, sf_dir):
     return section_texts(decorated(spark, sf_dir)).select("doc_id", "ord", "level", "title", "start_char", "end_char", F.md5("content").alias("digest"))
 
 
-@query("x11_reformatted", f"WITH {DUCK_DECORATED}, {_OPENED} SELECT doc_id, trim(string_agg(content, chr(10) || chr(10) ORDER BY ord) FILTER (WHERE trim(content, {_B}) <> ''), {_B}) AS text FROM s GROUP BY doc_id")
+@query("x11_reformatted", f"WITH {DUCK_DECORATED}, {_OPENED} SELECT doc_id, coalesce(trim(string_agg(content, chr(10) || chr(10) ORDER BY ord) FILTER (WHERE trim(content, {_B}) <> ''), {_B}), '') AS text FROM s GROUP BY doc_id")
 def reformatted(spark, sf_dir):
     """X11: the sections' texts in order, a blank line between them."""
     full = F.when(S.trimmed(F.col("content")) != "", F.struct("ord", "content"))

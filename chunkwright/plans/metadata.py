@@ -81,21 +81,33 @@ _W = "list_filter(string_split(text, ' '), lambda w: w <> '')"
 _HITS = lambda terms: f"len(regexp_extract_all(lower(text), '\\b(?:{'|'.join(terms.split())})\\b'))"
 
 
+_FILE = "CASE doc_id % 5 WHEN 0 THEN 'py' WHEN 1 THEN 'docx' WHEN 2 THEN 'pdf' ELSE 'txt' END"
+#: Words of three categories put before some texts, so that scores pass the least one.
+_FIELD = "CASE doc_id % 8 WHEN 5 THEN 'The abstract and methodology of this research study. ' WHEN 3 THEN 'A legal contract: this agreement has a clause on liability. ' WHEN 4 THEN 'the class and method of the code: an api function ' WHEN 1 THEN 'business strategy of customer and product ' ELSE '' END"
+_FACTOR = lambda c: f"CASE WHEN extension IN ({', '.join(map(quoted, M.BOOSTS[c][0]))}) THEN {M.BOOSTS[c][1]}e0 ELSE 1e0 END" if c in M.BOOSTS else "1e0"
+_SUBTYPE = "CASE " + " ".join(
+    "WHEN category = " + quoted(kind) + " AND (" + " OR ".join(" AND ".join(f"contains(text, {quoted(w)})" for w in lot) or "true" for lot in lots) + f") THEN {quoted(name)}" for kind, rules in M.SUBTYPES.items() for name, lots in rules
+) + " END"
+
+
 @query(
     "d12_category",
-    f"WITH {_DUCK}, h AS (SELECT doc_id, len({_W}) AS n, {', '.join(f'{_HITS(t)} AS {c.lower()}' for c, t in M.CATEGORIES.items())} FROM lead), s AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, {i} AS k, CASE WHEN n > 0 THEN least(1e0, {c.lower()} / n * 100) ELSE 0e0 END AS score FROM h" for i, c in enumerate(M.CATEGORIES))
+    f"WITH {_DUCK}, f AS (SELECT doc_id, {_FIELD} || text AS text, {_FILE} AS extension FROM lead), h AS (SELECT doc_id, text, extension, len({_W}) AS n, {', '.join(f'{_HITS(t)} AS {c.lower()}' for c, t in M.CATEGORIES.items())} FROM f), s AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, text, '{c}' AS category, {i} AS k, CASE WHEN n > 0 THEN least(1e0, {c.lower()} / n * 100) ELSE 0e0 END * {_FACTOR(c)} AS score FROM h" for i, c in enumerate(M.CATEGORIES))
     + "), r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, k)) "
-    "SELECT doc_id, CASE WHEN score < 0.3 THEN 'General' ELSE category END AS category, round(CASE WHEN score < 0.3 THEN 0.5e0 ELSE least(1e0, (score - next) * 2 + score) END, 9) AS confidence FROM r WHERE rank = 1",
+    f"SELECT doc_id, CASE WHEN score < 0.3 THEN 'General' ELSE category END AS category, CASE WHEN score >= 0.3 THEN {_SUBTYPE} END AS subtype, round(CASE WHEN score < 0.3 THEN 0.5e0 ELSE least(1e0, (score - next) * 2 + score) END, 9) AS confidence FROM r WHERE rank = 1",
 )
 def category(spark, sf_dir):
-    """The best of seven scores per document, picked within the row."""
-    scores = M.category_scores(F.col("text"))
+    """The best of seven scores per document, boosted by file type, picked within the row; and the category's subtype."""
+    docs = led(spark, sf_dir).select("doc_id", F.concat(F.expr(_FIELD), "text").alias("text"), F.expr(_FILE).alias("extension"))
+    scores = M.boosted(M.category_scores(F.col("text")), F.col("extension"))
     ranked = F.reverse(F.array_sort(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("k"), F.lit(c).alias("category")) for i, (c, s) in enumerate(scores.items())])))
-    found = led(spark, sf_dir).select("doc_id", ranked.alias("r")).select("doc_id", F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
+    found = docs.select("doc_id", "text", ranked.alias("r")).select("doc_id", "text", F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
     sure = F.least(F.lit(1.0), (F.col("a.score") - F.col("b.score")) * 2 + F.col("a.score"))
     weak = F.col("a.score") < 0.3
-    return found.select("doc_id", F.when(weak, "General").otherwise(F.col("a.category")).alias("category"), F.round(F.when(weak, 0.5).otherwise(sure), 9).alias("confidence"))
+    return found.select(
+        "doc_id", F.when(weak, "General").otherwise(F.col("a.category")).alias("category"), F.when(~weak, M.subtype(F.col("a.category"), F.col("text"))).alias("subtype"), F.round(F.when(weak, 0.5).otherwise(sure), 9).alias("confidence")
+    )
 
 
 _S = "string_split_regex(text, '[.!?]+')"

@@ -53,16 +53,22 @@ def json_answers(spark, sf_dir):
     return d.select("doc_id", F.get_json_object("j", "$.title").alias("title"), F.expr("try_cast(get_json_object(j, '$.pages') AS bigint)").alias("pages"))
 
 
+_HEADED = "regexp_matches(text, '(?m)^\\s*#{{1,6}}\\s+.+$')".replace("{{", "{").replace("}}", "}")
+
+
 @query(
     "d17_parser_quality",
-    f"WITH {DUCK_DECORATED} SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^#{{1,6}} ') THEN 0.8e0 ELSE 0.3e0 END AS structure, CASE WHEN length(text) > 100 THEN 0.9e0 ELSE 0.6e0 END AS completeness, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word_count, greatest(1, length(text) // 3000) AS page_count FROM decorated",
+    f"WITH {DUCK_DECORATED} SELECT doc_id, CASE WHEN {_HEADED} THEN 0.8e0 ELSE 0.3e0 END AS structure, CASE WHEN doc_id % 2 = 0 THEN 0.9e0 ELSE 0.6e0 END AS cleanup, round(CASE WHEN length(text) > 0 THEN least(1e0, list_sum(list_transform(string_split(text, chr(10)), lambda l: length(l))) / length(text)) ELSE 1e0 END, 9) AS retention, "
+    f"CASE WHEN {_HEADED} THEN 0.8e0 ELSE 0.3e0 END AS confidence, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word_count, greatest(1, length(text) // 3000) AS page_count FROM decorated",
 )
 def parser_quality(spark, sf_dir):
-    """D15, D17."""
+    """Structure by sections found, cleanup by whether a model took part (every other document), retention by what the parts hold."""
     t = F.col("text")
+    structure = F.when(t.rlike(r"(?dm)^\s*#{1,6}\s+.+$"), 0.8).otherwise(0.3)
+    held = F.aggregate(F.split(t, "\n"), F.lit(0), lambda a, x: a + F.length(x))
     return decorated(spark, sf_dir).select(
-        "doc_id", F.when(t.rlike("(?dm)^#{1,6} "), 0.8).otherwise(0.3).alias("structure"), F.when(F.length(t) > 100, 0.9).otherwise(0.6).alias("completeness"),
-        F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).alias("word_count"), F.expr("greatest(1, length(text) div 3000)").alias("page_count"),
+        "doc_id", structure.alias("structure"), F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.6).alias("cleanup"), F.round(F.when(F.length(t) > 0, F.least(F.lit(1.0), held / F.length(t))).otherwise(1.0), 9).alias("retention"),
+        structure.alias("confidence"), F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).alias("word_count"), F.expr("greatest(1, length(text) div 3000)").alias("page_count"),
     )
 
 
@@ -146,7 +152,7 @@ def lists(spark, sf_dir):
 
 @query("x10_paragraph_offsets", f"WITH {DUCK_DECORATED}, p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS i FROM decorated) SELECT doc_id, i, CAST(coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, length(part) AS n_chars FROM p")
 def paragraph_offsets(spark, sf_dir):
-    """Offsets are running sums of lengths."""
+    """Offsets are running sums of lengths."""
     p = decorated(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("i", "part"))
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return p.select("doc_id", "i", F.coalesce(F.sum(F.length("part") + 2).over(before), F.lit(0)).alias("start_char"), F.length("part").alias("n_chars"))

@@ -147,19 +147,19 @@ def report(frame, docs):
 _FAMILIES = [*WEIGHTS, "coverage", "composite"]
 
 
-@query("e06_report", f"WITH {_MEASURED} SELECT doc_id, n_chunks, {', '.join(f'round({k}, 6) AS {k}' for k in _FAMILIES)} FROM measured")
+@query("e06_report", f"WITH {_MEASURED} SELECT doc_id, n_chunks, {', '.join(f'round({k}, 9) AS {k}' for k in _FAMILIES)} FROM measured")
 def quality_report(spark, sf_dir):
     """E06 with E06a to E06g: six families of measures, coverage, and their weighted composite."""
-    return report(chunks(spark, sf_dir), table(spark, sf_dir, "documents")).select("doc_id", "n_chunks", *[F.round(k, 6).alias(k) for k in _FAMILIES])
+    return report(chunks(spark, sf_dir), table(spark, sf_dir, "documents")).select("doc_id", "n_chunks", *[F.round(k, 9).alias(k) for k in _FAMILIES])
 
 
 _SHOWN = "lap flow refs nearby dense redundant uniq entropy summary match transition".split()
 
 
-@query("e06_measures", f"WITH {_MEASURED} SELECT doc_id, {', '.join(f'round({k}, 6) AS {k}' for k in _SHOWN)} FROM measured")
+@query("e06_measures", f"WITH {_MEASURED} SELECT doc_id, {', '.join(f'round({k}, 9) AS {k}' for k in _SHOWN)} FROM measured")
 def report_measures(spark, sf_dir):
     """E06b, c, e, f: the measures behind the families."""
-    return report(chunks(spark, sf_dir), table(spark, sf_dir, "documents")).select("doc_id", *[F.round(k, 6).alias(k) for k in _SHOWN])
+    return report(chunks(spark, sf_dir), table(spark, sf_dir, "documents")).select("doc_id", *[F.round(k, 9).alias(k) for k in _SHOWN])
 
 
 #: Measure, how it must stand to a bound, and the advice's subject.

@@ -88,6 +88,9 @@ def completeness(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", "chunk_index", n.alias("sentences"), bad.alias("incomplete"), F.round(F.when(n > 0, (n - bad) / n).otherwise(0.0), 6).alias("score"))
 
 
+HEAD = 12
+
+
 @query(
     "e04_suffix_overlap",
     f"WITH {DUCK_CHUNKS}, p AS (SELECT doc_id, chunk_index, content, lead(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS next FROM chunks) "
@@ -97,7 +100,13 @@ def suffix_overlap(spark, sf_dir):
     """The longest end of a chunk that starts the next one."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
     p = chunks(spark, sf_dir).withColumn("next", F.lead("content").over(w)).where("next IS NOT NULL")
-    longest = F.expr("coalesce(array_max(filter(sequence(1, least(length(content), length(next))), k -> right(content, k) = left(next, k))), 0)")
+    # an end of HEAD characters or more begins where the chunk holds the next one's first HEAD; shorter ones are tried one by one
+    quoted = F.replace(F.left("next", F.lit(HEAD)), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    p = p.withColumn("pieces", F.transform(F.split("content", F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")), -1), F.length))
+    longest = F.expr(
+        f"""coalesce(array_max(filter(concat(sequence(1, {HEAD - 1}), transform(sequence(1, size(pieces)), i -> aggregate(slice(pieces, i, size(pieces)), 0, (a, x) -> a + x))),
+          k -> k <= least(length(content), length(next)) AND right(content, k) = left(next, k))), 0)"""
+    )
     p = p.select("doc_id", "chunk_index", longest.alias("overlap"))
     return p.select("doc_id", "chunk_index", "overlap", F.expr("overlap div 4").alias("tokens"), (F.abs(F.col("overlap") - 128) <= 25.6).alias("effective"))
 
@@ -167,7 +176,7 @@ def cache_keys(spark, sf_dir):
     "least(1e0, 0.2e0 * (CAST(regexp_matches(text, '[a-z,]\\n[a-z]') AS INT) + CAST(length(text) >= 500 AS INT) + CAST(regexp_matches(text, '(?m)^#{1,6} ') AS INT) + CAST(length(text) >= 1000 AS INT))) AS improvement FROM documents WHERE text IS NOT NULL",
 )
 def refine_gates(spark, sf_dir):
-    """Which model steps a text calls for, judged before any model runs."""
+    """Which model steps a text calls for, judged before any model runs."""
     t = F.col("text")
     broken, noisy, ocr, headed, long_ = t.rlike(r"[a-z,]\n[a-z]"), F.length(t) >= 500, t.rlike(r"[|]{2,}|[0O]{3,}|\brn\b"), t.rlike("(?dm)^#{1,6} "), F.length(t) >= 1000
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(

@@ -65,16 +65,29 @@ def nearest_page(spark, sf_dir):
     return X.page_of(_points(spark, sf_dir), pages)
 
 
+_FENCED = "```(\\w+)?\\s*\\n([\\s\\S]*?)```"
+_TICKS = "replace(text, 'x = 1', 'x = `1`')"
+_SUM = lambda x: f"coalesce(list_sum(list_transform({x}, lambda p: length(p))), 0)"
+
+
 @query(
     "x01_code_blocks",
-    f"WITH {DUCK_DECORATED}, f AS (SELECT doc_id, regexp_extract_all(text, '```(\\w+)?\\s*\\n([^`]*)```', 1) AS l, regexp_extract_all(text, '```(\\w+)?\\s*\\n([^`]*)```', 2) AS b FROM decorated) "
-    "SELECT doc_id, k - 1 AS k, coalesce(nullif(l[k], ''), 'text') AS language, trim(b[k], ' ' || chr(10)) AS body FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM f)",
+    f"WITH {DUCK_DECORATED}, t AS (SELECT doc_id, {_TICKS} AS text FROM decorated), f AS (SELECT doc_id, string_split_regex(text, '{_FENCED}') AS gaps, regexp_extract_all(text, '{_FENCED}', 0) AS whole, regexp_extract_all(text, '{_FENCED}', 1) AS l, regexp_extract_all(text, '{_FENCED}', 2) AS b FROM t) "
+    f"SELECT doc_id, k - 1 AS k, coalesce(nullif(l[k], ''), 'text') AS language, trim(b[k], ' ' || chr(10)) AS body, CAST({_SUM('gaps[1:k]')} + {_SUM('whole[1:k - 1]')} AS BIGINT) AS start_char, CAST({_SUM('gaps[1:k]')} + {_SUM('whole[1:k]')} AS BIGINT) AS end_char FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM f)",
 )
 def code_blocks(spark, sf_dir):
-    p = F.lit(r"```(\w+)?\s*\n([^`]*)```")
-    both = F.arrays_zip(F.regexp_extract_all("text", p, F.lit(1)).alias("l"), F.regexp_extract_all("text", p, F.lit(2)).alias("b"))
-    f = decorated(spark, sf_dir).select("doc_id", F.posexplode(both).alias("k", "x"))
-    return f.select("doc_id", "k", F.coalesce(F.nullif(F.col("x.l"), F.lit("")), F.lit("text")).alias("language"), F.btrim(F.col("x.b"), F.lit(" \n")).alias("body"))
+    """Fenced blocks with language, body and place; what stands between matches gives the offsets."""
+    t = decorated(spark, sf_dir).select("doc_id", F.expr(_TICKS).alias("text"))
+    every = lambda g: F.regexp_extract_all("text", F.lit(_FENCED), F.lit(g))
+    f = t.select("doc_id", F.split("text", _FENCED, -1).alias("gaps"), every(0).alias("whole"), F.arrays_zip(every(1).alias("l"), every(2).alias("b")).alias("both"))
+    f = f.select("doc_id", "gaps", "whole", F.posexplode("both").alias("k", "x"))
+    total = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, p: a + F.length(p))
+    k = F.col("k")
+    start = total("gaps", k + 1) + total("whole", k)
+    return f.select(
+        "doc_id", "k", F.coalesce(F.nullif(F.col("x.l"), F.lit("")), F.lit("text")).alias("language"), F.btrim(F.col("x.b"), F.lit(" \n")).alias("body"),
+        start.cast("long").alias("start_char"), (start + F.length(F.get("whole", k))).cast("long").alias("end_char"),
+    )
 
 
 @query(
