@@ -14,10 +14,10 @@ MAX_LABELLED labelled rows, those with the smallest hash of doc_id, outside the
 the lexicon has at most MAX_ENTRIES entries, those of most toxic texts, ties by term.
 
 Defined results: null and empty texts score as a text without matches; very long texts are read
-whole; without labelled rows, or without toxic ones, all scores are 0; of labels for one text toxic
-wins; repeated rows each give a row; a null doc_id is not held out; an empty table gives no rows;
-extra columns are ignored, whatever their names, and lang, source and doc_id are never read by the
-score.
+whole; without labelled rows, without toxic ones, or where no word tells them from the others, all
+scores are 0; of labels for one text toxic wins; repeated rows each give a row; a null doc_id is not
+held out; an empty table gives no rows; extra columns are ignored, whatever their names, and lang,
+source and doc_id are never read by the score.
 """
 
 from __future__ import annotations
@@ -218,7 +218,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     rows = materialize(labelled(docs, labels, most))
     words, beginnings, share = lexicon(rows)
-    if not share:
+    if not share or not (words or beginnings):
         return Model({}, {}, None)
 
     def make() -> Callable:
