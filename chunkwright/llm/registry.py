@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwright.llm import decontaminate, html_blocks, link_trust, order_minhash, packing, repetition, secret_scan, sharding, suffix_repeats, toxicity
+from chunkwright.llm import decontaminate, exact_dedup, fill_in_middle, html_blocks, link_trust, order_minhash, packing, repetition, secret_scan, sharding, source_audit, suffix_repeats, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of a language's sources with their divergence, and each source's ten most typical terms."""
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document cut at unit boundaries and put together around markers."""
+    return fill_in_middle.digest(fill_in_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one that stays of those with the same text."""
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_dedup": op2_near_dedup,
@@ -74,8 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_source_audit": op11_source_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE,
+    "op11_source_audit": source_audit.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_exact_dedup": exact_dedup.ORACLE,
 }
