@@ -10,15 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What a line becomes, by (place in its document + doc_id) mod 20; l is the line, i its place from 0.
+#: What a line becomes, by (place in its document + doc_id) mod 20; l is the line, i its place from 0. Every line stays whole.
 _DECOR = """CASE (i + doc_id) % 20
  WHEN 0 THEN '#### ' || l WHEN 1 THEN '1. ' || l WHEN 2 THEN '- ' || l WHEN 3 THEN '          - ' || l
- WHEN 4 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || replace(substr(l, 1, 20), '|', '/') || ' |'
- WHEN 5 THEN '' WHEN 6 THEN '## (' || substr(l, 1, 10) || ')' WHEN 7 THEN '###' WHEN 8 THEN 'Page 3 of 9'
- WHEN 9 THEN l || '   ' WHEN 10 THEN 'Intro ....... 12' WHEN 11 THEN '[Figure] ' || l
+ WHEN 4 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || l || ' |'
+ WHEN 5 THEN l || chr(10) WHEN 6 THEN '## (see below)' || chr(10) || l WHEN 7 THEN '###' || chr(10) || l
+ WHEN 8 THEN 'Page 3 of 9' || chr(10) || l WHEN 9 THEN l || '   ' WHEN 10 THEN 'Intro ....... 12' || chr(10) || l WHEN 11 THEN '[Figure] ' || l
  WHEN 12 THEN '3-1. ' || l WHEN 13 THEN '(2) ' || l || chr(10) || chr(10) || chr(10) || chr(10)
- WHEN 14 THEN '## ' || substr(l, 1, 40) WHEN 15 THEN 'CONFIDENTIAL' WHEN 16 THEN '# Paragraph 4'
- WHEN 17 THEN '```python' || chr(10) || 'x = 1' || chr(10) || '```' WHEN 18 THEN '- 12 -' ELSE l END"""
+ WHEN 14 THEN '## ' || substr(l, 1, 40) || chr(10) || l WHEN 15 THEN 'CONFIDENTIAL' || chr(10) || l WHEN 16 THEN '# Paragraph 4' || chr(10) || l
+ WHEN 17 THEN '```python' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || l WHEN 18 THEN l || chr(10) || '- 12 -' ELSE l END"""
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:

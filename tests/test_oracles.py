@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from chunkwright.plans.catalog import ORACLES, QUERIES
+from chunkwright.plans.corpora import decorated, table
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +43,9 @@ def test_query_matches_sql(name, spark, duck):
 def test_query_without_sql_runs(name, spark):
     rows = QUERIES[name](spark, SF_DIR)
     assert rows.count() > 0 and rows.dropna(how="all").count() > 0
+
+
+def test_decorated_documents_keep_every_line(spark):
+    both = decorated(spark, SF_DIR).join(table(spark, SF_DIR, "documents").selectExpr("doc_id", "text AS plain"), "doc_id").collect()
+    assert both and all(line in row["text"] for row in both for line in row["plain"].split("\n"))
+    assert all(len(row["text"]) >= len(row["plain"]) for row in both)
