@@ -155,7 +155,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
         shares = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", share("n", "total", "kept").alias("p"), "p0", share("lang_n", "lang_total", "kept").alias("q"))
         shares = scratch.keep(shares)
         found = scratch.keep(in_shards(shares, "SELECT * FROM arriving", SCORE_SQL.format(top=top), PARTS))
-        return materialize(ranked(_pairs(groups, shares, found).unionByName(found.where("part = 'term'")), top))
+        return materialize(ranked(_pairs(groups, shares, found)).unionByName(ranked(found.where("part = 'term'")).where(F.col("rank") <= top)))
 
 
 def _pairs(groups: DataFrame, shares: DataFrame, found: DataFrame) -> DataFrame:
@@ -172,10 +172,9 @@ def _pairs(groups: DataFrame, shares: DataFrame, found: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "source", "item").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
 
-def ranked(parts: DataFrame, top: int) -> DataFrame:
-    """parts with their ranks, terms only to `top`."""
-    place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return parts.withColumn("rank", place).where((F.col("part") == "pair") | (F.col("rank") <= top))
+def ranked(parts: DataFrame) -> DataFrame:
+    """parts with their ranks. Where only the first are kept, Spark keeps those of each task before the shuffle."""
+    return parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
 
 
 #: The same from one plain count of every term for every group.
