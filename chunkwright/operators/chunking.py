@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkwright.functions.arrays import kept_by
+
 #: A mark that texts don't contain; sentence ends are marked with it before splitting.
 MARK = "\x01"
 
@@ -67,16 +69,13 @@ def pack(docs: DataFrame, max_chars: int = 1600, least: int = 50) -> DataFrame:
     """
     whole = F.length("text") <= max_chars
     read = docs.where("text IS NOT NULL").select("doc_id", "text", F.when(~whole, units(F.col("text"), max_chars)).alias("units"))
-    none = F.array().cast("array<int>")
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("p"), F.lit(0).alias("n"), none.alias("starts"))
 
-    def fold(a: Column, u: Column) -> Column:
+    def step(a: Column, u: Column) -> tuple:
         size = F.length(u["t"]) + F.when(u["p"] == 0, 2).otherwise(0)
         joins = (a["p"] == u["p"]) & (a["n"] + size <= max_chars) & (F.length(u["t"]) <= max_chars)
-        used = F.when(joins, a["n"] + size).otherwise(F.length(u["t"]))
-        return F.struct((a["i"] + 1).alias("i"), u["p"].alias("p"), used.alias("n"), F.when(joins, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["i"]))).alias("starts"))
+        return {"i": a["i"] + 1, "p": u["p"], "n": F.when(joins, a["n"] + size).otherwise(F.length(u["t"]))}, ~joins, a["i"]
 
-    folded = read.withColumn("starts", F.aggregate("units", start, fold, lambda a: a["starts"]))
+    folded = read.withColumn("starts", kept_by(F.col("units"), {"i": F.lit(0), "p": F.lit(-1), "n": F.lit(0)}, step, "int"))
     ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("units")))
     lots = folded.select("doc_id", "text", "units", F.zip_with("starts", ends, lambda a, b: F.slice("units", a + 1, b - a)).alias("lots"))
 

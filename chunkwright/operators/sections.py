@@ -28,13 +28,33 @@ def sections(docs: DataFrame) -> DataFrame:
     return nexts.select("doc_id", "ord", "level", "title", "start_char", F.coalesce(pick("next"), F.col("n").cast("long")).alias("end_char"), pick("up").alias("parent_ord"))
 
 
+def open_sections(found: DataFrame) -> DataFrame:
+    """found with `inside`, the open sections after each heading, outermost first, and `at`, those that a place right at the heading touches.
+
+    A section of level k is open while the last heading of level k or higher is its own: six running
+    values over one sort by document. Right at a heading the sections that end there count too.
+    """
+    so_far = Window.partitionBy("doc_id").orderBy("start_char").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.struct("level", F.col("start_char").alias("s"), "title")
+    stack = found.withColumns({f"open_{k}": F.last(F.when(F.col("level") <= k, own), ignorenulls=True).over(so_far) for k in range(1, 7)})
+    inside = F.array_compact(F.array(*[F.when(F.col(f"open_{k}.level") == k, F.col(f"open_{k}")) for k in range(1, 7)]))
+    stack = stack.select(*found.columns, inside.alias("inside"))
+    ended = F.filter(F.lag("inside").over(Window.partitionBy("doc_id").orderBy("start_char")), lambda x: x["level"] >= F.col("level"))
+    return stack.withColumn("at", F.array_sort(F.concat("inside", F.coalesce(ended, F.array_except("inside", "inside")))))
+
+
 def heading_paths(points: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, chunk_index, path: titles of the sections around each start_char, outermost first."""
-    s = found.select("doc_id", "level", "title", F.col("start_char").alias("s"), F.col("end_char").alias("e"))
-    hit = points.select("doc_id", "chunk_index", "start_char").join(s, "doc_id").where("s <= start_char AND e >= start_char")
-    path = F.array_sort(F.collect_list(F.struct("level", "s", "title")))["title"]
-    inside = hit.groupBy("doc_id", "chunk_index").agg(F.array_join(path, " > ").alias("path"))
-    return points.select("doc_id", "chunk_index").join(inside, ["doc_id", "chunk_index"], "left").select("doc_id", "chunk_index", F.coalesce("path", F.lit("")).alias("path"))
+    """doc_id, chunk_index, path: titles of the sections around each start_char, outermost first.
+
+    Places and headings are merged by position, and the sections open at the last heading are carried
+    forward, so a document costs the sum of both, not their product.
+    """
+    heads = open_sections(found).select("doc_id", F.col("start_char").alias("pos"), F.lit(None).cast("long").alias("chunk_index"), F.struct(F.col("start_char").alias("s"), F.col("at.title").alias("at"), F.col("inside.title").alias("inside")).alias("head"))
+    places = points.select("doc_id", F.col("start_char").alias("pos"), "chunk_index", F.lit(None).cast(heads.schema["head"].dataType).alias("head"))
+    order = Window.partitionBy("doc_id").orderBy("pos", F.col("chunk_index").isNotNull(), "chunk_index").rowsBetween(Window.unboundedPreceding, 0)
+    last = heads.unionByName(places).withColumn("last", F.last("head", ignorenulls=True).over(order)).where("chunk_index IS NOT NULL")
+    path = F.when(F.col("last.s") == F.col("pos"), F.col("last.at")).otherwise(F.col("last.inside"))
+    return last.select("doc_id", "chunk_index", F.coalesce(F.array_join(path, " > "), F.lit("")).alias("path"))
 
 
 def page_of(points: DataFrame, pages: DataFrame) -> DataFrame:

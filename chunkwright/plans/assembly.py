@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.functions import lines as L
 from chunkwright.functions import models
+from chunkwright.functions import profiles as V
 from chunkwright.functions import scores as S
 from chunkwright.functions.rewrite import RULES, column, duckdb, quoted
 from chunkwright.operators import assembly as A
@@ -26,23 +27,28 @@ _B = "' ' || chr(9) || chr(13) || chr(10)"
 #: A third of the documents keep their plain lines, and every seventh of those has no sentence ends.
 _SOURCE = "CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 7 = 1 THEN translate(plain, '.!?。！？', '      ') ELSE plain END"
 _PIECES = "list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])', '\\1' || chr(1), 'g'), chr(1) || '(\\p{Nd}|\\p{Ll})', '\\1', 'g'), chr(1)), lambda s: s <> '')"
-_FINISHED = f"""{DUCK_DECORATED}, src AS (SELECT d.doc_id, {_SOURCE} AS text FROM decorated d JOIN (SELECT doc_id, text AS plain FROM documents) p USING (doc_id)), refined AS (SELECT doc_id, {_both(_STATEFUL)} AS text FROM src), {_SECTIONS.format(source='refined')},
- auto AS (SELECT doc_id, text, CASE WHEN length(text) <= {A.SIZE} THEN 'Sentence' WHEN len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, {_B}) <> '')) >= {A.PARAGRAPHS} THEN 'Paragraph' WHEN len({_PIECES}) >= 2 THEN 'Sentence' ELSE 'Token' END AS strategy FROM refined WHERE length(text) > 0),
- u AS (SELECT doc_id, unnest({_PIECES}) AS t, generate_subscripts({_PIECES}, 1) AS k FROM auto WHERE strategy = 'Sentence'), uo AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) - length(t) AS off FROM u),
- r AS (SELECT doc_id, k, length(t) AS n, k AS seg FROM uo WHERE k = 1 UNION ALL SELECT u.doc_id, u.k, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.n + length(u.t) ELSE length(u.t) END, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.seg ELSE u.k END FROM r JOIN uo u ON u.doc_id = r.doc_id AND u.k = r.k + 1),
- c1 AS (SELECT doc_id, CAST(min(off) AS BIGINT) AS start_char, string_agg(t, '' ORDER BY k) AS content, 'Sentence' AS strategy FROM r JOIN uo USING (doc_id, k) GROUP BY doc_id, seg),
- pp AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM auto WHERE strategy = 'Paragraph'),
- c2 AS (SELECT doc_id, CAST(coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, part AS content, 'Paragraph' AS strategy FROM pp),
+_LANGUAGE = f"CASE WHEN lang IN ({', '.join(repr(p.code) for p in V.PROFILES)}) THEN lang ELSE 'en' END"
+_CUTS = f"list_transform(range(0, CAST(ceil(length(s) / {A.SIZE}.0) AS BIGINT)), lambda k: substr(s, CAST(k * {A.SIZE} + 1 AS BIGINT), {A.SIZE}))"
+_FINISHED = f"""{DUCK_DECORATED}, src AS (SELECT d.doc_id, lang, {_SOURCE} AS text FROM decorated d JOIN (SELECT doc_id, lang, text AS plain FROM documents) p USING (doc_id)), refined AS (SELECT doc_id, {_LANGUAGE} AS language, {_both(_STATEFUL)} AS text FROM src), {_SECTIONS.format(source='refined')},
+ auto AS (SELECT doc_id, language, text, CASE WHEN length(text) <= {A.SIZE} THEN 'Sentence' WHEN len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, {_B}) <> '')) >= {A.PARAGRAPHS} THEN 'Paragraph' WHEN len({_PIECES}) >= 2 THEN 'Sentence' ELSE 'Token' END AS strategy FROM refined WHERE length(text) > 0),
+ pp AS (SELECT doc_id, language, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM auto WHERE strategy = 'Paragraph'),
+ parts AS (SELECT doc_id, language, i, part, coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, 'Paragraph' AS strategy FROM pp UNION ALL SELECT doc_id, language, 1, text, 0, 'Sentence' FROM auto WHERE strategy = 'Sentence'),
+ large AS (SELECT * FROM parts WHERE length(part) > {A.SIZE}), {V.duckdb_sentences('part', 'language', 'large', 'doc_id, i, base, strategy')},
+ said AS (SELECT doc_id, i, base, strategy, unnest(pieces) AS s, generate_subscripts(pieces, 1) AS j FROM spoken),
+ un AS (SELECT doc_id, i, base, strategy, j, unnest({_CUTS}) AS t, generate_subscripts({_CUTS}, 1) AS c FROM said WHERE s <> '' UNION ALL SELECT doc_id, i, base, strategy, 1, part, 1 FROM parts WHERE length(part) BETWEEN 1 AND {A.SIZE}),
+ uo AS (SELECT *, row_number() OVER w AS k, sum(length(t)) OVER w - length(t) + base AS off FROM un WINDOW w AS (PARTITION BY doc_id, i ORDER BY j, c)),
+ r AS (SELECT doc_id, i, k, length(t) AS n, k AS seg FROM uo WHERE k = 1 UNION ALL SELECT u.doc_id, u.i, u.k, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.n + length(u.t) ELSE length(u.t) END, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.seg ELSE u.k END FROM r JOIN uo u ON u.doc_id = r.doc_id AND u.i = r.i AND u.k = r.k + 1),
+ c1 AS (SELECT doc_id, CAST(min(off) AS BIGINT) AS start_char, string_agg(t, '' ORDER BY k) AS content, min(strategy) AS strategy FROM r JOIN uo USING (doc_id, i, k) GROUP BY doc_id, i, seg),
  c3 AS (SELECT doc_id, k * {A.SIZE - A.OVERLAP} AS start_char, substr(text, CAST(k * {A.SIZE - A.OVERLAP} + 1 AS BIGINT), {A.SIZE}) AS content, 'Token' AS strategy FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - {A.OVERLAP}) / {A.SIZE - A.OVERLAP}.0) AS BIGINT)))) AS k FROM auto WHERE strategy = 'Token')),
- ca AS (SELECT doc_id, start_char, start_char + length(content) AS end_char, {duckdb('content', RULES['strip_markers'])} AS content, strategy FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)),
+ ca AS (SELECT doc_id, start_char, start_char + length(content) AS end_char, {duckdb('content', RULES['strip_markers'])} AS content, strategy FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c3)),
  cn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1 AS chunk_index FROM ca WHERE content <> ''),
  hp AS (SELECT c.doc_id, c.chunk_index, string_agg(title, ' > ' ORDER BY level, s.start_char) AS path, last(title ORDER BY level, s.start_char) AS section FROM cn c JOIN sections s ON s.doc_id = c.doc_id AND s.start_char <= c.start_char AND s.end_char >= c.start_char GROUP BY 1, 2)"""
 
 
 def finished(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"))
-    src = decorated(spark, sf_dir).join(plain, "doc_id").select("doc_id", F.expr(_SOURCE).alias("text"))
-    return A.assemble(src.select("doc_id", _composed(_STATEFUL).alias("text")))
+    plain = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("plain"))
+    src = decorated(spark, sf_dir).join(plain, "doc_id").select("doc_id", "lang", F.expr(_SOURCE).alias("text"))
+    return A.assemble(src.select("doc_id", "lang", _composed(_STATEFUL).alias("text")))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chunkwright.functions import language as L
+from chunkwright.functions import profiles as V
 from chunkwright.plans.corpora import table
 from chunkwright.plans.registry import query
 
@@ -87,3 +88,60 @@ def trigram_language(spark, sf_dir):
     """Profiles of all labelled documents; every document gets the language whose ranking of trigrams is nearest."""
     docs = table(spark, sf_dir, "documents").where("length(text) > 2")
     return L.nearest_language(docs, L.profiles(docs.where("lang IS NOT NULL"))).select("doc_id", "guess", F.round("distance", 6).alias("distance"), F.round("confidence", 6).alias("confidence"))
+
+
+# One sample in each language, of twenty times two sentences, stands before every text; Latin languages are declared.
+
+#: Sentences with abbreviations, quotes and section lines of their language.
+SAMPLES = {
+    "en": "Dr. Smith met Mr. Jones in the U.S. yesterday. He said \"stop!\" and left (at 5 p.m.).\nChapter 4 begins\n",
+    "ko": "저자는 책을 읽었습니다. 모두 등. 하나를 만났음 그는 갔다 정말요\n제 3 장 시작\n",
+    "zh": "这是第一句。这是第二句！还有吗？有；好. 完\n第三章 开始\n",
+    "ja": "これは文です。次も文です 本を読みました。行った!\n第二節 始まり\n",
+    "es": "El Dr. García llegó a la pág. 7 ayer. ¿Qué dijo la Sra. López? \"¡Nada!\" Fin.\nCapítulo 2 empieza\n",
+    "fr": "M. Dupont a vu Mme. Durand hier ! Que dit-il ? «Rien.» Voir fig. 3 et p. 9. Fin.\nPartie 2 commence\n",
+    "de": "Herr Dr. Meier kommt z.B. heute. Er sagt „Halt!“ und geht usw. weiter. Nr. 5 bleibt.\nKapitel 3 beginnt\n",
+    "ar": "هذه جملة قصيرة. وهذا سؤال؟ ثم نهاية۔ \n1. بداية\n",
+    "hi": "यह एक वाक्य है। यह दूसरा है॥ और तीसरा!\nक. आरंभ\n",
+    "pt": "O Dr. Silva viu a Sra. Costa na pág. 3 ontem. Disse V.Ex. algo? \"Nada.\" Fim.\nSeção 4 começa\n",
+    "ru": "Это было в 1990 г. и позже. См. рис. и др. вещи! Он сказал «да.» Конец.\nГлава 2 начинается\n",
+}
+_KEYS = list(SAMPLES)
+_QUOTED = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_SAMPLE = "CASE doc_id % 11 " + " ".join(f"WHEN {k} THEN repeat({_QUOTED(s)}, 20)" for k, s in enumerate(SAMPLES.values())) + " END"
+_ENDING = "CASE doc_id % 4 WHEN 0 THEN ' End. ' WHEN 1 THEN ' (End.)' WHEN 2 THEN ' etc.' ELSE ' no end' END"
+_SPOKEN_TEXT = f"{_SAMPLE} || text || {_ENDING}"
+_DECLARED = f"element_at(array({', '.join(repr(k) for k in _KEYS)}), int(doc_id % 11 + 1))"
+_LANGUAGE = "[{}][doc_id % 11 + 1]".format(", ".join(repr(k) for k in _KEYS))
+_DUCK_SPOKEN = f"given AS (SELECT doc_id, {_SPOKEN_TEXT} AS text, {_LANGUAGE} AS language FROM documents WHERE text IS NOT NULL)"
+
+
+def spoken(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return V.with_rules(docs.select("doc_id", F.expr(_SPOKEN_TEXT.replace("chr(10)", "'\\n'")).alias("text"), F.expr(_DECLARED).alias("lang")))
+
+
+_PROFILE_ROWS = ", ".join(f"('{p.code}', '{p.name}', '{p.script}', '{p.direction}', '{p.numbers}', '{p.quotes}')" for p in V.PROFILES)
+
+
+@query(
+    "l03_language_profiles",
+    f"""WITH {_DUCK_SPOKEN}, profiles(language, language_name, script, direction, numbers, quotes) AS (VALUES {_PROFILE_ROWS})
+    SELECT doc_id, language, language_name, script, direction, numbers, quotes, CAST({V.duckdb_section_lines('text', 'language')} AS BIGINT) AS section_lines FROM given JOIN profiles USING (language)""",
+)
+def language_profiles(spark, sf_dir):
+    """The profile of the language found (L04 for scripts, the declared one for Latin), and the lines that begin sections by its rules."""
+    return spoken(spark, sf_dir).select("doc_id", "language", "language_name", "script", "direction", "numbers", "quotes", F.size(V.section_lines(F.col("text"))).cast("long").alias("section_lines"))
+
+
+@query(
+    "l06_sentence_boundaries",
+    f"""WITH {_DUCK_SPOKEN}, {V.duckdb_sentences('text', 'language', 'given', 'doc_id, text, language')},
+    ends AS (SELECT doc_id, unnest(range(1, len(pieces))) AS k, pieces FROM spoken), placed AS (SELECT doc_id, k, CAST(list_sum(list_transform(pieces[1:k], lambda p: length(p))) AS BIGINT) AS at_char FROM ends),
+    lists AS (SELECT doc_id, count(*) AS n, md5(string_agg(at_char, ',' ORDER BY k)) AS digest FROM placed GROUP BY doc_id)
+    SELECT doc_id, language, coalesce(n, 0) AS n_boundaries, coalesce(digest, md5('')) AS digest, {V.duckdb_complete('text', 'language')} AS complete FROM spoken LEFT JOIN lists USING (doc_id)""",
+)
+def sentence_boundaries(spark, sf_dir):
+    """Offsets of sentence ends by the language's rules, abbreviations passed over, and whether the text ends with a complete sentence."""
+    found = spoken(spark, sf_dir).select("doc_id", "language", V.boundaries(F.col("text")).alias("at"), V.ends_complete(F.col("text")).alias("complete"))
+    return found.select("doc_id", "language", F.size("at").cast("long").alias("n_boundaries"), F.md5(F.array_join(F.col("at").cast("array<string>"), ",")).alias("digest"), "complete")
