@@ -25,8 +25,8 @@ def auto_strategy(text: Column, size: int = SIZE) -> Column:
     return F.when(F.length(text) <= size, "Sentence").when(full >= PARAGRAPHS, "Paragraph").when(F.size(sentences(text)) >= 2, "Sentence").otherwise("Token")
 
 
-def bounded_chunks(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, start_char, content: parts (doc_id, start_char, text and the rules of their language) split until nothing is over size.
+def bounded_chunks(parts: DataFrame, size: int = SIZE, *carried: str) -> DataFrame:
+    """doc_id, carried, start_char, content: parts (doc_id, start_char, text and the rules of their language) split until nothing is over size.
 
     A part that fits stays whole. A larger one is split into sentences, which are joined while they
     fit; a sentence over size is cut every `size` characters. Chunks of a part add up to it, so their
@@ -34,7 +34,7 @@ def bounded_chunks(parts: DataFrame, size: int = SIZE) -> DataFrame:
     """
     cut = lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
     units = F.when(F.length("text") <= size, F.array("text")).otherwise(F.flatten(F.transform(by_language(F.col("text")), cut)))
-    split = parts.where("text <> ''").select("doc_id", "start_char", units.alias("units"))
+    split = parts.where("text <> ''").select("doc_id", *carried, "start_char", units.alias("units"))
 
     def step(a: Column, u: Column) -> tuple:
         joins = a["n"] + F.length(u) <= size
@@ -45,7 +45,7 @@ def bounded_chunks(parts: DataFrame, size: int = SIZE) -> DataFrame:
     cuts = split.withColumn("cuts", kept_by(F.col("units"), state, step, "struct<i:int,at:bigint>"))
     ends = F.concat(F.slice(F.col("cuts")["i"], 2, F.size("cuts")), F.array(F.size("units")))
     lots = F.zip_with("cuts", ends, lambda c, e: F.struct(c["at"].alias("at"), F.array_join(F.slice("units", c["i"] + 1, e - c["i"]), "").alias("content")))
-    return cuts.select("doc_id", "start_char", F.explode(lots).alias("x")).select("doc_id", (F.col("start_char") + F.col("x.at")).alias("start_char"), "x.content")
+    return cuts.select("doc_id", *carried, "start_char", F.explode(lots).alias("x")).select("doc_id", *carried, (F.col("start_char") + F.col("x.at")).alias("start_char"), "x.content")
 
 
 def paragraph_parts(docs: DataFrame, *carried: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+HEADING = r"^#{1,6}\s+.+$"
+
 
 def sections(docs: DataFrame) -> DataFrame:
     """doc_id, ord, level, title, start_char, end_char, parent_ord.
@@ -15,7 +17,7 @@ def sections(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.length("text").alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     w = Window.partitionBy("doc_id").orderBy("i")
     placed = lines.withColumn("start_char", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    heads = placed.where(F.col("line").rlike(r"^#{1,6}\s+.+$")).select(
+    heads = placed.where(F.col("line").rlike(HEADING)).select(
         "doc_id", "n", "start_char", F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)).alias("level"), F.btrim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)).alias("title"), (F.row_number().over(w) - 1).alias("ord")
     )
     heads = heads.withColumn("ord", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char")) - 1).cast("long"))

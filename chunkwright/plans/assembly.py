@@ -11,6 +11,7 @@ from chunkwright.functions import profiles as V
 from chunkwright.functions import scores as S
 from chunkwright.functions.rewrite import RULES, column, duckdb, quoted
 from chunkwright.operators import assembly as A
+from chunkwright.operators import hierarchy as H
 from chunkwright.operators import metadata as M
 from chunkwright.operators.chunking import fixed_windows
 from chunkwright.plans import metadata as P
@@ -29,18 +30,27 @@ _SOURCE = "CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 7 = 1 THEN translate
 _PIECES = "list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])', '\\1' || chr(1), 'g'), chr(1) || '(\\p{Nd}|\\p{Ll})', '\\1', 'g'), chr(1)), lambda s: s <> '')"
 _LANGUAGE = f"CASE WHEN lang IN ({', '.join(repr(p.code) for p in V.PROFILES)}) THEN lang ELSE 'en' END"
 _CUTS = f"list_transform(range(0, CAST(ceil(length(s) / {A.SIZE}.0) AS BIGINT)), lambda k: substr(s, CAST(k * {A.SIZE} + 1 AS BIGINT), {A.SIZE}))"
+
+
+def duck_bounded(keys: str) -> str:
+    """c1: keys, start_char, content of `parts` (keys, language, part, base) bounded at A.SIZE; keys begin with doc_id and name a part."""
+    same = " AND ".join(f"u.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    of_u = ", ".join(f"u.{k.strip()}" for k in keys.split(","))
+    return f"""large AS (SELECT * FROM parts WHERE length(part) > {A.SIZE}), {V.duckdb_sentences('part', 'language', 'large', f'{keys}, base')},
+ said AS (SELECT {keys}, base, unnest(pieces) AS s, generate_subscripts(pieces, 1) AS j FROM spoken),
+ un AS (SELECT {keys}, base, j, unnest({_CUTS}) AS t, generate_subscripts({_CUTS}, 1) AS c FROM said WHERE s <> '' UNION ALL SELECT {keys}, base, 1, part, 1 FROM parts WHERE length(part) BETWEEN 1 AND {A.SIZE}),
+ uo AS (SELECT *, row_number() OVER w AS k, sum(length(t)) OVER w - length(t) + base AS off FROM un WINDOW w AS (PARTITION BY {keys} ORDER BY j, c)),
+ r AS (SELECT {keys}, k, length(t) AS n, k AS seg FROM uo WHERE k = 1 UNION ALL SELECT {of_u}, u.k, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.n + length(u.t) ELSE length(u.t) END, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.seg ELSE u.k END FROM r JOIN uo u ON {same} AND u.k = r.k + 1),
+ c1 AS (SELECT {keys}, CAST(min(off) AS BIGINT) AS start_char, string_agg(t, '' ORDER BY k) AS content FROM r JOIN uo USING ({keys}, k) GROUP BY {keys}, seg)"""
+
+
 _FINISHED = f"""{DUCK_DECORATED}, src AS (SELECT d.doc_id, lang, {_SOURCE} AS text FROM decorated d JOIN (SELECT doc_id, lang, text AS plain FROM documents) p USING (doc_id)), refined AS (SELECT doc_id, {_LANGUAGE} AS language, {_both(_STATEFUL)} AS text FROM src), {_SECTIONS.format(source='refined')},
  auto AS (SELECT doc_id, language, text, CASE WHEN length(text) <= {A.SIZE} THEN 'Sentence' WHEN len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, {_B}) <> '')) >= {A.PARAGRAPHS} THEN 'Paragraph' WHEN len({_PIECES}) >= 2 THEN 'Sentence' ELSE 'Token' END AS strategy FROM refined WHERE length(text) > 0),
  pp AS (SELECT doc_id, language, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM auto WHERE strategy = 'Paragraph'),
  parts AS (SELECT doc_id, language, i, part, coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, 'Paragraph' AS strategy FROM pp UNION ALL SELECT doc_id, language, 1, text, 0, 'Sentence' FROM auto WHERE strategy = 'Sentence'),
- large AS (SELECT * FROM parts WHERE length(part) > {A.SIZE}), {V.duckdb_sentences('part', 'language', 'large', 'doc_id, i, base, strategy')},
- said AS (SELECT doc_id, i, base, strategy, unnest(pieces) AS s, generate_subscripts(pieces, 1) AS j FROM spoken),
- un AS (SELECT doc_id, i, base, strategy, j, unnest({_CUTS}) AS t, generate_subscripts({_CUTS}, 1) AS c FROM said WHERE s <> '' UNION ALL SELECT doc_id, i, base, strategy, 1, part, 1 FROM parts WHERE length(part) BETWEEN 1 AND {A.SIZE}),
- uo AS (SELECT *, row_number() OVER w AS k, sum(length(t)) OVER w - length(t) + base AS off FROM un WINDOW w AS (PARTITION BY doc_id, i ORDER BY j, c)),
- r AS (SELECT doc_id, i, k, length(t) AS n, k AS seg FROM uo WHERE k = 1 UNION ALL SELECT u.doc_id, u.i, u.k, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.n + length(u.t) ELSE length(u.t) END, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.seg ELSE u.k END FROM r JOIN uo u ON u.doc_id = r.doc_id AND u.i = r.i AND u.k = r.k + 1),
- c1 AS (SELECT doc_id, CAST(min(off) AS BIGINT) AS start_char, string_agg(t, '' ORDER BY k) AS content, min(strategy) AS strategy FROM r JOIN uo USING (doc_id, i, k) GROUP BY doc_id, i, seg),
+ {duck_bounded('doc_id, i, strategy')},
  c3 AS (SELECT doc_id, k * {A.SIZE - A.OVERLAP} AS start_char, substr(text, CAST(k * {A.SIZE - A.OVERLAP} + 1 AS BIGINT), {A.SIZE}) AS content, 'Token' AS strategy FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - {A.OVERLAP}) / {A.SIZE - A.OVERLAP}.0) AS BIGINT)))) AS k FROM auto WHERE strategy = 'Token')),
- ca AS (SELECT doc_id, start_char, start_char + length(content) AS end_char, {duckdb('content', RULES['strip_markers'])} AS content, strategy FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c3)),
+ ca AS (SELECT doc_id, start_char, start_char + length(content) AS end_char, {duckdb('content', RULES['strip_markers'])} AS content, strategy FROM (SELECT doc_id, start_char, content, strategy FROM c1 UNION ALL SELECT * FROM c3)),
  cn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1 AS chunk_index FROM ca WHERE content <> ''),
  hp AS (SELECT c.doc_id, c.chunk_index, string_agg(title, ' > ' ORDER BY level, s.start_char) AS path, last(title ORDER BY level, s.start_char) AS section FROM cn c JOIN sections s ON s.doc_id = c.doc_id AND s.start_char <= c.start_char AND s.end_char >= c.start_char GROUP BY 1, 2)"""
 
@@ -60,6 +70,36 @@ def finished_chunks(spark, sf_dir):
     return finished(spark, sf_dir).select("doc_id", "chunk_index", "start_char", "end_char", F.md5("content").alias("digest"), "strategy", "tokens", "path", "page")
 
 
+# C06, X07, X08
+
+_TREE = f"""{DUCK_DECORATED}, src AS (SELECT d.doc_id, {_LANGUAGE} AS language, d.text FROM decorated d JOIN (SELECT doc_id, lang FROM documents) p USING (doc_id)), {_SECTIONS.format(source='src')},
+ tree AS (SELECT doc_id, {H.ROOT} AS ord, 0 AS level, 0 AS start_char, length(text) AS end_char, CAST(NULL AS BIGINT) AS parent FROM src UNION ALL SELECT doc_id, ord, level, start_char, end_char, coalesce(parent_ord, {H.ROOT}) FROM sections),
+ kids AS (SELECT c.*, p.start_char AS ps, p.end_char - p.start_char AS psize FROM tree c LEFT JOIN tree p ON p.doc_id = c.doc_id AND p.ord = c.parent),
+ kept AS (SELECT * FROM (SELECT *, bool_and(end_char - start_char < {H.LEAST} AND end_char - ps <= {A.SIZE}) OVER (PARTITION BY doc_id, parent ORDER BY ord) AS absorbed FROM kids) WHERE ord = {H.ROOT} OR (psize > {A.SIZE} AND NOT absorbed)),
+ lo AS (SELECT doc_id, i, line, start_char, sum(CAST(regexp_matches(line, '^#{{1,6}}\\s+.+$') AS INT)) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord FROM placed),
+ owned AS (SELECT l.doc_id, l.i, l.line, l.start_char, coalesce(max(k.ord) OVER (PARTITION BY l.doc_id ORDER BY l.i), {H.ROOT}) AS owner FROM lo l LEFT JOIN kept k ON k.doc_id = l.doc_id AND k.ord = l.ord),
+ texts AS (SELECT doc_id, owner, min(start_char) AS base, string_agg(line, chr(10) ORDER BY i) AS text FROM owned GROUP BY 1, 2),
+ wholes AS (SELECT k.doc_id, k.ord AS owner, coalesce(base, 0) AS base, coalesce(t.text, '') AS text, language FROM kept k JOIN src USING (doc_id) LEFT JOIN texts t ON t.doc_id = k.doc_id AND t.owner = k.ord),
+ pp AS (SELECT doc_id, owner, base AS b0, language, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM wholes WHERE length(text) > {A.SIZE}),
+ parts AS (SELECT doc_id, owner, i, language, part, b0 + coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id, owner ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM pp),
+ {duck_bounded('doc_id, owner, i')},
+ pieces AS (SELECT doc_id, owner, start_char, content FROM c1 UNION ALL SELECT doc_id, owner, base, text FROM wholes WHERE length(text) <= {A.SIZE}),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_char, owner) - 1 AS chunk_index, row_number() OVER (PARTITION BY doc_id, owner ORDER BY start_char) = 1 AS first FROM pieces),
+ linked AS (SELECT n.*, k.level, f.chunk_index AS parent_index FROM numbered n JOIN kept k ON k.doc_id = n.doc_id AND k.ord = n.owner LEFT JOIN numbered f ON f.doc_id = n.doc_id AND f.first AND f.owner = CASE WHEN n.first THEN k.parent ELSE n.owner END),
+ below AS (SELECT doc_id, parent_index AS chunk_index, string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS children FROM linked WHERE parent_index IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(
+    "c06_hierarchical_chunks",
+    f"WITH RECURSIVE {_TREE} SELECT l.doc_id, l.chunk_index, CASE WHEN first AND owner = {H.ROOT} THEN 'Root' WHEN children IS NOT NULL THEN 'Parent' ELSE 'Leaf' END AS kind, level, parent_index, coalesce(children, '') AS children, CAST(start_char AS BIGINT) AS start_char, length(content) AS n_chars, md5(content) AS digest FROM linked l LEFT JOIN below b ON b.doc_id = l.doc_id AND b.chunk_index = l.chunk_index",
+)
+def hierarchical_chunks(spark, sf_dir):
+    """The section tree merged bottom-up where it fits and split where it doesn't, with links both ways."""
+    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    found = H.hierarchical_chunks(decorated(spark, sf_dir).join(langs, "doc_id"))
+    return found.select("doc_id", "chunk_index", "kind", "level", "parent_index", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"), "start_char", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
 # R15, R16, R18
 
 _DEDUPED = L.DISTINCT_LINES

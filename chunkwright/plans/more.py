@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.functions import models
 from chunkwright.functions import scores as S
+from chunkwright.operators import enrichment as N
 from chunkwright.plans.corpora import DUCK_CONVERSATIONS, DUCK_DECORATED, conversations_markdown, decorated, table
 from chunkwright.plans.registry import query
 
@@ -24,19 +25,26 @@ def description(spark, sf_dir):
     return d.select("doc_id", F.when(F.length("f") > 200, F.concat(F.substring("f", 1, 200), F.lit("..."))).when(F.length("f") > 20, F.col("f")).otherwise("").alias("description"))
 
 
+_FIRST_LINE = "substr(string_split(text, chr(10))[1], 1, 80)"
+_PARTS = "regexp_extract(text, '^[^.!?\\n]*')"
+
+
 @query(
     "d09_merged_metadata",
-    "WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS ai_title, CASE WHEN doc_id % 2 = 0 THEN lang END AS ai_language, 'rule' || doc_id AS rule_title, 'en' AS rule_language, (doc_id % 10) / 10e0 AS ai, CAST(doc_id % 4 > 0 AS INT) * 1e0 AS rule FROM documents) "
-    "SELECT doc_id, coalesce(ai_title, rule_title) AS title, coalesce(ai_language, rule_language) AS language, round(CASE WHEN ai >= 0.6 THEN ai ELSE (ai + rule) / 2 END, 6) AS confidence, CASE WHEN ai >= 0.6 THEN 'ai' ELSE 'hybrid' END AS method FROM m",
+    f"""WITH t AS (SELECT doc_id, text, length(text) AS n, lang FROM documents WHERE text IS NOT NULL),
+    m AS (SELECT doc_id, n, least(1e0, n / 1000e0) AS sure, {_FIRST_LINE} AS rule_title, coalesce(lang, '') AS rule_language, CASE WHEN {_PARTS} <> '' THEN substr({_PARTS}, 1, 60) END AS said_title, CAST(len(string_split(text, chr(10))) AS VARCHAR) AS said_lines,
+      CASE WHEN trim({_FIRST_LINE}) <> '' THEN 1e0 ELSE 0e0 END AS rule_sure FROM t)
+    SELECT doc_id, CASE WHEN n < 50 THEN 'rules' WHEN sure >= 0.6 THEN 'ai' ELSE 'hybrid' END AS method, round(CASE WHEN n < 50 THEN rule_sure WHEN sure >= 0.6 THEN sure ELSE (sure + rule_sure) / 2 END, 9) AS confidence,
+      CASE WHEN n < 50 THEN rule_title WHEN sure >= 0.6 THEN said_title ELSE coalesce(said_title, rule_title) END AS title, CASE WHEN n < 50 OR sure < 0.6 THEN rule_language END AS language, CASE WHEN n >= 50 THEN said_lines END AS lines FROM m""",
 )
 def merged_metadata(spark, sf_dir):
-    """A model's fields filled up from the rules' where missing; below 0.6 the confidences are averaged."""
-    ident = F.col("doc_id")
-    ai, rule = ident % 10 / 10.0, (ident % 4 > 0).cast("double")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.coalesce(F.when(ident % 3 == 0, F.col("source")), F.concat(F.lit("rule"), ident.cast("string"))).alias("title"), F.coalesce(F.when(ident % 2 == 0, F.col("lang")), F.lit("en")).alias("language"),
-        F.round(F.when(ai >= 0.6, ai).otherwise((ai + rule) / 2), 6).alias("confidence"), F.when(ai >= 0.6, "ai").otherwise("hybrid").alias("method"),
-    )
+    """Each distinct text is asked once; unsure answers are filled up from the rules (first line, declared language), failed ones replaced by them."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", "lang")
+    first = F.substring(F.split("text", "\n")[0], 1, 80)
+    rules = F.create_map(F.lit("title"), first, F.lit("language"), F.coalesce("lang", F.lit("")))
+    found = N.enrich(docs, rules, F.when(F.trim(first) != "", 1.0).otherwise(0.0))
+    field = lambda name: F.try_element_at("fields", F.lit(name)).alias(name)
+    return found.select("doc_id", "method", F.round("confidence", 9).alias("confidence"), field("title"), field("language"), field("lines"))
 
 
 _ANSWER = """CASE doc_id % 3 WHEN 0 THEN 'Sure: {"title": "T' || doc_id || '", "pages": ' || doc_id || '} done' WHEN 1 THEN '{"title": "U", "pages": "x"}' ELSE 'no answer' END"""
@@ -126,17 +134,6 @@ def semantic_chunks(spark, sf_dir):
     return c.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n"), F.min("i").alias("first_id"), F.max("i").alias("last_id"))
 
 
-@query(
-    "c06_hierarchical_chunks",
-    f"WITH {DUCK_CONVERSATIONS}, p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10) || '## ')) AS part, generate_subscripts(string_split(text, chr(10) || chr(10) || '## '), 1) - 1 AS ord FROM markdown) "
-    "SELECT doc_id, ord, CASE WHEN ord = 0 THEN 'Root' ELSE 'Leaf' END AS kind, CASE WHEN ord > 0 THEN 0 END AS parent, length(part) AS n_chars FROM p",
-)
-def hierarchical_chunks(spark, sf_dir):
-    """The document's head is the root, its sections leaves below it."""
-    p = conversations_markdown(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n\n## ")).alias("ord", "part"))
-    return p.select("doc_id", "ord", F.when(F.col("ord") == 0, "Root").otherwise("Leaf").alias("kind"), F.when(F.col("ord") > 0, 0).alias("parent"), F.length("part").alias("n_chars"))
-
-
 _ITEMS = "regexp_replace(text, '(?m)^- (.*)$', '- \\1' || chr(10) || '- \\1 again' || chr(10) || '  * below' || chr(10) || '1. last', 'g')"
 
 
@@ -181,11 +178,14 @@ def model_hooks(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", models.summarise(t).alias("summary"), models.questions(t).alias("questions"))
 
 
-@query("u09_conditional_enrichment", "SELECT doc_id, length(text) >= 500 AND coalesce(quality, 0) < 0.8 AS enriched FROM (SELECT d.doc_id, d.text, CAST(max(l.quality) AS DOUBLE) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id, d.text)")
+_SUMMARY = "substr(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])\\s', '\\1' || chr(1), 'g'), chr(1))[1], 1, 200)"
+
+
+@query("u09_conditional_enrichment", f"WITH d AS (SELECT d.doc_id, d.text, CAST(max(l.quality) AS DOUBLE) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id, d.text) SELECT doc_id, length(text) >= 500 AND coalesce(quality, 0) < 0.8 AS enriched, CASE WHEN length(text) >= 500 AND coalesce(quality, 0) < 0.8 THEN {_SUMMARY} END AS summary FROM d")
 def conditional_enrichment(spark, sf_dir):
     """Texts of 500 characters or more whose quality isn't 0.8 yet. The filter stands before the model, so only they reach Python."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").distinct()
     quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     judged = docs.join(quality, "doc_id", "left").withColumn("wanted", (F.length("text") >= 500) & (F.coalesce("quality", F.lit(0.0)) < 0.8))
-    done = judged.where("wanted").select("doc_id", models.summarise(F.col("text")).isNotNull().alias("enriched"))
-    return done.unionByName(judged.where("NOT wanted").select("doc_id", F.lit(False).alias("enriched")))
+    done = judged.where("wanted").select("doc_id", F.lit(True).alias("enriched"), models.summarise(F.col("text")).alias("summary"))
+    return done.unionByName(judged.where("NOT wanted").select("doc_id", F.lit(False).alias("enriched"), F.lit(None).cast("string").alias("summary")))

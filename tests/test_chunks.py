@@ -87,3 +87,34 @@ def test_language_comes_from_script_then_declaration(spark):
     rows = [("한국어 문장입니다", "en"), ("plain text", "de"), ("plain text", "xx"), ("plain text", None), ("Это текст", None)]
     got = spark.createDataFrame(rows, "text string, lang string").select(V.found_language(F.col("text"), F.col("lang")).alias("l")).collect()
     assert [r["l"] for r in got] == ["ko", "de", "en", "en", "ru"]
+
+
+def test_section_tree_chunks_are_bounded_linked_and_whole(spark):
+    from chunkwright.operators import hierarchy as H
+
+    rng = random.Random(9)
+    line = lambda: " ".join("word" for _ in range(rng.randint(1, 40))) + "."
+    made = []
+    for i in range(25):
+        rows = [line() for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(0, 25)):
+            rows += ["#" * rng.randint(1, 5) + f" Heading {rng.randint(1, 99)}"] + [line() for _ in range(rng.choice([0, 1, 2, 2, 9]))]
+        made.append((i, "\n".join(rows), "en"))
+    made += [(100, "", "en"), (101, "# only a heading", "en"), (102, "x" * 3000, None), (103, None, "en")]
+    got = H.hierarchical_chunks(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], {})[r["chunk_index"]] = r
+    assert set(by) == {i for i, t, _ in made if t is not None} and max(len(r["content"]) for r in got) <= A.SIZE
+    for doc_id, text, _ in made[:-1]:
+        chunks = by[doc_id]
+        assert sorted(chunks) == list(range(len(chunks))) and chunks[0]["kind"] == "Root" and chunks[0]["parent_index"] is None
+        assert all(text[r["start_char"] : r["start_char"] + len(r["content"])] == r["content"] for r in chunks.values())
+        covered = {k for r in chunks.values() for k in range(r["start_char"], r["start_char"] + len(r["content"]))}
+        assert all(k in covered for k, x in enumerate(text) if not x.isspace())
+        for k, r in chunks.items():
+            assert all(chunks[c]["parent_index"] == k for c in r["children"])
+            assert r["parent_index"] is None or k in chunks[r["parent_index"]]["children"]
+            assert (r["kind"] == "Leaf") == (not r["children"] and k > 0)
+            if r["parent_index"] is not None:
+                assert chunks[r["parent_index"]]["level"] <= r["level"]
