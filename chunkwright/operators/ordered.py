@@ -31,11 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read back: it outlives lost executors and goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chunkwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def drop_later(spark: SparkSession, path: str) -> None:
+    """Delete path when the driver's process ends."""
 
     def drop() -> None:
         if spark.sparkContext._jsc is not None:
@@ -43,6 +40,14 @@ def stored(df: DataFrame) -> DataFrame:
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
     atexit.register(drop)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: it outlives lost executors and goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/chunkwright/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    drop_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
