@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chunkwright.operators import vectors as V
-from chunkwright.operators.ordered import running_sum
+from chunkwright.operators.containment import either_way
+from chunkwright.operators.ordered import running_sum, stored
 from chunkwright.plans.corpora import table
 from chunkwright.plans.registry import query
 
@@ -148,22 +149,43 @@ def neighbour_coherence(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.round(F.avg("similarity"), 6).alias("mean"), F.round(F.min("similarity"), 6).alias("least"), F.round(F.max("similarity"), 6).alias("most"))
 
 
+@query(
+    "e01_contained",
+    """SELECT item_id, doc_id FROM benchmark b, documents d WHERE b.text <> '' AND d.text <> '' AND (contains(lower(d.text), lower(b.text)) OR contains(lower(b.text), lower(d.text)))""",
+)
+def contained(spark, sf_dir):
+    """E01's relevance: benchmark items and documents of which one contains the other."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return either_way(items, docs).select(F.col("id").alias("item_id"), F.col("other_id").alias("doc_id"))
+
+
 @query(
     "e01_retrieval",
-    """WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, q.label AS want, v.label AS got, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.e, v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM q, embeddings v),
-    n AS (SELECT label, count(*) AS expected FROM embeddings GROUP BY label), r AS (SELECT query_id, count(*) FILTER (WHERE got = want) AS hits, min(rank) FILTER (WHERE got = want) AS first, any_value(expected) AS expected FROM s JOIN n ON n.label = s.want WHERE rank <= 5 GROUP BY query_id)
-    SELECT query_id, round(hits / 5e0, 6) AS precision, round(hits / expected, 6) AS recall, round(CASE WHEN hits > 0 THEN 2 * (hits / 5e0) * (hits / expected) / (hits / 5e0 + hits / expected) ELSE 0e0 END, 6) AS f1,
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, lower(text) AS t FROM embeddings JOIN documents ON doc_id = vec_id WHERE text <> ''), q AS (SELECT vec_id AS query_id, label, e FROM v WHERE vec_id % 100 = 0),
+    s AS (SELECT q.query_id, q.label AS want, v.t, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, v.vec_id) AS rank FROM q, v),
+    n AS (SELECT label, count(*) AS expected FROM v GROUP BY label), j AS (SELECT query_id, want, rank, EXISTS (SELECT 1 FROM v x WHERE x.label = s.want AND (contains(s.t, x.t) OR contains(x.t, s.t))) AS hit FROM s WHERE rank <= 5),
+    r AS (SELECT query_id, count(*) FILTER (WHERE hit) AS hits, count(*) AS retrieved, min(rank) FILTER (WHERE hit) AS first, any_value(expected) AS expected FROM j JOIN n ON n.label = j.want GROUP BY query_id)
+    SELECT query_id, round(hits / retrieved, 6) AS precision, round(hits / expected, 6) AS recall, round(CASE WHEN hits > 0 THEN 2 * (hits / retrieved) * (hits / expected) / (hits / retrieved + hits / expected) ELSE 0e0 END, 6) AS f1,
      round(coalesce(1 / first, 0), 6) AS reciprocal_rank, round(CASE WHEN hits > 0 THEN 1 / row_number() OVER (ORDER BY query_id) ELSE 0e0 END, 6) AS query_place_rank FROM r""",
 )
 def retrieval(spark, sf_dir):
-    """Precision, recall, F1 and reciprocal rank (of the hit, and of the query's place) of the five nearest vectors; the same label is relevant."""
-    vecs = table(spark, sf_dir, "embeddings")
+    """Precision, recall, F1 and reciprocal rank (of the hit, and of the query's place) of the five nearest chunks.
+
+    A vector's chunk is the document of its id; those of the query's label are expected, and a chunk
+    is relevant if its text contains an expected one or stands in it.
+    """
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("vec_id"), "text")
+    vecs = stored(table(spark, sf_dir, "embeddings").join(docs, "vec_id").select("vec_id", "label", "embedding", "text"))
     queries = vecs.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"), "embedding")
-    found = V.top_k(queries, vecs, 5).join(vecs.select("vec_id", F.col("label").alias("got")), "vec_id").join(queries.select("query_id", "want"), "query_id")
+    near = stored(V.top_k(queries, vecs, 5).join(queries.select("query_id", "want"), "query_id").select("query_id", "vec_id", "rank", "want"))
+    chunks = vecs.select(F.col("vec_id").alias("id"), "text")
+    met = either_way(chunks.join(near.select(F.col("vec_id").alias("id")).distinct(), "id", "left_semi"), chunks.join(vecs.join(near.select(F.col("want").alias("label")).distinct(), "label", "left_semi").select(F.col("vec_id").alias("id")), "id", "left_semi"))
+    relevant = met.join(vecs.select(F.col("vec_id").alias("other_id"), F.col("label").alias("want")), "other_id").select(F.col("id").alias("vec_id"), "want").distinct().withColumn("hit", F.lit(True))
+    found = near.join(relevant, ["vec_id", "want"], "left").withColumn("hit", F.col("hit").isNotNull())
     sizes = vecs.groupBy(F.col("label").alias("want")).agg(F.count("*").alias("expected"))
-    hit = F.col("got") == F.col("want")
-    r = found.join(sizes, "want").groupBy("query_id").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.first("expected").alias("expected"))
-    p, c = F.col("hits") / 5.0, F.col("hits") / F.col("expected")
+    r = found.join(sizes, "want").groupBy("query_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("retrieved"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.first("expected").alias("expected"))
+    p, c = F.col("hits") / F.col("retrieved"), F.col("hits") / F.col("expected")
     # a query's place among all, by a running sum over ranges of ids
     r = running_sum(r.withColumns({"all": F.lit(0), "one": F.lit(1)}), "all", "query_id", "one")
     place = F.col("total")
