@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chunkwright.functions import scores as S
 from chunkwright.functions.rewrite import RULES, column, duckdb
 from chunkwright.operators.chunking import fixed_windows
-from chunkwright.plans import analysis, assembly, graphs, language, markdown, metadata, more, quality, readers, reports, scoring, streams, structure, text, vectors  # noqa: F401
+from chunkwright.plans import analysis, assembly, graphs, language, layout, markdown, metadata, more, quality, readers, reports, scoring, streams, structure, text, vectors  # noqa: F401
 from chunkwright.plans.corpora import table
 from chunkwright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
