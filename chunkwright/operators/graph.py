@@ -87,3 +87,49 @@ def distances(edges: DataFrame, start: int = 0) -> DataFrame:
     for r in rounds[1:]:
         reached = reached.union(r)
     return reached
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, from, to, path (array of nodes): shortest undirected paths between stated pairs; null where there is none, [from] where both are one.
+
+    A search from both ends over all pairs at once: the ends take turns to go a step, and a pair leaves
+    both as soon as they meet, or when one can go no further. From the meeting nodes the path goes on
+    through the levels that the other end has been through. Of equally short paths it is the one whose
+    last node but one is smallest, then the one before, and so on. Each level is written.
+    """
+    near = stored(neighbours(edges))
+    asked = pairs.select("doc_id", "from", "to").distinct()
+    key = ["doc_id", "from", "to"]
+    same = asked.where(F.col("from") == F.col("to")).select(*key, F.array("from").alias("path"))
+    apart = stored(asked.where(F.col("from") != F.col("to")))
+
+    def step(level: DataFrame) -> DataFrame:
+        """The nodes next to a level, each by its smallest predecessor."""
+        met = level.join(near.select("doc_id", F.col("a").alias("node"), F.col("b").alias("next")), ["doc_id", "node"])
+        best = met.groupBy(*key, "next").agg(F.min_by("path", "node").alias("path"))
+        return best.select(*key, F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+
+    def onwards(levels: list[DataFrame], open_pairs: DataFrame) -> DataFrame:
+        """The next level: what isn't in the last two, of pairs that are still open."""
+        ahead = step(levels[-1].join(open_pairs, key, "left_semi"))
+        for level in levels[-2:]:
+            ahead = ahead.join(level.select(*key, "node"), [*key, "node"], "left_anti")
+        return stored(ahead)
+
+    starts = [stored(apart.select(*key, F.col("from").alias("node"), F.array("from").alias("path")))]
+    ends = [stored(apart.select(*key, F.col("to").alias("node"), F.array("to").alias("path")))]
+    open_pairs, found = apart, []
+    while not open_pairs.isEmpty():
+        side, other = (starts, ends) if len(starts) <= len(ends) else (ends, starts)
+        side.append(onwards(side, open_pairs))
+        meeting = starts[-1].join(ends[-1].select(*key, "node"), [*key, "node"], "left_semi")
+        for level in reversed(ends[:-1]):
+            meeting = step(meeting).join(level.select(*key, "node"), [*key, "node"], "left_semi")
+        met = stored(meeting.select(*key, "path"))
+        found.append(met)
+        moved = side[-1].select(*key).distinct()
+        open_pairs = stored(open_pairs.join(moved, key, "left_semi").join(met.select(*key), key, "left_anti"))
+    every = same
+    for met in found:
+        every = every.unionByName(met)
+    return asked.join(every, key, "left")

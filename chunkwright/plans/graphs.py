@@ -75,6 +75,27 @@ def steps(spark, sf_dir):
     return G.distances(all_edges(spark, sf_dir)).select("doc_id", "node", "steps")
 
 
+#: From the first and the last turn of each conversation to every turn, and to one that there isn't.
+_PAIRS = """ends AS (SELECT doc_id, min(chunk_index) AS first, max(chunk_index) AS last FROM turns GROUP BY doc_id), pairs AS (SELECT DISTINCT t.doc_id, f AS "from", t.chunk_index AS "to" FROM turns t JOIN (SELECT doc_id, unnest([first, last]) AS f FROM ends) USING (doc_id) UNION SELECT doc_id, first, 9999 FROM ends)"""
+
+
+@query(
+    "g08_paths",
+    f"""WITH RECURSIVE {_EDGES}, {_PAIRS}, near AS (SELECT doc_id, src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT doc_id, dst, src FROM edges WHERE src <> dst), nodes AS (SELECT max(n) AS most FROM (SELECT count(DISTINCT a) AS n FROM near GROUP BY doc_id)),
+    reach(doc_id, start, node, steps) AS (SELECT DISTINCT doc_id, "from", "from", 0 FROM pairs UNION SELECT r.doc_id, r.start, n.b, r.steps + 1 FROM reach r JOIN near n ON n.doc_id = r.doc_id AND n.a = r.node WHERE r.steps < (SELECT most FROM nodes)),
+    dist AS (SELECT doc_id, start, node, min(steps) AS steps FROM reach GROUP BY 1, 2, 3), pred AS (SELECT v.doc_id, v.start, v.node, min(u.node) AS before FROM dist v JOIN near n ON n.doc_id = v.doc_id AND n.b = v.node JOIN dist u ON u.doc_id = v.doc_id AND u.start = v.start AND u.node = n.a AND u.steps = v.steps - 1 GROUP BY 1, 2, 3),
+    back(doc_id, start, target, node, path) AS (SELECT p.doc_id, p."from", p."to", p."to", CAST(p."to" AS VARCHAR) FROM pairs p JOIN dist d ON d.doc_id = p.doc_id AND d.start = p."from" AND d.node = p."to" UNION ALL SELECT b.doc_id, b.start, b.target, p.before, p.before || ',' || b.path FROM back b JOIN pred p ON p.doc_id = b.doc_id AND p.start = b.start AND p.node = b.node)
+    SELECT p.doc_id, p."from", p."to", b.path FROM pairs p LEFT JOIN back b ON b.doc_id = p.doc_id AND b.start = p."from" AND b.target = p."to" AND b.node = p."from" """,
+)
+def paths(spark, sf_dir):
+    """The nodes of shortest paths between stated pairs."""
+    t = turns(spark, sf_dir)
+    ends = t.groupBy("doc_id").agg(F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"))
+    pairs = t.join(ends, "doc_id").select("doc_id", F.explode(F.array("first", "last")).alias("from"), F.col("chunk_index").alias("to"))
+    found = G.shortest_paths(all_edges(spark, sf_dir), pairs.union(ends.select("doc_id", "first", F.lit(9999))))
+    return found.select("doc_id", "from", "to", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
 @query("g09_hierarchy", f"WITH {_EDGES} SELECT doc_id, src AS parent, count(*) AS n_children, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS children FROM hier GROUP BY doc_id, src")
 def hierarchy(spark, sf_dir):
     h = G.hierarchical(_paths(turns(spark, sf_dir)))
