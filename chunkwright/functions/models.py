@@ -100,3 +100,24 @@ def image_relevance(text: Column, context: Column, fn: Callable | None = None) -
     own = F.array_distinct(F.filter(F.split(F.lower(text), " "), lambda w: F.length(w) > 2))
     shared = F.array_intersect(own, F.split(F.lower(context), " "))
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(shared) / F.size(own))
+
+
+def bridge_texts(a: str, b: str) -> tuple[str, str, float] | None:
+    """A question on the longest word that two texts share, the sentences that hold it, and the share of words in common; null without such a word."""
+    own, other = set(re.findall(r"[a-z]+", a.lower())), set(re.findall(r"[a-z]+", b.lower()))
+    shared = sorted((w for w in own & other if len(w) >= 6), key=lambda w: (-len(w), w))
+    if not shared:
+        return None
+    said = [next(s.strip() for s in re.split(r"[.!?\n]", t) if shared[0] in re.findall(r"[a-z]+", s.lower())) for t in (a, b)]
+    return f"What do both passages say about {shared[0]}?", " / ".join(said), len(own & other) / min(len(own), len(other))
+
+
+def bridge(a: Column, b: Column, fn: Callable = bridge_texts) -> Column:
+    """question, answer, score for two related texts; null where fn fails or finds nothing."""
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        found = [_safe(lambda pair: fn(*pair), None if x is None or y is None else (x, y)) or (None, None, None) for x, y in zip(xs, ys)]
+        return pd.DataFrame(found, columns=["question", "answer", "score"])
+
+    run.__annotations__ = {"xs": pd.Series, "ys": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "question string, answer string, score double")(a, b)

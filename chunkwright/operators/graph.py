@@ -133,3 +133,20 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     for met in found:
         every = every.unionByName(met)
     return asked.join(every, key, "left")
+
+
+def multi_hop(chunks: DataFrame, edges: DataFrame, ask, least: float = 0.1, most: int = 3) -> DataFrame:
+    """doc_id, src, dst, question, answer, score, rank: questions on pairs of chunks that an edge relates. chunks: doc_id, chunk_index, text.
+
+    ask takes the two texts' columns and gives a struct of question, answer and score. Of a document
+    the best `most` with a score of `least` or more stay, and of equal questions over all documents
+    the best one.
+    """
+    texts = chunks.select("doc_id", "chunk_index", "text")
+    pairs = edges.where("src < dst").select("doc_id", "src", "dst").union(edges.where("src > dst").select("doc_id", "dst", "src")).distinct()
+    both = pairs.join(texts.select("doc_id", F.col("chunk_index").alias("src"), F.col("text").alias("one")), ["doc_id", "src"]).join(texts.select("doc_id", F.col("chunk_index").alias("dst"), F.col("text").alias("other")), ["doc_id", "dst"])
+    asked = stored(both.select("doc_id", "src", "dst", ask(F.col("one"), F.col("other")).alias("x")).select("doc_id", "src", "dst", "x.*").where((F.col("score") >= least) & F.col("question").isNotNull()))
+    best = asked.groupBy("question").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"), (-F.col("src")).alias("s"), (-F.col("dst")).alias("t"), "answer")).alias("x"))
+    once = best.select((-F.col("x.d")).alias("doc_id"), (-F.col("x.s")).alias("src"), (-F.col("x.t")).alias("dst"), "question", "x.answer", "x.score")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "src", "dst", "question"))
+    return once.withColumn("rank", place).where(F.col("rank") <= most)

@@ -12,8 +12,10 @@ from chunkwright.functions import scores as S
 from chunkwright.functions.rewrite import RULES, column, duckdb, quoted
 from chunkwright.operators import assembly as A
 from chunkwright.operators import hierarchy as H
+from chunkwright.operators import late as T
 from chunkwright.operators import metadata as M
 from chunkwright.operators.chunking import fixed_windows
+from chunkwright.operators.ordered import stored
 from chunkwright.plans import metadata as P
 from chunkwright.plans.corpora import DUCK_CHUNKS, DUCK_DECORATED, chunks, decorated, table
 from chunkwright.plans.more import _FIRST, description
@@ -100,6 +102,33 @@ def hierarchical_chunks(spark, sf_dir):
     return found.select("doc_id", "chunk_index", "kind", "level", "parent_index", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"), "start_char", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
 
 
+# C15
+
+_STEP = T.MOST - T.OVERLAP - T.LEAST
+_SPANS = f"""parts AS (SELECT doc_id, 1 AS i, {_LANGUAGE} AS language, text AS part, 0 AS base FROM documents WHERE length(text) > 0), {duck_bounded('doc_id, i').replace(f'> {A.SIZE}', f'> {_STEP}').replace(f'<= {A.SIZE}', f'<= {_STEP}').replace(f'AND {A.SIZE}', f'AND {_STEP}').replace(_CUTS, _CUTS.replace(str(A.SIZE), str(_STEP)))},
+ n AS (SELECT doc_id, start_char, length(content) AS n, lead(length(content)) OVER w AS next, lead(length(content), 2) OVER w AS after, row_number() OVER w - 1 AS index FROM c1 WINDOW w AS (PARTITION BY doc_id ORDER BY start_char)),
+ spans AS (SELECT doc_id, index, greatest(0, start_char - CASE WHEN index > 0 THEN {T.OVERLAP} ELSE 0 END) AS start_char, start_char + n + CASE WHEN next IS NOT NULL AND after IS NULL AND next < {T.LEAST} THEN next ELSE 0 END AS end_char FROM n WHERE next IS NOT NULL OR n >= {T.LEAST} OR index = 0),
+ words AS (SELECT doc_id, string_split_regex(text, '[^ \\n]+') AS g, regexp_extract_all(text, '[^ \\n]+') AS w FROM documents WHERE length(text) > 0), wk AS (SELECT doc_id, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, generate_subscripts(w, 1) - 1 AS k FROM words),
+ tokens AS (SELECT doc_id, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY k) - length(word) AS at_char, (k + 37 * length(word)) % (SELECT count(*) FROM embeddings) AS vec_id FROM wk)"""
+_ELEMENTS = ", ".join(f"CAST(sum(CAST(round(embedding[{i}]::DOUBLE * {T.UNIT}) AS BIGINT)) AS VARCHAR)" for i in range(1, 65))
+
+
+@query(
+    "c15_late_chunks",
+    f"""WITH RECURSIVE {_SPANS} SELECT s.doc_id, index, start_char, end_char, CAST(ceil((end_char - start_char) / 4.0) AS BIGINT) AS tokens, count(e.vec_id) AS n, md5(concat_ws(',', {_ELEMENTS})) AS digest
+    FROM spans s LEFT JOIN tokens t ON t.doc_id = s.doc_id AND t.at_char >= s.start_char AND t.at_char < s.end_char LEFT JOIN embeddings e ON e.vec_id = t.vec_id GROUP BY ALL""",
+)
+def late_chunks(spark, sf_dir):
+    """Boundaries of whole texts, and each one's mean vector (as exact sums) from the vectors of its words; a word's vector is one of the table's, by its place and length."""
+    docs = table(spark, sf_dir, "documents")
+    spans = stored(T.boundaries(docs.select("doc_id", "text", "lang")))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    tokens = T.word_places(docs.where("length(text) > 0")).withColumn("vec_id", (F.col("k") + 37 * F.length("word")) % vectors.count()).join(vectors, "vec_id")
+    sums = T.pooled(tokens, spans, 64)
+    found = spans.join(sums, ["doc_id", "index"], "left")
+    return found.select("doc_id", "index", "start_char", "end_char", "tokens", F.coalesce("n", F.lit(0)).alias("n"), F.md5(F.coalesce(F.array_join(F.col("sums").cast("array<string>"), ","), F.lit(""))).alias("digest"))
+
+
 # R15, R16, R18
 
 _DEDUPED = L.DISTINCT_LINES

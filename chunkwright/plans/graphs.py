@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chunkwright.functions import models
 from chunkwright.operators import graph as G
 from chunkwright.plans.corpora import table
 from chunkwright.plans.registry import query
@@ -96,6 +97,25 @@ def paths(spark, sf_dir):
     return found.select("doc_id", "from", "to", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
+_WORDS = lambda t: f"list_distinct(regexp_extract_all(lower({t}), '[a-z]+'))"
+_SAID = lambda t: f"list_filter(string_split_regex({t}, '[.!?\\n]'), lambda s: list_contains(regexp_extract_all(lower(s), '[a-z]+'), w))[1]"
+_TRIM = lambda t: f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    "u08_multi_hop_questions",
+    f"""WITH {_EDGES}, pairs AS (SELECT DISTINCT doc_id, least(src, dst) AS src, greatest(src, dst) AS dst FROM edges WHERE src <> dst), b AS (SELECT p.*, x.text AS one, y.text AS other, {_WORDS('x.text')} AS own, {_WORDS('y.text')} AS theirs FROM pairs p JOIN turns x ON x.doc_id = p.doc_id AND x.chunk_index = p.src JOIN turns y ON y.doc_id = p.doc_id AND y.chunk_index = p.dst),
+    s AS (SELECT *, list_intersect(own, theirs) AS shared FROM b), w AS (SELECT *, list_sort(list_transform(list_filter(shared, lambda x: length(x) >= 6), lambda x: {{'n': -length(x), 'w': x}}))[1].w AS w FROM s),
+    a AS (SELECT doc_id, src, dst, 'What do both passages say about ' || w || '?' AS question, {_TRIM(_SAID('one'))} || ' / ' || {_TRIM(_SAID('other'))} AS answer, len(shared) / least(len(own), len(theirs)) AS score FROM w WHERE w IS NOT NULL),
+    o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id, src, dst) AS k FROM a WHERE score >= 0.1) WHERE k = 1)
+    SELECT doc_id, src, dst, question, answer, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, src, dst, question) AS rank FROM o) WHERE rank <= 3""",
+)
+def multi_hop_questions(spark, sf_dir):
+    """Questions on pairs of turns that an edge of the graph relates."""
+    found = G.multi_hop(turns(spark, sf_dir), all_edges(spark, sf_dir), models.bridge)
+    return found.select("doc_id", "src", "dst", "question", "answer", F.round("score", 9).alias("score"), "rank")
+
+
 @query("g09_hierarchy", f"WITH {_EDGES} SELECT doc_id, src AS parent, count(*) AS n_children, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS children FROM hier GROUP BY doc_id, src")
 def hierarchy(spark, sf_dir):
     h = G.hierarchical(_paths(turns(spark, sf_dir)))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chunkwright.functions import scores as S
+from chunkwright.operators.heavy import most_frequent, top_words
 from chunkwright.plans.corpora import DUCK_CHUNKS, chunks, table
 from chunkwright.plans.registry import query
 
@@ -24,6 +25,11 @@ def chunk_statistics(spark, sf_dir):
     )
 
 
+def _words(text: str):
+    """Words of four letters or more, lower-cased."""
+    return F.filter(F.transform(F.split(text, r"\W+"), F.lower), lambda w: F.length(w) > 3)
+
+
 @query(
     "k04_document_summary",
     """WITH w AS (SELECT source, lower(unnest(string_split_regex(text, '\\W+'))) AS w FROM documents), c AS (SELECT source, w, count(*) AS n FROM w WHERE length(w) > 3 GROUP BY 1, 2),
@@ -31,16 +37,24 @@ def chunk_statistics(spark, sf_dir):
     f AS (SELECT source, count(*) AS n_docs, substr(arg_min(text, doc_id), 1, 200) || '...' AS summary FROM documents GROUP BY source) SELECT f.source, n_docs, summary, keywords FROM f JOIN k USING (source)""",
 )
 def document_summary(spark, sf_dir):
-    """By source, the twenty most frequent words and the first text's beginning. Counts are partial before each shuffle; only twenty words a source are ranked together."""
+    """By source, the twenty most frequent words and the first text's beginning. Tasks keep bounded counters; words that may be among the first twenty are counted exactly."""
     docs = table(spark, sf_dir, "documents")
-    words = docs.select("source", F.explode(F.split("text", r"\W+")).alias("w")).select("source", F.lower("w").alias("w")).where(F.length("w") > 3)
-    counted = words.groupBy("source", "w").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "w"))
-    top = counted.withColumn("rank", rank).where("rank <= 20").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "w")))["w"], ",").alias("keywords"))
+    grouped = docs.select(F.col("source").alias("grp"), _words("text").alias("words"))
+    top = top_words(grouped, 20).groupBy(F.col("grp").alias("source")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "w")))["w"], ",").alias("keywords"))
     first = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.concat(F.substring(F.min_by("text", "doc_id"), 1, 200), F.lit("...")).alias("summary"))
     return first.join(top, "source").select("source", "n_docs", "summary", "keywords")
 
 
+_DUCK_TOP = lambda text, k: f"list_transform(list_sort(list_transform(map_entries(list_histogram(list_filter(list_transform(string_split_regex({text}, '\\W+'), lambda w: lower(w)), lambda w: length(w) > 3))), lambda e: {{'n': -CAST(e.value AS BIGINT), 'w': e.key}}))[1:{k}], lambda x: x.w)"
+
+
+@query("k04_document_keywords", f"SELECT doc_id, coalesce(array_to_string({_DUCK_TOP('text', 20)}, ','), '') AS keywords, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS summary FROM documents WHERE text IS NOT NULL")
+def document_keywords(spark, sf_dir):
+    """Each document's twenty most frequent words and its beginning, within its row."""
+    beginning = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(most_frequent(_words("text"), 20), ",").alias("keywords"), beginning.alias("summary"))
+
+
 @query("k05_result_paths", "SELECT doc_id, sha256(text) AS digest, 'results/' || substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) || '/' || sha256(text) || '.json' AS path FROM documents WHERE text IS NOT NULL")
 def result_paths(spark, sf_dir):
     h = F.sha2("text", 256)
@@ -61,13 +75,22 @@ def store_insert(spark, sf_dir):
 
 @query(
     "k09_enrichment_index",
-    f"WITH {DUCK_CHUNKS} SELECT doc_id, count(*) AS n, round(100e0 * count(*) FILTER (WHERE length(content) > 500) / count(*), 1) AS rate, string_agg(substr(content, 1, 300), '|' ORDER BY chunk_index) FILTER (WHERE length(content) > 500 AND chunk_index < 3) AS summaries FROM chunks GROUP BY doc_id",
+    f"""WITH {DUCK_CHUNKS}, c AS (SELECT doc_id, chunk_index, content, length(content) > 500 AS enriched, CASE WHEN length(content) > 500 THEN {_DUCK_TOP('content', 5)} ELSE [] END AS k FROM chunks), kw AS (SELECT doc_id, chunk_index, unnest(k) AS w, generate_subscripts(k, 1) AS i FROM c),
+    f AS (SELECT doc_id, w, min(chunk_index * 10 + i) AS at_first FROM kw GROUP BY 1, 2), t AS (SELECT doc_id, string_agg(w, ',' ORDER BY at_first) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at_first) AS r FROM f) WHERE r <= 20 GROUP BY doc_id)
+    SELECT c.doc_id, count(*) AS n, round(100e0 * count(*) FILTER (WHERE enriched) / count(*), 1) AS rate, string_agg(substr(content, 1, 300), '|' ORDER BY chunk_index) FILTER (WHERE enriched AND chunk_index < 3) AS summaries, coalesce(any_value(keywords), '') AS keywords,
+    md5(string_agg(CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END, '|' ORDER BY chunk_index)) AS previews FROM c LEFT JOIN t USING (doc_id) GROUP BY c.doc_id""",
 )
 def enrichment_index(spark, sf_dir):
+    """Share of enriched chunks, first summaries, twenty keywords in the order of their appearance (five a chunk), previews."""
     enriched = F.length("content") > 500
-    first = F.collect_list(F.when(enriched & (F.col("chunk_index") < 3), F.struct("chunk_index", F.substring("content", 1, 300).alias("s"))))
-    out = chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(enriched) / F.count("*"), 1).alias("rate"), F.array_sort(first)["s"].alias("s"))
-    return out.select("doc_id", "n", "rate", F.when(F.size("s") > 0, F.array_join("s", "|")).alias("summaries"))
+    own = chunks(spark, sf_dir).select("doc_id", "chunk_index", "content", enriched.alias("enriched"), F.when(enriched, most_frequent(_words("content"), 5)).otherwise(F.array().cast("array<string>")).alias("k"))
+    first = F.collect_list(F.when(F.col("enriched") & (F.col("chunk_index") < 3), F.struct("chunk_index", F.substring("content", 1, 300).alias("s"))))
+    preview = F.when(F.length("content") > 200, F.concat(F.substring("content", 1, 200), F.lit("..."))).otherwise(F.col("content"))
+    out = own.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.round(100.0 * F.count_if("enriched") / F.count("*"), 1).alias("rate"), F.array_sort(first)["s"].alias("s"),
+        F.array_distinct(F.flatten(F.array_sort(F.collect_list(F.struct("chunk_index", "k")))["k"])).alias("k"), F.array_join(F.array_sort(F.collect_list(F.struct("chunk_index", preview.alias("p"))))["p"], "|").alias("p"),
+    )
+    return out.select("doc_id", "n", "rate", F.when(F.size("s") > 0, F.array_join("s", "|")).alias("summaries"), F.array_join(F.slice("k", 1, 20), ",").alias("keywords"), F.md5("p").alias("previews"))
 
 
 @query("k10_estimates", "SELECT doc_id, length(text) // 5 AS words, length(text) // 4 AS tokens FROM documents")
