@@ -75,7 +75,7 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool, int, int, int]], bool,
     found: list[tuple[str, bool, bool, int, int, int]] = []
     outer = [0]
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, int, int]] = []  # name, left out, in the article, heading level, container
+    stack: list[tuple[str, bool, bool, int, int, bool]] = []  # name, left out, in the article, heading level, container, in a link
     out = root = marked = False
     links = anchor = level = container = 0
 
@@ -118,15 +118,14 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool, int, int, int]], bool,
                     stack.pop()
                 if stack and (stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li"):
                     stack.pop()
-            up_out, up_root, up_level, up_container = stack[-1][1:] if stack else (False, False, 0, 0)
+            up_out, up_root, up_level, up_container, up_anchor = stack[-1][1:] if stack else (False, False, 0, 0, False)
             inside = up_root or name in _ROOT and not up_out
             if name in CONTAINER:
                 outer.append(up_container)
                 up_container = len(outer) - 1
-            stack.append((name, up_out or _out(name, m["rest"], inside), inside, int(name[1]) if name in HEADING else up_level, up_container))
+            stack.append((name, up_out or _out(name, m["rest"], inside), inside, int(name[1]) if name in HEADING else up_level, up_container, name == "a" or up_anchor))
             marked = marked or name in _ROOT and not up_out
-        anchor = any(x[0] == "a" for x in stack[-4:])
-        out, root, level, container = stack[-1][1:] if stack else (False, False, 0, 0)
+        out, root, level, container, anchor = stack[-1][1:] if stack else (False, False, 0, 0, False)
     if at < len(page):
         parts.append(page[at:])
     flush()

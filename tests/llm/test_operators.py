@@ -423,7 +423,7 @@ def test_shards_are_contiguous_balanced_and_keep_groups(spark):
     rng = random.Random(25)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(600)]
     texts += [texts[k] for k in range(50)] + [None, ""]
-    got = sharding.shard(docs(spark, texts), 6, group_share=0.2).toPandas()
+    got = sharding.shard(docs(spark, texts), 6, large=0.2).toPandas()
     assert len(got) == len(texts) and (got["size"].sum() == sum(len((t or "").encode()) + 8 for t in texts))
     by_id = got.set_index("doc_id")
     assert all(by_id.loc[i, "text_crc32"] == zlib.crc32((t or "").encode()) for i, t in enumerate(texts))
@@ -442,6 +442,35 @@ def test_a_large_group_is_cut(spark):
     assert got.groupby("shard")["size"].sum().std() < 40
 
 
+def test_groups_between_two_percent_and_a_shard_stay_whole_and_shards_balanced(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(5, 60)) for _ in range(900)]
+    for share in (0.03, 0.2, 0.5, 0.9, 0.9, 0.6):
+        text = prose(rng, 20)
+        texts += [text] * int(share * 45_000 / len(text))
+    texts += [prose(rng, 30)] * 600  # larger than a shard
+    rng.shuffle(texts)
+    got = sharding.shard(docs(spark, texts), 6).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    by = defaultdict(set)
+    for doc_id, s in zip(got["doc_id"], got["shard"]):
+        by[texts[doc_id]].add(s)
+    target = got["size"].sum() / 6
+    bytes_of = {t: sum(len(x.encode()) + 8 for x in texts if x == t) for t in by}
+    assert len(got) == len(texts) and all(len(s) == 1 for t, s in by.items() if bytes_of[t] <= target)
+    assert max(len(s) for s in by.values()) > 1  # the one that no shard can hold
+    assert sizes.max() - sizes.min() <= 2 * sharding.LARGE * target + 2 * got["size"].max()
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_large_groups_are_placed_by_size_and_the_rest_levels_the_shards():
+    parts, loads = sharding.placed_first([(1, 50), (2, 250), (3, 30)], 4, 400)
+    assert [b for _, b in parts[2]] == [100, 200, 250] and sum(loads) == 330 and len(parts[1]) == len(parts[3]) == 1
+    cuts = sharding.level_cuts(loads, 70)
+    assert cuts[-1] == 70 and [c - b + load for c, b, load in zip(cuts, [0, *cuts], loads)] == [100] * 4
+    assert sharding.level_cuts([0, 0], 0) == [0, 0] and sharding.level_cuts([90, 0, 0], 10) == [0, 5, 10]
+
+
 # html
 
 
@@ -461,6 +490,14 @@ def test_pages_without_article_use_the_distribution():
     assert got.count("\n\n") == 4 and "link" not in got and "tiny" not in got
 
 
+def test_links_are_seen_through_any_depth_of_markup():
+    body = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(4))
+    deep = lambda n: "<a href=x>" + "<b><i><u><em>" * n + "one of the links " * 3 + "</em></u></i></b>" * n + "</a>"
+    for n in (0, 1, 5):
+        page = f"<body>{body}" + "".join(f"<div><p>{deep(n)}</p></div>" for _ in range(4)) + "</body>"
+        assert "links" not in html_blocks.main_text(page) and html_blocks.main_text(page).count("\n\n") == 3
+
+
 def test_small_stretches_of_the_text_stay_on_pages_without_article():
     para = [f"<p>{'word ' * 200}{i}</p>" for i in range(4)]
     gap = "<div class=ad>Buy</div>" * 5
