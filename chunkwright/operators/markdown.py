@@ -262,3 +262,33 @@ def normalise(docs: DataFrame) -> DataFrame:
         n(1).alias("headings_demoted"), n(4).alias("list_items_normalized"), "blank_lines_removed", F.coalesce("found", F.lit(0)).alias("tables_found"), F.coalesce("converted", F.lit(0)).alias("tables_converted"),
         (F.coalesce("found", F.lit(0)) - F.coalesce("converted", F.lit(0))).alias("tables_preserved"),
     )
+
+
+# R17
+
+
+def refined(docs: DataFrame, structures: tuple[str, str, str], preset: tuple) -> DataFrame:
+    """doc_id, digest, n_chars, counts of structures and sections, and the four scores with their mean.
+
+    The whole chain: to_markdown, normalise, structures (patterns of code blocks, tables and lists)
+    counted in what is normal, then the preset's rules in order.
+    """
+    normal = normalise(to_markdown(docs)).select("doc_id", F.col("text").alias("normal"))
+    text = F.col("normal")
+    for rule in preset:
+        text = column(text, rule)
+    both = normal.join(docs.select("doc_id", F.length("text").alias("before")), "doc_id").select("doc_id", "normal", "before", text.alias("text"))
+    counted = lambda name, pattern: F.size(F.regexp_extract_all(name, F.lit(pattern), F.lit(0))).cast("long")
+    code, table, items = structures
+    found = both.select(
+        "doc_id", "before", F.md5("text").alias("digest"), F.length("text").alias("n_chars"), counted("normal", code).alias("code_blocks"), counted("normal", "(?dm)" + table).alias("tables"), counted("normal", "(?dm)" + items).alias("lists"),
+        counted("text", "(?dm)^#{1,6}[ \\t]+[^\\n]+").alias("sections"),
+    )
+    some, headed = F.col("code_blocks") + F.col("tables") + F.col("lists") > 0, F.col("sections") > 0
+    cut, none = 1 - F.col("n_chars") / F.col("before"), F.col("before") == 0
+    structure = F.when(some & headed, 0.9).when(some | headed, 0.7).otherwise(0.5)
+    cleanup = F.when(none, 1.0).when(cut.between(0.05, 0.2), 0.9).when((cut >= 0) & (cut < 0.05), 0.8).when((cut > 0.2) & (cut <= 0.35), 0.7).otherwise(0.5)
+    retention = F.when(none, 1.0).otherwise(F.least(F.lit(1.0), F.col("n_chars") / F.col("before")))
+    scored = found.withColumns({"structure": structure, "cleanup": cleanup, "kept": retention, "confidence": F.lit(0.75)})
+    mean = (F.col("structure") + F.col("cleanup") + F.col("kept") + F.col("confidence")) / 4
+    return scored.select("doc_id", "digest", "n_chars", "code_blocks", "tables", "lists", "sections", "structure", "cleanup", F.round("kept", 9).alias("retention"), "confidence", F.round(mean, 6).alias("overall"))

@@ -34,12 +34,15 @@ _OUT = f"""CASE WHEN code THEN line
  WHEN contains(t, 'embedded:img_') THEN t WHEN regexp_matches(t, '(?i)\\[img_?(\\d+)\\]') THEN '![image](embedded:img_' || regexp_extract(t, '(?i)\\[img_?(\\d+)\\]', 1) || ')' ELSE line END"""
 
 
+_ISLANDS = f"""src AS (SELECT doc_id, {_PLAIN} AS text FROM decorated), l AS (SELECT *, trim(line, {_B}) AS t FROM ({_LINES('src')})),
+ f AS (SELECT *, starts_with(t, '```') OR starts_with(t, '~~~') AS fence FROM l), c AS (SELECT *, fence OR sum(CAST(fence AS INT)) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS code FROM f),
+ m AS (SELECT *, NOT code AND {_PIPES('t')} >= 2 AND NOT starts_with(t, '>') AS member FROM c), s AS (SELECT *, CASE WHEN member THEN i - row_number() OVER (PARTITION BY doc_id, member ORDER BY i) END AS island FROM m),
+ p AS (SELECT *, bool_or(regexp_matches(t, '^\\|?\\s*[-:]+\\s*\\|')) OVER (PARTITION BY doc_id, island) AS ruled, count(*) OVER (PARTITION BY doc_id, island) AS n, row_number() OVER (PARTITION BY doc_id, island ORDER BY i) AS place FROM s)"""
+
+
 @query(
     "m01_markdown",
-    f"""WITH {DUCK_DECORATED}, src AS (SELECT doc_id, {_PLAIN} AS text FROM decorated), l AS (SELECT *, trim(line, {_B}) AS t FROM ({_LINES('src')})),
-    f AS (SELECT *, starts_with(t, '```') OR starts_with(t, '~~~') AS fence FROM l), c AS (SELECT *, fence OR sum(CAST(fence AS INT)) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS code FROM f),
-    m AS (SELECT *, NOT code AND {_PIPES('t')} >= 2 AND NOT starts_with(t, '>') AS member FROM c), s AS (SELECT *, CASE WHEN member THEN i - row_number() OVER (PARTITION BY doc_id, member ORDER BY i) END AS island FROM m),
-    p AS (SELECT *, bool_or(regexp_matches(t, '^\\|?\\s*[-:]+\\s*\\|')) OVER (PARTITION BY doc_id, island) AS ruled, count(*) OVER (PARTITION BY doc_id, island) AS n, row_number() OVER (PARTITION BY doc_id, island ORDER BY i) AS place FROM s),
+    f"""WITH {DUCK_DECORATED}, {_ISLANDS},
     o AS (SELECT doc_id, string_agg({_OUT}, chr(10) ORDER BY i) AS text FROM p GROUP BY doc_id) SELECT doc_id, {duckdb('text', RULES['markdown_spacing'])} AS text FROM o""",
 )
 def plain_to_markdown(spark, sf_dir):
@@ -101,6 +104,33 @@ def normaliser_actions(spark, sf_dir):
     return M.normalise(irregular(spark, sf_dir)).select("doc_id", F.explode("actions").alias("a")).select("doc_id", "a.*")
 
 
+# R17 whole: conversion, normalisation, structures, preset, whitespace, sections, scores
+
+_LISTS = r"(?:^[ \t]*(?:[-*+]|\d+\.)[ \t]+[^\n]*(?:\n|\z)){3,}"
+_TABLE = r"^\|[^\n]+\|\n\|[-:|\t ]+\|\n(?:\|[^\n]+\|(?:\n|\z))+"
+_STRUCTURES = ("```(\\w+)?[ \\t]*\\n([\\s\\S]*?)```", _TABLE, _LISTS)
+_STANDARD = (RULES["clean_noise"], RULES["normalize_whitespace"], RULES["normalize_whitespace"])
+_AFTER = "text"
+for _rule in _STANDARD:
+    _AFTER = duckdb(_AFTER, _rule)
+
+
+@query(
+    "r17_refined_documents",
+    f"""WITH RECURSIVE {DUCK_DECORATED}, {_ISLANDS}, o AS (SELECT doc_id, string_agg({_OUT}, chr(10) ORDER BY i) AS text FROM p GROUP BY doc_id), converted AS (SELECT doc_id, {duckdb('text', RULES['markdown_spacing'])} AS text FROM o),
+    {_CHAIN.split("AS text FROM decorated), ", 1)[1].replace("FROM src)", "FROM converted)")},
+    y17 AS (SELECT n6.doc_id, src.text AS raw, n6.text AS normal, n6.text AS text FROM n6 JOIN src USING (doc_id)), z17 AS (SELECT doc_id, raw, normal, {_AFTER} AS text FROM y17),
+    q17 AS (SELECT doc_id, text, length(raw) AS before, length(text) AS after, len(regexp_extract_all(normal, '{_STRUCTURES[0]}')) AS code_blocks, len(regexp_extract_all(normal, '(?m){_TABLE}')) AS tables, len(regexp_extract_all(normal, '(?m){_LISTS}')) AS lists, len(regexp_extract_all(text, '(?m)^#{{1,6}}[ \\t]+[^\\n]+')) AS sections FROM z17),
+    r17 AS (SELECT *, CASE WHEN before = 0 THEN 0e0 ELSE 1 - after / before::DOUBLE END AS cut, CASE WHEN code_blocks + tables + lists > 0 AND sections > 0 THEN 0.9e0 WHEN code_blocks + tables + lists > 0 OR sections > 0 THEN 0.7e0 ELSE 0.5e0 END AS structure FROM q17),
+    s17 AS (SELECT *, CASE WHEN before = 0 THEN 1e0 WHEN cut BETWEEN 0.05e0 AND 0.2e0 THEN 0.9e0 WHEN cut >= 0 AND cut < 0.05e0 THEN 0.8e0 WHEN cut > 0.2e0 AND cut <= 0.35e0 THEN 0.7e0 ELSE 0.5e0 END AS cleanup, CASE WHEN before = 0 THEN 1e0 ELSE least(1e0, after / before::DOUBLE) END AS retention FROM r17)
+    SELECT doc_id, md5(text) AS digest, after AS n_chars, code_blocks, tables, lists, sections, structure, cleanup, round(retention, 9) AS retention, 0.75e0 AS confidence, round((structure + cleanup + retention + 0.75e0) / 4, 6) AS overall FROM s17""",
+)
+def refined_documents(spark, sf_dir):
+    """R17 in full: plain lines to markdown (M01-M06), normalisation (N01-N07), structures, the standard preset, whitespace, sections, scores."""
+    src = decorated(spark, sf_dir).select("doc_id", F.expr(_PLAIN.replace("chr(10)", "'\\n'")).alias("text"))
+    return M.refined(src, _STRUCTURES, _STANDARD)
+
+
 #: Tables by part brand: ragged rows, pipes, blanks and an alignment for each of some columns.
 _CELLS = """CASE WHEN n_nationkey % 4 = 0 THEN array(CAST(n_nationkey AS STRING), concat(n_name, ' | x'), 'a', 'b') WHEN n_nationkey % 4 = 1 THEN array(n_name) WHEN n_nationkey % 4 = 2 THEN array(concat(' ', n_name, chr(10), 'y'), NULL) ELSE array('k', 'v', 'w') END"""
 _DUCK_CELLS = "CASE WHEN n_nationkey % 4 = 0 THEN [CAST(n_nationkey AS VARCHAR), n_name || ' | x', 'a', 'b'] WHEN n_nationkey % 4 = 1 THEN [n_name] WHEN n_nationkey % 4 = 2 THEN [' ' || n_name || chr(10) || 'y', NULL] ELSE ['k', 'v', 'w'] END"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.functions import scores as S
 from chunkwright.functions.rewrite import quoted
-from chunkwright.plans.corpora import DUCK_CHUNKS, DUCK_DECORATED, chunks, decorated
+from chunkwright.plans.corpora import DUCK_CHUNKS, DUCK_DECORATED, chunks, decorated, table
 from chunkwright.plans.registry import query
 
 _IN = lambda words: "(" + ", ".join(map(quoted, words)) + ")"
@@ -97,7 +97,7 @@ _REPORT_SQL = f"""measured AS (SELECT doc_id, count(*) AS n,
   avg({_NUM(_ANY('content', ['#', '- ', '1.', '•']))}) AS structure,
   coalesce(avg(CASE WHEN content_next IS NOT NULL THEN {_CONTINUITY} END), 1e0) AS continuity,
   avg({_NUM(_ANY('content', ['see', 'refer', 'above', 'below']))}) AS reference_integrity,
-  1e0 AS metadata_richness FROM pairs GROUP BY doc_id)"""
+  any_value(rich) AS metadata_richness FROM pairs JOIN (SELECT doc_id, CASE WHEN coalesce(source, '') <> '' AND n_chars > 0 THEN 1e0 ELSE 0e0 END AS rich FROM documents) USING (doc_id) GROUP BY doc_id)"""
 _MEASURES = "completeness coherence consistency boundary size_distribution overlap density keyword_richness factual redundancy structure continuity reference_integrity metadata_richness".split()
 _OVERALL = (
     "0.4e0 * (completeness + coherence + consistency + boundary + size_distribution) / 5 + 0.3e0 * (density + keyword_richness + factual + (1 - redundancy)) / 4 "
@@ -108,10 +108,17 @@ _OVERALL = (
 @query("q15_document_quality", f"WITH {DUCK_CHUNKS}, {_PAIRS}, {_REPORT_SQL} SELECT doc_id, n, {', '.join(f'round({m}, 9) AS {m}' for m in _MEASURES)}, round({_OVERALL}, 9) AS overall FROM measured")
 def document_quality(spark, sf_dir):
     """Q01-Q15 by document: averages, spread of sizes, neighbours, overall score."""
-    return document_measures(chunks(spark, sf_dir)).select("doc_id", "n", *[F.round(m, 9).alias(m) for m in _MEASURES], F.round(F.expr(_OVERALL), 9).alias("overall"))
+    return document_measures(chunks(spark, sf_dir), files(spark, sf_dir)).select("doc_id", "n", *[F.round(m, 9).alias(m) for m in _MEASURES], F.round(F.expr(_OVERALL), 9).alias("overall"))
 
 
-def document_measures(frame):
+def files(spark, sf_dir):
+    """doc_id, rich: whether a document's metadata name its source and a size (Q14)."""
+    named = (F.coalesce("source", F.lit("")) != "") & F.coalesce(F.col("n_chars") > 0, F.lit(False))
+    return table(spark, sf_dir, "documents").select("doc_id", S.number(named).alias("rich"))
+
+
+def document_measures(frame, metadata):
+    """Q01-Q15 of chunks (doc_id, chunk_index, content); metadata: doc_id, rich."""
     frame, parts = S.derived(frame)
     pairs = neighbour_columns(frame, S.word_set(parts))
     c, nxt = F.col("content"), F.col("content_next")
@@ -120,15 +127,16 @@ def document_measures(frame):
     boundary = 0.5 + 0.25 * S.number(S.ends_sentence(parts.trimmed)) + 0.25 * S.number(S.starts_upper(S.trimmed(nxt)))
     flow = F.least(F.lit(1.0), overlap + 0.2 * S.number(S.contains_any(nxt, S.CONNECTORS)))
     n_words, size = F.sum(F.size(parts.words)), F.length(c)
-    return pairs.groupBy("doc_id").agg(
+    measured = pairs.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.avg(S.completeness(parts)).alias("completeness"), F.avg(S.coherence(parts)).alias("coherence"),
         F.when(F.count("*") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.var_pop(size) / 100000)).alias("consistency"),
         pair(boundary, 1.0).alias("boundary"), F.greatest(F.lit(0.0), 1 - F.stddev_pop(size) / F.avg(size)).alias("size_distribution"), pair(overlap, 1.0).alias("overlap"),
         F.avg(S.density(parts)).alias("density"), F.when(n_words > 0, F.least(F.lit(1.0), 10 * F.sum(S.count_contained(parts.low, S.KEYWORDS)) / n_words)).otherwise(0.0).alias("keyword_richness"),
         F.avg(S.number(c.rlike("[0-9]") | S.contains_any(c, ["percent", "result", "data"]))).alias("factual"), pair(overlap, 0.0).alias("redundancy"),
         F.avg(S.number(S.contains_any(c, ["#", "- ", "1.", "•"]))).alias("structure"), pair(flow, 1.0).alias("continuity"),
-        F.avg(S.number(S.contains_any(c, ["see", "refer", "above", "below"]))).alias("reference_integrity"), F.lit(1.0).alias("metadata_richness"),
+        F.avg(S.number(S.contains_any(c, ["see", "refer", "above", "below"]))).alias("reference_integrity"),
     )
+    return measured.join(metadata.select("doc_id", F.col("rich").alias("metadata_richness")), "doc_id")
 
 
 #: Measure, its threshold, advice, expected improvement.
@@ -141,7 +149,7 @@ _ADVICE_SQL = " UNION ALL ".join(
 @query("q16_recommendations", f"WITH {DUCK_CHUNKS}, {_PAIRS}, {_REPORT_SQL} {_ADVICE_SQL}")
 def recommendations(spark, sf_dir):
     rows = F.array(*[F.when((F.col(m) > -t) if t < 0 else (F.col(m) < t), F.struct(F.lit(m).alias("measure"), F.lit(text).alias("advice"), F.lit(gain).alias("improvement"))) for m, t, text, gain in ADVICE])
-    return document_measures(chunks(spark, sf_dir)).select("doc_id", F.explode(F.array_compact(rows)).alias("x")).select("doc_id", "x.*")
+    return document_measures(chunks(spark, sf_dir), files(spark, sf_dir)).select("doc_id", F.explode(F.array_compact(rows)).alias("x")).select("doc_id", "x.*")
 
 
 _KIND = f"""CASE WHEN {_T} = '' THEN 'text' WHEN starts_with({_T}, '```') OR {_ANY(_T, ['function ', 'class ', 'def ', 'public ', 'private '])} THEN 'code'
