@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkwright.functions.arrays import bound
 from chunkwright.functions.rewrite import BLANKS
 from chunkwright.functions.scores import contains_any, words
 
@@ -80,9 +81,16 @@ def document_type(text: Column) -> Column:
 
 
 def category_scores(text: Column) -> dict[str, Column]:
-    low, n = F.lower(text), F.size(words(text))
-    hits = lambda terms: F.size(F.regexp_extract_all(low, F.lit(r"\b(?:" + "|".join(terms.split()) + r")\b"), F.lit(0)))
-    return {c: F.when(n > 0, F.least(F.lit(1.0), hits(terms) / n * 100)).otherwise(0.0) for c, terms in CATEGORIES.items()}
+    """One split into words; only those of any category are looked at again."""
+    n = F.size(words(text))
+    known = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w.isin(sorted({t for terms in CATEGORIES.values() for t in terms.split()})))
+
+    def shares(x: Column) -> Column:
+        hits = lambda terms: F.size(F.filter(x["known"], lambda w: w.isin(terms.split())))
+        return F.struct(*[F.when(x["n"] > 0, F.least(F.lit(1.0), hits(terms) / x["n"] * 100)).otherwise(0.0).alias(c) for c, terms in CATEGORIES.items()])
+
+    found = bound(F.struct(n.alias("n"), known.alias("known")), shares)
+    return {c: found[c] for c in CATEGORIES}
 
 
 #: What a file type multiplies a category's score by, and subtypes: all of whose words a text holds (any of several lots), in order.

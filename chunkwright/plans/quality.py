@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chunkwright.functions import scores as S
+from chunkwright.operators.heavy import counted
 from chunkwright.functions.rewrite import quoted
 from chunkwright.plans.analysis import _CODE, _END, _FULL, _LIST, _NUM, _SENT, _START, _T, full, sentences
 from chunkwright.plans.corpora import CHUNK, DUCK_CHUNKS, chunks, table
@@ -86,7 +87,8 @@ def chunk_measures(frame):
     near = F.flatten(F.concat(F.collect_list("t").over(order.rowsBetween(-2, -1)), F.collect_list("t").over(order.rowsBetween(1, 2))))
     a = a.withColumns({"u": F.array_distinct("t"), "st": F.transform("s", lambda x: F.array_distinct(terms(x))), "before": F.lag("content").over(order), "near": near, "n": F.count("*").over(Window.partitionBy("doc_id"))})
     most = F.least(F.length("before"), F.length(c), F.lit(256))
-    lap = F.expr("coalesce(array_max(filter(sequence(1, least(length(before), length(content), 256)), k -> k > 20 AND right(before, k) = left(content, k))), 0)")
+    # the ends that can overlap are cut off once, so that each length compares 256 characters at most
+    lap = F.expr("transform(array(struct(right(before, 256) AS b, left(content, 256) AS h)), x -> coalesce(array_max(filter(sequence(1, least(length(x.b), length(x.h))), k -> k > 20 AND right(x.b, k) = left(x.h, k))), 0))[0]")
     low = F.lower(c)
     flow = F.lit(False)
     for word in CONTINUITY:
@@ -128,12 +130,16 @@ def report(frame, docs):
     me = m.groupBy("doc_id").agg(
         F.count("*").alias("n_chunks"), *mean("sentence", "thought", "orphan", "bound", "nearby", "dense", "redundant", "uniq", "alone", "rich", "summary", "match", "starts", "ends"), *paired("lap", "flow", "refs", "transition"),
         F.sum(F.expr("header + listed + code + tab")).alias("whole"), F.sum("broken").alias("broken"), F.avg("broken").alias("broken_share"), (F.sum(F.length("content")) + F.count("*") - 1).alias("chars_kept"), F.sum("n_sentences").alias("n_sentences"),
+        F.flatten(F.collect_list("t")).alias("every"), F.collect_list(F.md5("content")).alias("digests"),
     )
-    counts = frame.select("doc_id", F.explode(terms(F.col("content"))).alias("x")).groupBy("doc_id", "x").agg(F.count("*").alias("c")).groupBy("doc_id")
-    entropy = counts.agg(F.when(F.count("*") > 1, (F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")) / F.log2(F.greatest(F.lit(2), F.count("*")))).otherwise(0.0).alias("entropy"))
-    repeated = frame.groupBy("doc_id", F.md5("content").alias("k")).agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("repeated"))
+    # within a document's row: what its terms and digests occur how often
+    me = me.withColumns({"counts": F.transform(counted(F.col("every")), lambda x: x["n"].cast("long")), "copies": F.transform(counted(F.col("digests")), lambda x: x["n"].cast("long"))}).drop("every", "digests")
+    total = lambda c, of: F.aggregate(c, F.lit(0.0), lambda a, x: a + of(x))
+    held, logs = total("counts", lambda x: x), total("counts", lambda x: x * F.log2(x))
+    entropy = F.when(F.size("counts") > 1, (F.log2(held) - logs / held) / F.log2(F.size("counts"))).otherwise(0.0)
+    me = me.withColumns({"entropy": entropy, "repeated": F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + F.when(c > 1, c).otherwise(0))})
     original = docs.where("length(text) > 0").select("doc_id", F.length("text").alias("chars"), F.size(sentences(F.col("text"))).alias("n_original"))
-    sc = me.join(original, "doc_id").join(repeated, "doc_id").join(entropy, "doc_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+    sc = me.join(original, "doc_id")
     one = F.col("n_chunks") < 2
     sc = sc.withColumns({
         "semantic": F.expr("0.3D * sentence + 0.3D * thought + 0.2D * (1 - orphan) + 0.2D * bound"), "context": F.when(one, 1.0).otherwise(F.expr("0.3D * lap + 0.3D * flow + 0.2D * refs + 0.2D * nearby")),
