@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes for each core below which a table is dealt out anew: its few row groups would keep few cores busy.
+SMALL = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of few bytes for each core is dealt out over all cores, larger ones stay as they are stored."""
+    path = f"{sf_dir}/{name}.parquet"
+    found = spark.read.parquet(path)
+    jvm_path, cores = spark._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext.defaultParallelism
+    size = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path).getLength()
+    return found.repartition(cores) if (1 << 20) < size < SMALL * cores else found
 
 
 #: What a line becomes, by (place in its document + doc_id) mod 20; l is the line, i its place from 0. Every line stays whole.

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chunkwright.functions import scores as S
+from chunkwright.functions.arrays import bound
 from chunkwright.operators.heavy import counted
 from chunkwright.functions.rewrite import quoted
 from chunkwright.plans.analysis import _CODE, _END, _FULL, _LIST, _NUM, _SENT, _START, _T, full, sentences
@@ -64,7 +65,8 @@ def terms(text):
 
 
 def similar(a, b):
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Jaccard similarity of two sets (arrays of distinct elements)."""
+    return bound(F.size(F.array_intersect(a, b)), lambda common: F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / (F.size(a) + F.size(b) - common)))
 
 
 def redundancy(sets):
@@ -72,7 +74,7 @@ def redundancy(sets):
     n = F.size(sets)
 
     def ahead(a, i):
-        alike = lambda s, b: s + F.when(similar(a, b) > 0.7, similar(a, b)).otherwise(0.0)
+        alike = lambda s, b: s + bound(similar(a, b), lambda x: F.when(x > 0.7, x).otherwise(0.0))
         return F.aggregate(F.slice(sets, i + 2, n), F.lit(0.0), alike)
 
     total = F.aggregate(F.transform(sets, ahead), F.lit(0.0), lambda s, x: s + x)
