@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwright.functions import lines as L
+from chunkwright.functions.arrays import kept_by
 from chunkwright.functions.rewrite import RULES, column
 from chunkwright.functions.scores import trimmed
 
@@ -171,13 +172,12 @@ def _changed(stage: int, kind: str, before: Column, after: Column) -> Column:
 
 def _folded(lines: Column, step) -> Column:
     """A fold that rewrites lines with a level carried on: step(level, line) gives (level, line)."""
-    start = F.struct(F.lit(-1).alias("level"), F.array().cast("array<string>").alias("out"))
 
-    def fold(a: Column, x: Column) -> Column:
+    def kept(a: Column, x: Column) -> tuple:
         level, line = step(a["level"], x)
-        return F.struct(level.cast("int").alias("level"), F.concat(a["out"], F.array(line)).alias("out"))
+        return {"level": level.cast("int")}, F.lit(True), line
 
-    return F.aggregate(lines, start, fold, lambda a: a["out"])
+    return kept_by(lines, {"level": F.lit(-1)}, kept, "string")
 
 
 def _heading_step(last: Column, x: Column, first: int = 2, jump: int = 1) -> tuple[Column, Column]:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from chunkwright.functions import lines as L
 from chunkwright.functions import scores as S
 from chunkwright.functions.rewrite import quoted
+from chunkwright.plans import metadata as P
 from chunkwright.plans.corpora import DUCK_CHUNKS, DUCK_DECORATED, chunks, decorated, table
-from chunkwright.plans.registry import query
+from chunkwright.plans.registry import ORACLES, query
 
 _B = "' ' || chr(9) || chr(13) || chr(10)"
 _T = f"trim(content, {_B})"
@@ -156,21 +157,23 @@ PROFILES = (
     ("Medical", 300, 500, 30, 60, "Paragraph"), ("Business", 400, 600, 40, 80, "Paragraph"), ("Creative", 500, 900, 50, 100, "Sentence"), ("General", 400, 700, 40, 80, "Auto"),
 )
 _PROFILE_ROWS = ", ".join(f"('{c}', {a}, {b}, {p}, {q}, '{s}')" for c, a, b, p, q, s in PROFILES)
-_CASES = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{p[0]}'" for i, p in enumerate(PROFILES)) + " END"
 _SIZE = "CASE WHEN complexity > 0.7 THEN least_tokens WHEN complexity < 0.3 THEN most_tokens ELSE (least_tokens + most_tokens) {div} 2 END"
+_STRATEGY = "CASE WHEN strategy = 'Paragraph' AND headers > 10 THEN 'Semantic' ELSE strategy END"
 
 
 @query(
     "d14_chunk_options",
-    f"WITH p(category, least_tokens, most_tokens, least_overlap, most_overlap, strategy) AS (VALUES {_PROFILE_ROWS}), d AS (SELECT doc_id, {_CASES} AS category, (length(text) % 10) / 10e0 AS complexity, contains(text, '|') AS has_tables FROM documents) "
-    f"SELECT doc_id, category, strategy, CAST(floor(({_SIZE.format(div='//')}) * CASE WHEN has_tables THEN 1.5 ELSE 1 END) AS BIGINT) AS max_tokens, (least_overlap + most_overlap) // 2 AS overlap FROM d JOIN p USING (category)",
+    f"WITH p(category, least_tokens, most_tokens, least_overlap, most_overlap, strategy) AS (VALUES {_PROFILE_ROWS}), c AS ({ORACLES['d12_category']}), x AS ({ORACLES['d13_complexity']}), d AS (SELECT doc_id, contains(text, '|') AS has_tables, len(regexp_extract_all(text, '(?m)^#{{1,6}}\\s')) AS headers FROM documents WHERE text IS NOT NULL) "
+    f"SELECT doc_id, category, {_STRATEGY} AS strategy, CAST(floor(({_SIZE.format(div='//')}) * CASE WHEN has_tables THEN 1.5 ELSE 1 END) AS BIGINT) AS max_tokens, (least_overlap + most_overlap) // 2 AS overlap FROM d JOIN c USING (doc_id) JOIN x USING (doc_id) JOIN p USING (category)",
 )
 def chunk_options(spark, sf_dir):
-    """A join to the eight-row profile table, which is broadcast; complexity is given."""
+    """D14 over D12 and D13: the category's profile (eight rows, broadcast), its size by the text's complexity, tables and headings."""
     profiles = F.broadcast(spark.createDataFrame(PROFILES, "category string, least_tokens int, most_tokens int, least_overlap int, most_overlap int, strategy string"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CASES).alias("category"), (F.length("text") % 10 / 10.0).alias("complexity"), F.col("text").contains("|").alias("has_tables"))
+    t = F.col("text")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", t.contains("|").alias("has_tables"), F.size(F.regexp_extract_all(t, F.lit(r"(?dm)^#{1,6}\s"), F.lit(0))).alias("headers"))
+    d = d.join(P.category(spark, sf_dir).select("doc_id", "category"), "doc_id").join(P.complexity(spark, sf_dir).select("doc_id", "complexity"), "doc_id")
     size = F.floor(F.expr(_SIZE.format(div="div")) * F.when(F.col("has_tables"), 1.5).otherwise(1.0))
-    return d.join(profiles, "category").select("doc_id", "category", "strategy", size.alias("max_tokens"), F.expr("(least_overlap + most_overlap) div 2").alias("overlap"))
+    return d.join(profiles, "category").select("doc_id", "category", F.expr(_STRATEGY).alias("strategy"), size.alias("max_tokens"), F.expr("(least_overlap + most_overlap) div 2").alias("overlap"))
 
 
 #: Names and what they stand for.

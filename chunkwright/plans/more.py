@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.functions import models
 from chunkwright.functions import scores as S
+from chunkwright.functions.arrays import kept_by
 from chunkwright.operators import enrichment as N
 from chunkwright.plans.corpora import DUCK_CONVERSATIONS, DUCK_DECORATED, conversations_markdown, decorated, table
 from chunkwright.plans.registry import query
@@ -106,13 +107,12 @@ def list_indents(spark, sf_dir):
     """Indents after repair: more than four deeper than the last item's repaired one becomes two deeper; other lines start anew. A fold over the lines that count."""
     lines = F.filter(F.split("text", "\n"), lambda x: S.trimmed(x) != "")
     marks = F.transform(lines, lambda x: F.when(x.rlike(_ITEM), F.length(F.regexp_extract(x, _ITEM, 1))).otherwise(-1))
-    start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("out"))
 
-    def fold(a, x):
+    def step(a, x):
         now = F.when((a["last"] >= 0) & (x > a["last"] + 4), a["last"] + 2).otherwise(x)
-        return F.when(x < 0, F.struct(F.lit(-1).alias("last"), a["out"].alias("out"))).otherwise(F.struct(now.alias("last"), F.concat(a["out"], F.array(now)).alias("out")))
+        return {"last": F.when(x < 0, -1).otherwise(now)}, x >= 0, now
 
-    d = decorated(spark, sf_dir).select("doc_id", F.aggregate(marks, start, fold, lambda a: a["out"]).alias("o"))
+    d = decorated(spark, sf_dir).select("doc_id", kept_by(marks, {"last": F.lit(-1)}, step, "int").alias("o"))
     return d.where("size(o) > 0").select("doc_id", F.array_join(F.col("o").cast("array<string>"), ",").alias("indents"))
 
 

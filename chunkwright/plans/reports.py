@@ -168,17 +168,32 @@ def duplicates(spark, sf_dir):
     return c.join(repeated, "k", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("copies").alias("repeated"), F.round(1 - F.count("copies") / F.count("*"), 6).alias("unique_share"))
 
 
-_QUICK = f"""(CAST(regexp_matches({_T}, '[.!?:]\\z') AS INT) + CAST(length(content) > 50 AS INT) + CAST(len(list_filter(string_split_regex(content, '[.!?]'), lambda s: length(trim(s)) > 10)) > 1 AS INT) + CAST(regexp_matches({_T}, '\\A\\p{{Lu}}') AS INT) >= 3)"""
+_Q_WORDS = "list_filter(string_split_regex(content, '[ \\t\\n\\r]'), lambda w: w <> '')"
+_Q_SENTENCES = f"len(list_filter(string_split_regex({_T}, '[.!?]'), lambda s: length(trim(s, ' ' || chr(9) || chr(13) || chr(10))) > 10))"
+_Q_POINTS = f"(CAST(regexp_matches({_T}, '[.!?:]$') AS INT) + CAST(length({_T}) > 50 AS INT) + CAST({_Q_SENTENCES} > 1 AS INT) + CAST(regexp_matches({_T}, '^\\p{{Lu}}') AS INT))"
 
 
-@query("e10_quick_score", f"WITH {DUCK_CHUNKS} SELECT doc_id, round(avg(CASE WHEN {_QUICK} THEN 1e0 ELSE 0e0 END), 6) AS complete, round(avg(len(list_filter(string_split(content, ' '), lambda w: length(w) > 2)) / greatest(1, len(list_filter(string_split(content, ' '), lambda w: w <> '')))), 6) AS density FROM chunks GROUP BY doc_id")
+@query(
+    "e10_quick_score",
+    f"""WITH {DUCK_CHUNKS}, b AS (SELECT *, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before, {_Q_WORDS} AS w FROM chunks), k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(before), length(content), 256) + 1), lambda k: right(before, k) = left(content, k))), 0) AS k, least(128, least(length(before), length(content)) // 4) AS want FROM b),
+    o AS (SELECT *, CASE WHEN before IS NULL THEN NULL WHEN k = 0 THEN 0e0 ELSE least(1e0, CASE WHEN want = 0 THEN 1e0 ELSE least(1e0, k / want) END * CASE WHEN regexp_matches(left(content, CAST(k AS BIGINT)), '[.!?]') THEN 1.2e0 ELSE 1e0 END) END AS lap FROM k),
+    m AS (SELECT doc_id, avg(CASE WHEN {_Q_POINTS} >= 3 THEN 1e0 ELSE 0e0 END) AS complete, coalesce(avg(lap), 0e0) AS overlap, coalesce(avg(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 2)) / len(w) END), 0e0) AS density FROM o GROUP BY doc_id)
+    SELECT doc_id, round(complete, 6) AS complete, round(overlap, 6) AS overlap, round(density, 6) AS density, round(0.4e0 * complete + 0.3e0 * overlap + 0.3e0 * density, 6) AS overall FROM m""",
+)
 def quick_score(spark, sf_dir):
+    """Chunks that look complete, overlap against what is expected (more if it holds a sentence end), density of words, and their weighted sum."""
     c = F.col("content")
     t = S.trimmed(c)
-    full = F.size(F.filter(F.split(c, "[.!?]"), lambda s: F.length(F.trim(s)) > 10)) > 1
-    points = t.rlike(r"[.!?:]\z").cast("int") + (F.length(c) > 50).cast("int") + full.cast("int") + t.rlike(r"\A\p{Lu}").cast("int")
-    density = F.size(F.filter(F.split(c, " "), lambda w: F.length(w) > 2)) / F.greatest(F.lit(1), F.size(S.words(c)))
-    return chunks(spark, sf_dir).groupBy("doc_id").agg(F.round(F.avg(S.number(points >= 3)), 6).alias("complete"), F.round(F.avg(density), 6).alias("density"))
+    full = F.size(F.filter(F.split(t, "[.!?]"), lambda s: F.length(S.trimmed(s)) > 10)) > 1
+    points = t.rlike(r"[.!?:]\z").cast("int") + (F.length(t) > 50).cast("int") + full.cast("int") + t.rlike(r"\A\p{Lu}").cast("int")
+    found = chunks(spark, sf_dir).withColumns({"before": F.lag("content").over(Window.partitionBy("doc_id").orderBy("chunk_index")), "w": F.filter(F.split(c, r"[ \t\n\r]"), lambda w: w != "")})
+    lap = F.expr("transform(array(struct(right(before, 256) AS b, left(content, 256) AS h)), x -> coalesce(array_max(filter(sequence(1, least(length(x.b), length(x.h))), k -> right(x.b, k) = left(x.h, k))), 0))[0]")
+    found = found.withColumns({"k": F.when(F.col("before").isNotNull(), lap), "want": F.expr("least(128, least(length(before), length(content)) div 4)")})
+    share = F.when(F.col("want") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("k") / F.col("want"))) * F.when(F.left(c, F.col("k")).rlike("[.!?]"), 1.2).otherwise(1.0)
+    score = F.when(F.col("k") == 0, 0.0).when(F.col("k") > 0, F.least(F.lit(1.0), share))
+    dense = F.when(F.size("w") > 0, F.size(F.filter("w", lambda x: F.length(x) > 2)) / F.size("w"))
+    m = found.groupBy("doc_id").agg(F.avg(S.number(points >= 3)).alias("complete"), F.coalesce(F.avg(score), F.lit(0.0)).alias("overlap"), F.coalesce(F.avg(dense), F.lit(0.0)).alias("density"))
+    return m.select("doc_id", *[F.round(x, 6).alias(x) for x in ("complete", "overlap", "density")], F.round(F.expr("0.4D * complete + 0.3D * overlap + 0.3D * density"), 6).alias("overall"))
 
 
 @query("p04_batch_summary", "SELECT count(*) AS processed, count(*) FILTER (WHERE length(text) > 0) AS succeeded, count(*) FILTER (WHERE text IS NULL OR length(text) = 0) AS failed, CAST(sum(coalesce(ceil(length(text) / 1024.0), 0)) AS BIGINT) AS total_chunks FROM documents")
