@@ -67,7 +67,7 @@ class LineRule:
             to = to.replace("$1", "\\1").replace("$2", "\\2")
             found = f"list_transform({found}, lambda l: regexp_replace(l, {quoted(pattern)}, {quoted(to)}))"
         if self.distinct:
-            found = f"list_filter({found}, lambda l, i: list_position({found}, l) = i)"
+            found = f"list_transform([{found}], lambda f: list_filter(f, lambda l, i: list_position(f, l) = i))[1]"  # found is made once
         return f"array_to_string({found}, chr(10))"
 
 

@@ -117,9 +117,10 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def found_language(text: Column, declared: Column) -> Column:
-    """The language of the script, and for Latin script the declared one; English where that has no profile."""
-    by_script = script_profile(text)
-    return F.when(by_script != "en", by_script).when(declared.isin([p.code for p in PROFILES]), declared).otherwise("en")
+    """The language of the script, and for Latin script the declared one (its region left off, as in pt-BR); English where that has no profile."""
+    known = lambda base: F.when(base.isin([p.code for p in PROFILES]), base).otherwise("en")
+    by_declaration = bound(F.lower(F.regexp_extract(F.coalesce(declared, F.lit("")), "^[A-Za-z]+", 0)), known)
+    return bound(script_profile(text), lambda by_script: F.when(by_script != "en", by_script).otherwise(by_declaration))
 
 
 def with_rules(docs: DataFrame, declared: str = "lang") -> DataFrame:

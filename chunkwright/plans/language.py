@@ -111,7 +111,8 @@ _QUOTED = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '"
 _SAMPLE = "CASE doc_id % 11 " + " ".join(f"WHEN {k} THEN repeat({_QUOTED(s)}, 20)" for k, s in enumerate(SAMPLES.values())) + " END"
 _ENDING = "CASE doc_id % 4 WHEN 0 THEN ' End. ' WHEN 1 THEN ' (End.)' WHEN 2 THEN ' etc.' ELSE ' no end' END"
 _SPOKEN_TEXT = f"{_SAMPLE} || text || {_ENDING}"
-_DECLARED = f"element_at(array({', '.join(repr(k) for k in _KEYS)}), int(doc_id % 11 + 1))"
+#: Every other declaration names a region.
+_DECLARED = f"concat(element_at(array({', '.join(repr(k) for k in _KEYS)}), int(doc_id % 11 + 1)), CASE WHEN doc_id % 2 = 0 THEN '-XX' ELSE '' END)"
 _LANGUAGE = "[{}][doc_id % 11 + 1]".format(", ".join(repr(k) for k in _KEYS))
 _DUCK_SPOKEN = f"given AS (SELECT doc_id, {_SPOKEN_TEXT} AS text, {_LANGUAGE} AS language FROM documents WHERE text IS NOT NULL)"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chunkwright.functions.rewrite import RULES, column, duckdb
 from chunkwright.operators import chunking as C
 from chunkwright.operators import sections as X
 from chunkwright.plans.corpora import DUCK_CHUNKS, DUCK_CONVERSATIONS, DUCK_DECORATED, chunks, conversations_markdown, decorated, table
@@ -100,6 +101,48 @@ def tables(spark, sf_dir):
     return t.select("doc_id", rows[0].alias("header"), (F.size(F.filter(rows, lambda x: x != "")) - 2).alias("n_rows")).groupBy("doc_id", "header", "n_rows").agg(F.count("*").alias("n"))
 
 
+_TABLE = "^\\|.+\\|\\n\\|[-:\\s|]+\\|\\n(?:\\|.+\\|(?:\\n|\\z))+"
+_CELLS = lambda x: f"list_transform(list_filter(string_split({x}, '|'), lambda c: c <> ''), lambda c: trim(c, ' ' || chr(9) || chr(13)))"
+
+
+@query(
+    "x02_table_rows",
+    f"WITH {DUCK_DECORATED}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m){_TABLE}')) AS t, generate_subscripts(regexp_extract_all(text, '(?m){_TABLE}'), 1) - 1 AS k FROM decorated), l AS (SELECT doc_id, k, list_filter(string_split(t, chr(10)), lambda x: x <> '') AS l FROM t), "
+    f"r AS (SELECT doc_id, k, {_CELLS('l[1]')} AS h, unnest(l[3:]) AS line, generate_subscripts(l[3:], 1) - 1 AS i FROM l), c AS (SELECT *, {_CELLS('line')} AS c FROM r), z AS (SELECT doc_id, k, i, list_zip(h[1:least(len(h), len(c))], c[1:least(len(h), len(c))]) AS z FROM c) "
+    "SELECT doc_id, k, i, array_to_string(list_transform(list_filter(z, lambda e, j: NOT list_contains(list_transform(z[j + 1:], lambda y: y[1]), e[1])), lambda e: e[1] || '=' || e[2]), ';') AS cells FROM z",
+)
+def table_rows(spark, sf_dir):
+    """A row for each table row, its cells by header as far as both go; of equal headers the last counts."""
+    t = decorated(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?dm)" + _TABLE), F.lit(0))).alias("k", "t"))
+    cells = lambda x: F.transform(F.filter(F.split(x, r"\|"), lambda c: c != ""), lambda c: F.btrim(c, F.lit(" \t\r")))
+    lines = t.select("doc_id", "k", F.filter(F.split("t", "\n"), lambda x: x != "").alias("l"))
+    rows = lines.select("doc_id", "k", cells(F.get("l", F.lit(0))).alias("h"), F.posexplode(F.slice("l", 3, F.size("l"))).alias("i", "line")).withColumn("c", cells(F.col("line")))
+    n = F.least(F.size("h"), F.size("c"))
+    both = rows.select("doc_id", "k", "i", F.zip_with(F.slice("h", 1, n), F.slice("c", 1, n), lambda h, c: F.struct(h.alias("h"), c.alias("c"))).alias("z"))
+    last = F.filter("z", lambda e, j: ~F.array_contains(F.transform(F.slice("z", j + 2, F.size("z")), lambda y: y["h"]), e["h"]))
+    return both.select("doc_id", "k", "i", F.array_join(F.transform(last, lambda e: F.concat(e["h"], F.lit("="), e["c"])), ";").alias("cells"))
+
+
+#: Headings of two levels between the markers that chunkers leave.
+_MARKED = [(f"^{'#' * k} (.*)$", f"<!-- HEADING_START:H{k} -->{'#' * k} {{}}<!-- HEADING_END:H{k} -->") for k in (2, 4)]
+_LEVEL = "<!--\\s*HEADING_START:H(\\d+)\\s*-->"
+
+
+@query(
+    "x15_heading_levels",
+    f"WITH {DUCK_DECORATED}, m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m){_MARKED[0][0]}', '{_MARKED[0][1].format(chr(92) + '1')}', 'g'), '(?m){_MARKED[1][0]}', '{_MARKED[1][1].format(chr(92) + '1')}', 'g') AS text FROM decorated), "
+    "p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS i FROM m) "
+    f"SELECT doc_id, i, TRY_CAST(regexp_extract(part, '{_LEVEL}', 1) AS INT) AS level, md5({duckdb('part', RULES['strip_markers'])}) AS digest FROM p",
+)
+def heading_levels(spark, sf_dir):
+    """The level of a chunk's first heading marker is lifted before the markers are stripped; null without one."""
+    text = F.col("text")
+    for pattern, to in _MARKED:
+        text = F.regexp_replace(text, "(?dm)" + pattern, to.format("$1"))
+    parts = decorated(spark, sf_dir).select("doc_id", F.posexplode(F.split(text, "\n\n")).alias("i", "part"))
+    return parts.select("doc_id", "i", F.expr(f"try_cast(regexp_extract(part, '{_LEVEL.replace(chr(92), chr(92) * 2)}', 1) AS int)").alias("level"), F.md5(column(F.col("part"), RULES["strip_markers"])).alias("digest"))
+
+
 @query("c05_token_windows", f"WITH {DUCK_CHUNKS} SELECT doc_id, chunk_index, length(content) AS n_chars, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, md5(content) AS digest FROM chunks")
 def token_windows(spark, sf_dir):
     """Windows with overlap and their token estimate."""

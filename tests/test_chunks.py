@@ -84,9 +84,9 @@ def test_sentence_rules(spark, language, text, ends, complete):
 
 
 def test_language_comes_from_script_then_declaration(spark):
-    rows = [("한국어 문장입니다", "en"), ("plain text", "de"), ("plain text", "xx"), ("plain text", None), ("Это текст", None)]
+    rows = [("한국어 문장입니다", "en"), ("plain text", "de"), ("plain text", "xx"), ("plain text", None), ("Это текст", None), ("plain text", "pt-BR"), ("plain text", "FR_ca")]
     got = spark.createDataFrame(rows, "text string, lang string").select(V.found_language(F.col("text"), F.col("lang")).alias("l")).collect()
-    assert [r["l"] for r in got] == ["ko", "de", "en", "en", "ru"]
+    assert [r["l"] for r in got] == ["ko", "de", "en", "en", "ru", "pt", "fr"]
 
 
 def test_section_tree_chunks_are_bounded_linked_and_whole(spark):
