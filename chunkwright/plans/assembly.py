@@ -31,18 +31,18 @@ _B = "' ' || chr(9) || chr(13) || chr(10)"
 _SOURCE = "CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 7 = 1 THEN translate(plain, '.!?。！？', '      ') ELSE plain END"
 _PIECES = "list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])', '\\1' || chr(1), 'g'), chr(1) || '(\\p{Nd}|\\p{Ll})', '\\1', 'g'), chr(1)), lambda s: s <> '')"
 _LANGUAGE = f"CASE WHEN lang IN ({', '.join(repr(p.code) for p in V.PROFILES)}) THEN lang ELSE 'en' END"
-_CUTS = f"list_transform(range(0, CAST(ceil(length(s) / {A.SIZE}.0) AS BIGINT)), lambda k: substr(s, CAST(k * {A.SIZE} + 1 AS BIGINT), {A.SIZE}))"
+_CUTS = lambda size: f"list_transform(range(0, CAST(ceil(length(s) / {size}.0) AS BIGINT)), lambda k: substr(s, CAST(k * {size} + 1 AS BIGINT), {size}))"
 
 
-def duck_bounded(keys: str) -> str:
-    """c1: keys, start_char, content of `parts` (keys, language, part, base) bounded at A.SIZE; keys begin with doc_id and name a part."""
+def duck_bounded(keys: str, size: int = A.SIZE) -> str:
+    """c1: keys, start_char, content of `parts` (keys, language, part, base) bounded at size; keys begin with doc_id and name a part."""
     same = " AND ".join(f"u.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
     of_u = ", ".join(f"u.{k.strip()}" for k in keys.split(","))
-    return f"""large AS (SELECT * FROM parts WHERE length(part) > {A.SIZE}), {V.duckdb_sentences('part', 'language', 'large', f'{keys}, base')},
+    return f"""large AS (SELECT * FROM parts WHERE length(part) > {size}), {V.duckdb_sentences('part', 'language', 'large', f'{keys}, base')},
  said AS (SELECT {keys}, base, unnest(pieces) AS s, generate_subscripts(pieces, 1) AS j FROM spoken),
- un AS (SELECT {keys}, base, j, unnest({_CUTS}) AS t, generate_subscripts({_CUTS}, 1) AS c FROM said WHERE s <> '' UNION ALL SELECT {keys}, base, 1, part, 1 FROM parts WHERE length(part) BETWEEN 1 AND {A.SIZE}),
+ un AS (SELECT {keys}, base, j, unnest({_CUTS(size)}) AS t, generate_subscripts({_CUTS(size)}, 1) AS c FROM said WHERE s <> '' UNION ALL SELECT {keys}, base, 1, part, 1 FROM parts WHERE length(part) BETWEEN 1 AND {size}),
  uo AS (SELECT *, row_number() OVER w AS k, sum(length(t)) OVER w - length(t) + base AS off FROM un WINDOW w AS (PARTITION BY {keys} ORDER BY j, c)),
- r AS (SELECT {keys}, k, length(t) AS n, k AS seg FROM uo WHERE k = 1 UNION ALL SELECT {of_u}, u.k, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.n + length(u.t) ELSE length(u.t) END, CASE WHEN r.n + length(u.t) <= {A.SIZE} THEN r.seg ELSE u.k END FROM r JOIN uo u ON {same} AND u.k = r.k + 1),
+ r AS (SELECT {keys}, k, length(t) AS n, k AS seg FROM uo WHERE k = 1 UNION ALL SELECT {of_u}, u.k, CASE WHEN r.n + length(u.t) <= {size} THEN r.n + length(u.t) ELSE length(u.t) END, CASE WHEN r.n + length(u.t) <= {size} THEN r.seg ELSE u.k END FROM r JOIN uo u ON {same} AND u.k = r.k + 1),
  c1 AS (SELECT {keys}, CAST(min(off) AS BIGINT) AS start_char, string_agg(t, '' ORDER BY k) AS content FROM r JOIN uo USING ({keys}, k) GROUP BY {keys}, seg)"""
 
 
@@ -105,7 +105,7 @@ def hierarchical_chunks(spark, sf_dir):
 # C15
 
 _STEP = T.MOST - T.OVERLAP - T.LEAST
-_SPANS = f"""parts AS (SELECT doc_id, 1 AS i, {_LANGUAGE} AS language, text AS part, 0 AS base FROM documents WHERE length(text) > 0), {duck_bounded('doc_id, i').replace(f'> {A.SIZE}', f'> {_STEP}').replace(f'<= {A.SIZE}', f'<= {_STEP}').replace(f'AND {A.SIZE}', f'AND {_STEP}').replace(_CUTS, _CUTS.replace(str(A.SIZE), str(_STEP)))},
+_SPANS = f"""parts AS (SELECT doc_id, 1 AS i, {_LANGUAGE} AS language, text AS part, 0 AS base FROM documents WHERE length(text) > 0), {duck_bounded('doc_id, i', _STEP)},
  n AS (SELECT doc_id, start_char, length(content) AS n, lead(length(content)) OVER w AS next, lead(length(content), 2) OVER w AS after, row_number() OVER w - 1 AS index FROM c1 WINDOW w AS (PARTITION BY doc_id ORDER BY start_char)),
  spans AS (SELECT doc_id, index, greatest(0, start_char - CASE WHEN index > 0 THEN {T.OVERLAP} ELSE 0 END) AS start_char, start_char + n + CASE WHEN next IS NOT NULL AND after IS NULL AND next < {T.LEAST} THEN next ELSE 0 END AS end_char FROM n WHERE next IS NOT NULL OR n >= {T.LEAST} OR index = 0),
  words AS (SELECT doc_id, string_split_regex(text, '[^ \\n]+') AS g, regexp_extract_all(text, '[^ \\n]+') AS w FROM documents WHERE length(text) > 0), wk AS (SELECT doc_id, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, generate_subscripts(w, 1) - 1 AS k FROM words),
