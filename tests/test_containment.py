@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pytest
-
 from chunkwright.operators.containment import containing, either_way
 
 
@@ -13,9 +11,8 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "id long, text string")
 
 
-@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh ÉéßΣ日😀"])
-def test_substrings_are_all_found(spark, alphabet):
-    rng = random.Random(len(alphabet))
+def test_substrings_are_all_found(spark):
+    rng, alphabet = random.Random(2), "abÉéßΣ日😀"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))) for _ in range(60)] + [None, "", "x"]
     needles = [None, "", "x", "A", "É"]
     for _ in range(120):
