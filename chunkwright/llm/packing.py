@@ -36,27 +36,14 @@ MAX_STEPS = 4000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-#: White space for which words can't be taken one by one: any but single spaces and line ends within the text.
-_IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
 _END = "<|endoftext|>"
-
-
-class _Units(dict):
-    """Token ids, as packed bytes, of a word with what stands before it."""
-
-    def __init__(self, encode: Callable[[str], bytes], before: str, most: int = 250_000):
-        super().__init__()
-        self.encode, self.before, self.most = encode, before, most
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = self.encode(self.before + word)
-        return found
+#: tiktoken's expression runs out of stack on a million blanks in a row; the look-behind keeps the search linear.
+_MOST_BLANKS = 900_000
+_BLANKS = re.compile(rf"(?<!\s)\s{{{_MOST_BLANKS}}}")
 
 
 class Tokens:
-    """Ids of a text as little-endian 32-bit bytes: the same as the tokenizer file gives, by way of cached words."""
+    """Ids of a text as little-endian 32-bit bytes, the same as the tokenizer file gives; a text is one call, whatever its words."""
 
     def __init__(self, path: str, ranks_path: str):
         import tiktoken
@@ -66,22 +53,14 @@ class Tokens:
         self.whole = Tokenizer.from_file(path)
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        plain = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        pack = lambda s: array("I", plain(s)).tobytes()
-        self.pack, self.first, self.later, self.line = pack, _Units(pack, ""), _Units(pack, " "), pack("\n")
+        self.plain = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _END in text:  # a special token, which only the tokenizer itself knows
+        if _END in text or len(text) >= _MOST_BLANKS and _BLANKS.search(text):  # a special token, which only the tokenizer itself knows, or too many blanks
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if _IRREGULAR.search(text):
-            return self.pack(text)
-        later, parts = self.later.__getitem__, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(b"".join([self.first[words[0]], *map(later, words[1:])]))
-        return self.line.join(parts)
+        return array("I", self.plain(text)).tobytes()
 
 
 _LOADED: dict[str, Tokens] = {}

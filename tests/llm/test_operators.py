@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -572,6 +573,36 @@ def test_token_ids_are_those_of_the_tokenizer():
         assert encoder(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_a_text_is_encoded_in_one_call_whatever_its_words():
+    encoder, rng = packing._tokens(None), random.Random(50)
+
+    def calls(text):
+        count = 0
+
+        def seen(frame, event, what):
+            nonlocal count
+            count += event in ("call", "c_call")
+
+        sys.setprofile(seen)
+        try:
+            encoder(text)
+        finally:
+            sys.setprofile(None)
+        return count
+
+    fresh = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(50)) for _ in range(40))
+    assert calls(fresh) == calls("word") < 20
+
+
+def test_a_million_blanks_in_a_row_are_encoded():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._tokens(None)
+    for text in ("a" + " " * 1_000_000 + "b", "\n" * 1_100_000, "a " * 10 + "\u3000" * 899_000 + " c"):
+        assert encoder(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_knapsack_and_plan_match_brute_force():
     rng = random.Random(29)
     for _ in range(20):
