@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+
+from chunkwright.operators import containment as C
 from chunkwright.operators.containment import containing, either_way
 
 
@@ -35,3 +40,31 @@ def test_either_way_and_empty_sides(spark):
 def test_no_cross_join(spark):
     plan = containing(frame(spark, ["abcdefghijkl"] * 3), frame(spark, ["abcdefghijklmnop"] * 3))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_grams_are_passed_on_before_they_grow_with_the_batch():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(4000)) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    lengths, rows, largest = [6, 7, 8], 0, 0
+    tracemalloc.start()
+    for out in C.gram_batches([batch], lengths):
+        rows, largest = rows + out.num_rows, max(largest, out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == sum(len({t[i : i + q] for i in range(len(t) - q + 1)}) for t in texts for q in lengths)
+    assert largest < C.PASSED_ON + 4000 * len(lengths) and peak < 40e6  # all of the batch's took 20 bytes each, twice
+
+
+def test_unset_bits_keep_grams_where_they_are_found():
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array(["abcdef", "xyz"])], names=["id", "text"])
+    bits = np.zeros(C.BITS, bool)
+    wanted = {int(C.gram_hashes("cd", 2)[0]), int(C.gram_hashes("a", 1)[0])}
+    bits[[g % C.BITS for g in wanted]] = True
+    assert {(r["id"], r["q"], r["gram"]) for out in C.gram_batches([batch], [1, 2], bits) for r in out.to_pylist()} == {(7, 2, int(C.gram_hashes("cd", 2)[0])), (7, 1, int(C.gram_hashes("a", 1)[0]))}
+
+
+def test_bits_are_those_of_the_grams(spark):
+    grams = [0, 1, 63, 64, C.BITS - 1, C.BITS + 5, (1 << 63) - 1]
+    packed = C._bits_of(spark.createDataFrame([(g,) for g in grams], "gram long")).value
+    assert np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")).tolist() == sorted({g % C.BITS for g in grams})
