@@ -29,3 +29,8 @@ def test_pointing_words_end_where_ascii_words_do(same_as_sql):
     texts = [f"{w} steht am Anfang von diesem langen Satz. Danach folgt noch ein ganzer Satz, der lang genug ist, um zu gelten." for w in starts]
     got = same_as_sql("e06e_retrieval_readiness", texts + [t.replace(". D", ".\x0bD").replace(" ", "\x0bWho\x0b", 1) for t in texts])
     assert len({r[1] for r in got}) == 2
+
+
+def test_technical_words_are_cased_letter_by_letter(same_as_sql):
+    got = same_as_sql("q22_technical_keywords", ["\u00dfl re\ufb06 re\ufb05", "T\u00df; l", "\u017fql (http\u017f) ap\u0131 \u0130 AP\u0130", "api, rest! SSL \u1e9el tls\u0307"])
+    assert len(got) == 4
