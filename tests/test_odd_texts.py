@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
+import random
+
 import duckdb
 import pytest
 
@@ -34,3 +39,17 @@ def test_pointing_words_end_where_ascii_words_do(same_as_sql):
 def test_technical_words_are_cased_letter_by_letter(same_as_sql):
     got = same_as_sql("q22_technical_keywords", ["\u00dfl re\ufb06 re\ufb05", "T\u00df; l", "\u017fql (http\u017f) ap\u0131 \u0130 AP\u0130", "api, rest! SSL \u1e9el tls\u0307"])
     assert len(got) == 4
+
+
+def test_means_on_a_threshold_are_summed_as_in_sql(same_as_sql):
+    rng, texts, n = random.Random(6), [], itertools.count()
+    unique = lambda k: [f"w{next(n) % 1000000:06d}" for _ in range(k)]
+    while len(texts) < 12:
+        order = rng.sample([0.5, 0.7] * 11, 22)  # coherence of the chunks: 0.6 on average, or less by rounding
+        if (functools.reduce(operator.add, order) / 22 < 0.6) == (functools.reduce(operator.add, order[::-1]) / 22 < 0.6):
+            continue
+        # a chunk is 112 words and the 16 after it
+        blocks = [unique(56) + ["same.aa"] * 56 if x == 0.7 else ["a.begin"] + unique(111) for x in order]
+        texts.append(" ".join(w for b in [*blocks, unique(15), ["ends.at."]] for w in b))
+    got = same_as_sql("q16_recommendations", [*texts, "one chunk. no more", "x"])
+    assert 0 < sum(r[1] == "coherence" for r in got) < 12
